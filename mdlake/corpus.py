@@ -131,8 +131,13 @@ def entity_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         _s("entities/region-", r, ".md").alias("path"),
         _entity_text("concept", F.initcap("r_name"), r, "region", F.lit(" []"), F.lit("\n## Where It Appears\n\nNowhere.\n")).alias("text"),
     )
+    s = F.col("s_suppkey")
+    notes = _table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 3").select(
+        _s("notes/Supplier_Note_", s, ".md").alias("path"),
+        F.lit("---\ntype: concept\ncategory: Meta notes\nsource:\nstatus: ~\n---\n").alias("text"),
+    )
     return _union(
-        pages("nation", "nation", "n_nationkey", "n_name"), pages("supplier", "supplier", "s_suppkey", "s_name"), concepts
+        pages("nation", "nation", "n_nationkey", "n_name"), pages("supplier", "supplier", "s_suppkey", "s_name"), concepts, notes
     )
 
 

@@ -27,6 +27,7 @@ class Lake:
     log_lines: DataFrame
     profile: str = "reader"
     yaml: str = "auto"
+    origin: str | None = None  # the folder a derived corpus comes from
 
     @cached_property
     def pages(self) -> DataFrame:
@@ -74,5 +75,6 @@ def derived(spark: SparkSession, sf_dir: str) -> Lake:
             index_lines=stored(corpus.index_lines(spark, sf_dir), "index"),
             log_lines=stored(corpus.log_lines(spark, sf_dir), "log"),
             yaml="native",
+            origin=str(sf_dir),
         )
     return _DERIVED[key]

@@ -88,10 +88,13 @@ def local_check(pages: DataFrame, check: str) -> DataFrame:
 def local_findings(pages: DataFrame) -> DataFrame:
     """All page-local checks in one pass over the texts."""
     none = F.array().cast("array<string>")
-    details = [
-        F.transform(F.coalesce(expr(), none), lambda d, check=check: F.struct(F.lit(check).alias("check"), d.alias("detail")))
-        for check, expr in LOCAL.items()
-    ]
+
+    def tagged(check: str) -> Column:
+        return F.transform(
+            F.coalesce(LOCAL[check](), none), lambda d: F.struct(F.lit(check).alias("check"), d.alias("detail"))
+        )
+
+    details = [tagged(check) for check in LOCAL]
     return pages.select(F.col("path").alias("file"), F.explode(F.concat(*details)).alias("f")).select("file", "f.*")
 
 

@@ -46,11 +46,14 @@ def review_age(pages: DataFrame, as_of: dt.date | str) -> DataFrame:
 # A paragraph is a run of text lines that are no heading, list, table, quote or fence.
 _OPENING = r"(?:\A|\n)(?![ \t]*(?:#|>|\||[-*+] |\d+[.)] |```|~~~|\n))[ \t]*([^\n]+(?:\n(?![ \t]*(?:#|>|\||[-*+] |```|~~~|\n))[^\n]+){0,20})"
 
+# From the first tag, emphasis, code, link or image on. An underscore inside a word is text.
+_INLINE = r"(?s)(?:<|\*|`|!?\[[^\]]*\]\(|(?<![\p{L}\p{N}])_).*$"
+
 
 def page_blurb(pages: DataFrame, limit: int = 180) -> DataFrame:
     """The start of a page's first paragraph, up to the first inline mark-up."""
     first = F.regexp_extract("body", _OPENING, 1)
-    return pages.select("path", F.substring(F.regexp_extract(first, r"^[^<*_`\[!]*", 0), 1, limit).alias("blurb"))
+    return pages.select("path", F.substring(F.regexp_replace(first, _INLINE, ""), 1, limit).alias("blurb"))
 
 
 def labels(pages: DataFrame) -> DataFrame:
