@@ -177,7 +177,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def manifest(spark: SparkSession, sf_dir: str, documents_written: DataFrame) -> DataFrame:
     """(path) of every file, also of those that are no documents."""
     d = F.col("doc_id")
     documents = _table(spark, sf_dir, "documents").select("doc_id")
@@ -193,7 +193,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("path")
     )
-    return docs(spark, sf_dir).select("path").unionByName(others)
+    return documents_written.select("path").unionByName(others)
 
 
 def _line_table(rows: DataFrame, path: str, start: Column, lines: Column) -> DataFrame:

@@ -22,15 +22,16 @@ def lf(col: Column) -> Column:
 
 
 def one_break(col: Column) -> Column:
-    """Every line separator to LF."""
-    return F.regexp_replace(col, rf"\r\n|[{BREAK}]", "\n")
+    """Every line separator to LF; texts that know only LF are not rewritten."""
+    rare = BREAK.removeprefix(r"\n")
+    return F.when(col.rlike(f"[{rare}]"), F.regexp_replace(col, rf"\r\n|[{rare}]", "\n")).otherwise(col)
 
 
 def lines(col: Column) -> Column:
     """Lines of a text; a final line end does not start another line."""
-    return F.when(col == "", F.array().cast("array<string>")).otherwise(
-        F.split(F.regexp_replace(one_break(col), r"\n\z", ""), "\n", -1)
-    )
+    text = one_break(col)
+    closed = F.when(F.endswith(text, F.lit("\n")), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    return F.when(col == "", F.array().cast("array<string>")).otherwise(F.split(closed, "\n", -1))
 
 
 def basename(path: Column) -> Column:

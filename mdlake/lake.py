@@ -69,9 +69,11 @@ def derived(spark: SparkSession, sf_dir: str) -> Lake:
     """The corpus derived from the tables in ``sf_dir``, built once per application."""
     key = (spark.sparkContext.applicationId, str(sf_dir))
     if key not in _DERIVED:
+        # the tables may come as one file each: rebalance gives evenly filled files
+        docs = stored(corpus.docs(spark, sf_dir).hint("rebalance"), "docs")
         _DERIVED[key] = Lake(
-            docs=stored(corpus.docs(spark, sf_dir), "docs"),
-            manifest=stored(corpus.manifest(spark, sf_dir), "manifest"),
+            docs=docs,
+            manifest=stored(corpus.manifest(spark, sf_dir, docs), "manifest"),
             index_lines=stored(corpus.index_lines(spark, sf_dir), "index"),
             log_lines=stored(corpus.log_lines(spark, sf_dir), "log"),
             yaml="native",

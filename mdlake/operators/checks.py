@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mdlake.conventions import (
     CHECK_LABELS, ENTITY_SECTIONS, ENTITY_TYPES, NOT_ADDRESSED, REQUIRED_FIELDS, USE_CASE_SECTIONS,
 )
+from mdlake.functions.columns import once
 from mdlake.functions.text import or_empty
 from mdlake.operators.extract import heading_list, mentions, open_risk_notes, preview, source_ref_list
 from mdlake.operators.joins import skew_join
@@ -80,9 +81,8 @@ LOCAL = {
 
 def local_check(pages: DataFrame, check: str) -> DataFrame:
     """One page-local check."""
-    return pages.select(
-        F.col("path").alias("file"), F.lit(check).alias("check"), F.explode(LOCAL[check]()).alias("detail")
-    )
+    found = once(pages, details=LOCAL[check]())
+    return found.select(F.col("path").alias("file"), F.lit(check).alias("check"), F.explode("details").alias("detail"))
 
 
 def local_findings(pages: DataFrame) -> DataFrame:
@@ -95,7 +95,8 @@ def local_findings(pages: DataFrame) -> DataFrame:
         )
 
     details = [tagged(check) for check in LOCAL]
-    return pages.select(F.col("path").alias("file"), F.explode(F.concat(*details)).alias("f")).select("file", "f.*")
+    found = once(pages, details=F.concat(*details))
+    return found.select(F.col("path").alias("file"), F.explode("details").alias("f")).select("file", "f.*")
 
 
 # Checks against other tables: slim columns only, no text.

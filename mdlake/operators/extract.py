@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mdlake.conventions import (
     ACTION_REQUIRED, HANDLED, HEADING, LINK, NOT_ADDRESSED, OPEN_QUESTION, SOURCE_REF,
 )
+from mdlake.functions.columns import once
 from mdlake.functions.risk_tables import cell, open_table_rows, register_rows
 from mdlake.operators.filters import has_marker
 
@@ -18,15 +19,13 @@ def heading_list(text: Column) -> Column:
 
 def headings(pages: DataFrame) -> DataFrame:
     """Distinct headings of levels 1 to 3, in order of first appearance."""
-    return pages.select("path", F.posexplode(heading_list(F.col("text"))).alias("pos", "heading"))
+    return once(pages, found=heading_list(F.col("text"))).select("path", F.posexplode("found").alias("pos", "heading"))
 
 
 def risk_rows(pages: DataFrame) -> DataFrame:
     """Every row of every risk register."""
     names = ("risk", "likelihood", "impact", "mitigation", "status")
-    found = pages.where(F.col("body").rlike("(?i)risk register")).select(
-        "path", "title", F.posexplode(register_rows(F.col("body"))).alias("pos", "c")
-    )
+    found = once(pages, rows=register_rows(F.col("body"))).select("path", "title", F.posexplode("rows").alias("pos", "c"))
     return found.select("path", F.col("title").alias("page_title"), "pos", *[cell(F.col("c"), i).alias(n) for i, n in enumerate(names)])
 
 
@@ -42,9 +41,8 @@ def open_risks(pages: DataFrame) -> DataFrame:
 
 def open_risks_query(pages: DataFrame) -> DataFrame:
     """Open rows of any table with Risk and Likelihood columns, in or out of a register."""
-    found = pages.where(F.contains("text", F.lit("Likelihood"))).select(
-        "path", F.posexplode(open_table_rows(F.col("text"), ACTION_REQUIRED, NOT_ADDRESSED)).alias("pos", "c")
-    )
+    rows = open_table_rows(F.col("text"), ACTION_REQUIRED, NOT_ADDRESSED)
+    found = once(pages, rows=rows).select("path", F.posexplode("rows").alias("pos", "c"))
     c = F.col("c")
     return found.select(
         F.col("path").alias("file"), "pos", F.substring(cell(c, 0), 1, 60).alias("risk"),
@@ -58,13 +56,14 @@ def open_risk_notes(text: Column) -> Column:
 
 
 def open_questions(pages: DataFrame) -> DataFrame:
-    found = F.regexp_extract_all("body", F.lit(OPEN_QUESTION), F.lit(1))
-    return pages.select("path", F.col("title").alias("page_title"), F.posexplode(found).alias("seq", "question"))
+    found = once(pages, found=F.regexp_extract_all("body", F.lit(OPEN_QUESTION), F.lit(1)))
+    return found.select("path", F.col("title").alias("page_title"), F.posexplode("found").alias("seq", "question"))
 
 
 def raw_links(pages: DataFrame) -> DataFrame:
     """(src, target) of every link to a markdown file, targets relative to the root."""
-    found = pages.select(F.col("path").alias("src"), F.explode(F.regexp_extract_all("body", F.lit(LINK), F.lit(1))).alias("raw"))
+    found = once(pages, found=F.regexp_extract_all("body", F.lit(LINK), F.lit(1)))
+    found = found.select(F.col("path").alias("src"), F.explode("found").alias("raw"))
     return found.select("src", F.translate(F.regexp_replace("raw", r"^\./", ""), "\\", "/").alias("target"))
 
 
@@ -89,7 +88,7 @@ def preview(refs: Column) -> Column:
 
 def source_refs(pages: DataFrame) -> DataFrame:
     """(path, n_refs, preview) of pages that name files under ``sources/``."""
-    listed = pages.where(F.contains("text", F.lit("sources/"))).select("path", F.stack(F.lit(1), source_ref_list(F.col("text"))).alias("refs"))
+    listed = once(pages.where(F.contains("text", F.lit("sources/"))), refs=source_ref_list(F.col("text")))
     return listed.where(F.size("refs") > 0).select("path", F.size("refs").alias("n_refs"), preview(F.col("refs")).alias("preview"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mdlake.functions.columns import once
 from mdlake.operators.extract import heading_list
 from mdlake.operators.joins import skew_join
 from mdlake.sources.companions import log_fields, source_body, source_headers
@@ -37,9 +38,9 @@ def source_drift(source_docs: DataFrame, refetched: DataFrame, below: float = 0.
     saved = source_docs.join(with_url, "name", "left_semi").select("name", source_body(F.col("text")).alias("saved"))
     both = saved.join(refetched.select("name", F.col("text").alias("fresh")), "name")
     changed = both.where(F.sha2("saved", 256) != F.sha2("fresh", 256))
-    sets = changed.select("name", F.stack(F.lit(1), _shingles(F.col("saved"), size), _shingles(F.col("fresh"), size)).alias("a", "b"))
-    common = F.size(F.array_intersect("a", "b"))
-    measured = sets.select("name", F.stack(F.lit(1), common / (F.size("a") + F.size("b") - common)).alias("similarity"))
+    sets = once(changed, a=_shingles(F.col("saved"), size), b=_shingles(F.col("fresh"), size))
+    sets = once(sets, common=F.size(F.array_intersect("a", "b")))
+    measured = sets.withColumn("similarity", F.col("common") / (F.size("a") + F.size("b") - F.col("common")))
     return measured.where(F.col("similarity") < below).select("name", F.round("similarity", 6).alias("similarity"))
 
 
@@ -57,7 +58,8 @@ def section_coverage(pages: DataFrame, source_docs: DataFrame) -> DataFrame:
 
     there = source_docs.select(F.col("name").alias("source_name"), keys(F.col("text")).alias("wanted"))
     both = _derived(pages, there, keys(F.col("body")).alias("present"))
-    return both.select("path", "source_name", F.explode(F.array_except("wanted", "present")).alias("heading"))
+    lacking = once(both, lacking=F.array_except("wanted", "present"))
+    return lacking.select("path", "source_name", F.explode("lacking").alias("heading"))
 
 
 def coverage_ratio(pages: DataFrame, source_docs: DataFrame, below: float | None = None) -> DataFrame:

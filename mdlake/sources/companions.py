@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mdlake.conventions import BREAK, INDEX_LINK, LOG_ENTRY, SOURCE_FILE, SOURCE_HEADER
+from mdlake.functions.columns import once
 from mdlake.functions.dates import day
 from mdlake.functions.text import basename
 
@@ -72,20 +73,19 @@ def index_entries(lines: DataFrame) -> DataFrame:
     """Distinct root-relative targets of ``](./….md)`` links outside comments."""
     linked = F.col("line").rlike(r"\]\(\./|<!--|-->")
     text = without_comments(lines.where(linked))
-    return text.select(F.explode(F.regexp_extract_all("line", F.lit(INDEX_LINK), F.lit(1))).alias("entry")).distinct()
+    found = once(text, found=F.regexp_extract_all("line", F.lit(INDEX_LINK), F.lit(1)))
+    return found.select(F.explode("found").alias("entry")).distinct()
 
 
 def log_fields(lines: DataFrame) -> DataFrame:
     """Every line of a log with the fields of an entry, NULL where it is none."""
-    one_line = lines.select(
-        "line_no", F.posexplode(F.split("line", f"[{BREAK}]", -1)).alias("part", "line")
-    )
-    entry = F.col("line").rlike(LOG_ENTRY)
-    date, action, detail = (F.when(entry, F.regexp_extract("line", LOG_ENTRY, i)) for i in (1, 2, 3))
-    return one_line.select(
-        "line_no", "part", "line",
-        date.alias("date"), day(date).alias("log_date"), action.alias("action"), detail.alias("detail"),
+    one_line = lines.select("line_no", F.posexplode(F.split("line", f"[{BREAK}]", -1)).alias("part", "line"))
+    heading = F.startswith("line", F.lit("##"))
+    date, action, detail = (
+        F.when(heading, F.nullif(F.regexp_extract("line", LOG_ENTRY, i), F.lit(""))) for i in (1, 2, 3)
     )
+    fields = once(one_line, date=date, action=action, detail=detail)
+    return fields.select("line_no", "part", "line", "date", day(F.col("date")).alias("log_date"), "action", "detail")
 
 
 def change_log(lines: DataFrame) -> DataFrame:

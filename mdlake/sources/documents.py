@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mdlake.conventions import EXCLUDED_DIRS, EXCLUDED_FILES
+from mdlake.functions.columns import once
 from mdlake.functions.text import basename, lf, lines
 
 
@@ -60,7 +61,7 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
 
 def page_lines(docs: DataFrame) -> DataFrame:
     """One row per line, numbered from 0 within its document."""
-    return docs.select("path", F.posexplode(lines(F.col("text"))).alias("pos", "line"))
+    return once(docs, all_lines=lines(F.col("text"))).select("path", F.posexplode("all_lines").alias("pos", "line"))
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mdlake.conventions import ENTITY_TYPES
 from mdlake.functions import frontmatter as fm
+from mdlake.functions.columns import once
 from mdlake.functions.dates import day
 from mdlake.functions.text import basename, or_empty, title_from_path
 from mdlake.sources.documents import drop_excluded
@@ -23,7 +24,7 @@ def _yaml_reader():
         import yaml
 
         # dates stay text, so that an impossible one does not abort the job
-        class Loader(yaml.SafeLoader):
+        class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
             yaml_implicit_resolvers = {
                 first: [(tag, rx) for tag, rx in found if not tag.endswith(":timestamp")]
                 for first, found in yaml.SafeLoader.yaml_implicit_resolvers.items()
@@ -71,14 +72,10 @@ def _yaml_reader():
 def judge(docs: DataFrame) -> DataFrame:
     """(path, text, block, lean, reason): the frontmatter block and why it is not readable here.
 
-    The one-row stack keeps the cut block a column of its own: predicates on
-    ``reason`` are not pushed below it, so the block is cut once per document and
-    not once per reference.
+    The block is named with ``once``: it is referred to a dozen times.
     """
     block = fm.block(F.col("text"))
-    cut = docs.select(
-        "path", F.stack(F.lit(1), F.col("text"), block, fm.significant(block)).alias("text", "block", "lean")
-    )
+    cut = once(docs.select("path", "text"), block=block, lean=fm.significant(block))
     return cut.withColumn("reason", fm.status(F.col("text"), F.col("block"), F.col("lean")))
 
 
