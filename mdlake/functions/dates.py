@@ -7,14 +7,12 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ISO_DAY = r"^\d{4}-\d{1,2}-\d{1,2}$"
+_DAY = r"^(\d{4}-\d{1,2}-\d{1,2})(?:[Tt ].*)?$"
 
 
 def day(raw: Column) -> Column:
     """The first ten characters as a date, NULL where they are none."""
-    head = F.substring(raw, 1, 10)
-    head = F.rtrim(F.regexp_replace(head, r"[Tt ].*$", ""))
-    return F.when(head.rlike(ISO_DAY), F.try_to_date(head, "yyyy-M-d"))
+    return F.regexp_extract(F.substring(raw, 1, 10), _DAY, 1).try_cast("date")
 
 
 def as_date(as_of: dt.date | str) -> Column:

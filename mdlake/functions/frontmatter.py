@@ -19,15 +19,17 @@ _BOOL = r"(?:yes|Yes|YES|no|No|NO|true|True|TRUE|false|False|FALSE|on|On|ON|off|
 _CANONICAL = r"(?:-?[1-9][0-9]*|\d{4}-\d\d-\d\d)"
 _NUMBER = r"[-+]?(?:[0-9.][0-9_.:eExXoOa-fA-F+\-]*|\.(?:inf|Inf|INF|nan|NaN|NAN))"
 _STAMP = r"\d{4}-\d\d?-\d\d?[Tt ].*"
-_OTHER = rf"(?:{_BOOL}|(?!{_CANONICAL} *(?:$|[,\]])){_NUMBER}|{_STAMP}|=)"
+_OTHER = rf"(?:{_BOOL}|(?!{_CANONICAL} *(?:$|[,\]])){_NUMBER}|{_STAMP}|=|<<)"
+
+_NULL = r"(?:~|null|Null|NULL)"
 
 _FIRST = r"(?:[^ \t\n\-?:,\[\]{}#&*!|>'\"%@`]|[\-?:](?=[^ \n]))"
 _PLAIN = rf"(?!{_OTHER} *$)(?!.*:(?: |$)){_FIRST}.*"
 _SCALAR = rf"(?:\"[^\"\\]*\"|'[^']*'|{_PLAIN})"
 _FLOW = r"\[[^\[\]{}\"'#&*!|>%@`\\:?]*\]"
 
-_LINE_OUTSIDE = rf"(?md)^(?!(?: *|{KEY}:(?: +(?:{_SCALAR}|{_FLOW}))? *| *- +{_SCALAR} *)$).+$"
-_FLOW_OUTSIDE = rf"(?md)^{KEY}: +\[.*(?:[\[,] *(?:(?:{_OTHER}|~|null|Null|NULL) *[,\]]|[^\p{{L}}\p{{N}}_./ \]])|, *\])"
+_LINE_OUTSIDE = rf"(?md)^(?!(?: *|{KEY}:(?: +(?:{_SCALAR}|{_FLOW}))? *| *- +(?!{_NULL} *$){_SCALAR} *)$).+$"
+_FLOW_OUTSIDE = rf"(?md)^{KEY}: +(?=\[).*(?:[\[,] *(?:(?:{_OTHER}|{_NULL}) *[,\]]|[^\p{{L}}\p{{N}}_./ \]])|, *\])"
 _ITEM_AFTER_SCALAR = rf"(?md)^{KEY}: +[^ \n].*\n *- "
 _ITEM_INDENT = r"(?md)^( *)- .*\n(?!\1- )(?= *- )"
 _REPEATED_KEY = rf"(?mds)^({KEY}):(?=.*^\1:)"

@@ -39,7 +39,7 @@ def _rows(table_text: Column) -> Column:
 def _pieces(text: Column, opening: str) -> Column:
     """The text cut before each opening line; what precedes the first is left out."""
     cut = F.split(F.concat(F.lit("\n"), one_break(text)), opening, -1)
-    return F.slice(cut, F.lit(2), F.lit(2**31 - 1))
+    return F.filter(cut, lambda _, i: i > 0)
 
 
 def register_rows(body: Column) -> Column:

@@ -80,12 +80,15 @@ def index_entries(lines: DataFrame) -> DataFrame:
 def log_fields(lines: DataFrame) -> DataFrame:
     """Every line of a log with the fields of an entry, NULL where it is none."""
     one_line = lines.select("line_no", F.posexplode(F.split("line", f"[{BREAK}]", -1)).alias("part", "line"))
-    heading = F.startswith("line", F.lit("##"))
-    date, action, detail = (
-        F.when(heading, F.nullif(F.regexp_extract("line", LOG_ENTRY, i), F.lit(""))) for i in (1, 2, 3)
+    # one match per line: its groups come out as three lines
+    groups = F.split(F.regexp_replace("line", LOG_ENTRY, "$1\n$2\n$3"), "\n", -1)
+    fields = once(one_line, entry=F.when(F.startswith("line", F.lit("##")), groups))
+    is_entry = F.size("entry") == 3
+    date, action, detail = (F.when(is_entry, F.get("entry", F.lit(i))) for i in (0, 1, 2))
+    return fields.select(
+        "line_no", "part", "line", date.alias("date"), date.try_cast("date").alias("log_date"),
+        action.alias("action"), detail.alias("detail"),
     )
-    fields = once(one_line, date=date, action=action, detail=detail)
-    return fields.select("line_no", "part", "line", "date", day(F.col("date")).alias("log_date"), "action", "detail")
 
 
 def change_log(lines: DataFrame) -> DataFrame:

@@ -23,12 +23,16 @@ def _yaml_reader():
         import pandas as pd
         import yaml
 
-        # dates stay text, so that an impossible one does not abort the job
-        class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
-            yaml_implicit_resolvers = {
+        def dateless(base):
+            # dates stay text, so that an impossible one does not abort the job
+            resolvers = {
                 first: [(tag, rx) for tag, rx in found if not tag.endswith(":timestamp")]
-                for first, found in yaml.SafeLoader.yaml_implicit_resolvers.items()
+                for first, found in base.yaml_implicit_resolvers.items()
             }
+            return type("Loader", (base,), {"yaml_implicit_resolvers": resolvers})
+
+        plain = dateless(yaml.SafeLoader)
+        fast = dateless(getattr(yaml, "CSafeLoader", yaml.SafeLoader))
 
         def names(value):
             if value is None or value is False or value == "":
@@ -46,7 +50,8 @@ def _yaml_reader():
             if block is None:
                 return None, None, None, None, None
             try:
-                data = yaml.load(block, Loader)
+                # the C parser takes tabs inside plain scalars, the other one does not
+                data = yaml.load(block, plain if "\t" in block else fast)
             except (yaml.YAMLError, ValueError):
                 return "invalid_yaml", None, None, None, None
             if not data:
