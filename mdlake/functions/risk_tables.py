@@ -9,9 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mdlake.conventions import BLANK
+from mdlake.conventions import BLANK, BREAK
 from mdlake.functions.text import one_break, strip
 
+# From the first register on; only what follows is split. The multi-line anchor
+# knows the common line ends, the second branch the rare ones.
+_REGISTER_LINE = rf"[{BLANK}]*##[^{BREAK}]*risk register(?s:.*)"
+_FIRST_REGISTER = rf"(?im)^{_REGISTER_LINE}|[\x0b\x0c\x1c-\x1e]{_REGISTER_LINE}"
+
 _SECTION = rf"\n(?=[{BLANK}]*##)"
 _REGISTER = r"(?i)^[^\n]*risk register"
 _AFTER_DASHES = rf"\n[{BLANK}]*\|[^\n]*---[^\n]*\n((?s:.*))"
@@ -36,15 +41,22 @@ def _rows(table_text: Column) -> Column:
     return F.filter(rows, lambda c: F.size(c) >= 5)
 
 
-def _pieces(text: Column, opening: str) -> Column:
-    """The text cut before each opening line; what precedes the first is left out."""
-    cut = F.split(F.concat(F.lit("\n"), one_break(text)), opening, -1)
-    return F.filter(cut, lambda _, i: i > 0)
+def _pieces(tail: Column, opening: str) -> Column:
+    """A text that starts with an opening line, cut before each opening line."""
+    return F.filter(F.split(F.concat(F.lit("\n"), one_break(tail)), opening, -1), lambda s: s != "")
+
+
+def _from_line_of(text: Column, word: str) -> Column:
+    """The text from the line that first holds ``word`` on, found without a pattern."""
+    at = F.locate(word, text)
+    line_head = F.substring_index(F.substring(text, F.lit(1), at - 1), "\n", -1)
+    return F.concat(line_head, F.substring(text, at, F.length(text)))
 
 
 def register_rows(body: Column) -> Column:
     """All rows of sections headed 'Risk Register', open or not."""
-    registers = F.filter(_pieces(body, _SECTION), lambda s: s.rlike(_REGISTER))
+    tail = F.regexp_extract(body, _FIRST_REGISTER, 0)
+    registers = F.filter(_pieces(tail, _SECTION), lambda s: s.rlike(_REGISTER))
 
     def rows_of(section: Column) -> Column:
         found = _rows(F.regexp_extract(section, _AFTER_DASHES, 1))
@@ -54,9 +66,7 @@ def register_rows(body: Column) -> Column:
             lambda c: ~F.contains(F.array_join(c, "|"), F.lit("---")) & (F.lower(cell(c, 0)) != "risk"),
         )
 
-    return F.when(
-        body.rlike("(?i)risk register"), F.flatten(F.transform(registers, rows_of))
-    )
+    return F.flatten(F.transform(registers, rows_of))
 
 
 def open_table_rows(text: Column, *markers: str) -> Column:
@@ -72,5 +82,5 @@ def open_table_rows(text: Column, *markers: str) -> Column:
             hit = hit | F.contains(cell(c, 4), F.lit(marker))
         return hit
 
-    rows = F.flatten(F.transform(_pieces(text, _TABLE), rows_of))
+    rows = F.flatten(F.transform(_pieces(_from_line_of(text, "Likelihood"), _TABLE), rows_of))
     return F.when(F.contains(text, F.lit("Likelihood")), F.filter(rows, is_open))

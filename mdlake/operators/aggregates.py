@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mdlake.conventions import ENTITY_TYPES, OPEN_QUESTION
 from mdlake.functions.text import path_order
-from mdlake.operators.extract import open_questions, open_risks, page_tags
+from mdlake.operators.extract import open_register_rows, page_tags
 from mdlake.operators.filters import entity_pages
 from mdlake.operators.projections import provenance
 
@@ -80,10 +81,10 @@ def distinct_tags(pages: DataFrame) -> DataFrame:
 
 
 def view_counts(pages: DataFrame) -> DataFrame:
-    """(view, n) of the open risks, open questions and entities."""
-    views = {"risks": open_risks(pages), "open_questions": open_questions(pages), "entities": entity_pages(pages)}
-    out = None
-    for name, rows in views.items():
-        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("view"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(view, n) of the open risks, open questions and entities, in one pass over the pages."""
+    counts = pages.agg(
+        F.sum(F.size(open_register_rows(F.col("body")))).alias("risks"),
+        F.sum(F.size(F.regexp_extract_all("body", F.lit(OPEN_QUESTION), F.lit(1)))).alias("open_questions"),
+        F.count_if(F.col("page_type").isin(*ENTITY_TYPES)).alias("entities"),
+    )
+    return counts.unpivot([], counts.columns, "view", "n").select("view", F.coalesce("n", F.lit(0)).alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mdlake.conventions import (
-    ACTION_REQUIRED, HANDLED, HEADING, LINK, NOT_ADDRESSED, OPEN_QUESTION, SOURCE_REF,
+    ACTION_REQUIRED, HANDLED, HEADING, NOT_ADDRESSED, OPEN_QUESTION, SOURCE_REF,
 )
 from mdlake.functions.columns import once
 from mdlake.functions.risk_tables import cell, open_table_rows, register_rows
@@ -29,6 +29,15 @@ def risk_rows(pages: DataFrame) -> DataFrame:
     return found.select("path", F.col("title").alias("page_title"), "pos", *[cell(F.col("c"), i).alias(n) for i, n in enumerate(names)])
 
 
+def _is_open(status: Column) -> Column:
+    return has_marker(status, ACTION_REQUIRED, NOT_ADDRESSED, leading=True)
+
+
+def open_register_rows(body: Column) -> Column:
+    """The cells of the register rows whose status starts with an open marker."""
+    return F.filter(register_rows(body), lambda c: _is_open(cell(c, 4)))
+
+
 def open_risks(pages: DataFrame) -> DataFrame:
     """Register rows whose status starts with an open marker."""
     rows = risk_rows(pages)
@@ -36,7 +45,7 @@ def open_risks(pages: DataFrame) -> DataFrame:
     symbol = F.when(F.startswith(status, F.lit(ACTION_REQUIRED)), ACTION_REQUIRED).when(
         F.startswith(status, F.lit(NOT_ADDRESSED)), NOT_ADDRESSED
     )
-    return rows.where(has_marker(status, ACTION_REQUIRED, NOT_ADDRESSED, leading=True)).withColumn("status_symbol", symbol)
+    return rows.where(_is_open(status)).withColumn("status_symbol", symbol)
 
 
 def open_risks_query(pages: DataFrame) -> DataFrame:
@@ -62,9 +71,7 @@ def open_questions(pages: DataFrame) -> DataFrame:
 
 def raw_links(pages: DataFrame) -> DataFrame:
     """(src, target) of every link to a markdown file, targets relative to the root."""
-    found = once(pages, found=F.regexp_extract_all("body", F.lit(LINK), F.lit(1)))
-    found = found.select(F.col("path").alias("src"), F.explode("found").alias("raw"))
-    return found.select("src", F.translate(F.regexp_replace("raw", r"^\./", ""), "\\", "/").alias("target"))
+    return pages.select(F.col("path").alias("src"), F.explode("links").alias("target"))
 
 
 def mentions(pages: DataFrame, strip_dot_slash: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mdlake.functions.columns import once
 from mdlake.operators.extract import heading_list
 from mdlake.operators.joins import skew_join
-from mdlake.sources.companions import log_fields, source_body, source_headers
+from mdlake.sources.companions import header_field, log_fields, source_body, source_headers
 
 
 def _words(text: Column) -> Column:
@@ -34,10 +34,15 @@ def source_drift(source_docs: DataFrame, refetched: DataFrame, below: float = 0.
     ``refetched(name, text)`` is what the URLs return now. Unchanged texts are
     told by their digest; only the others are compared by word shingles.
     """
-    with_url = source_headers(source_docs).where("url IS NOT NULL").select("name")
-    saved = source_docs.join(with_url, "name", "left_semi").select("name", source_body(F.col("text")).alias("saved"))
-    both = saved.join(refetched.select("name", F.col("text").alias("fresh")), "name")
-    changed = both.where(F.sha2("saved", 256) != F.sha2("fresh", 256))
+    has_url = header_field(F.col("text"), "url").isNotNull()
+    saved = source_docs.where(has_url).select("name", source_body(F.col("text")).alias("saved"))
+    fresh = refetched.select("name", F.col("text").alias("fresh"))
+    # names and digests meet first; only changed texts travel
+    digests = saved.select("name", F.sha2("saved", 256).alias("was")).join(
+        fresh.select("name", F.sha2("fresh", 256).alias("now")), "name"
+    )
+    names = digests.where("was <> now").select("name")
+    changed = saved.join(names, "name", "left_semi").join(fresh.join(names, "name", "left_semi"), "name")
     sets = once(changed, a=_shingles(F.col("saved"), size), b=_shingles(F.col("fresh"), size))
     sets = once(sets, common=F.size(F.array_intersect("a", "b")))
     measured = sets.withColumn("similarity", F.col("common") / (F.size("a") + F.size("b") - F.col("common")))

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mdlake.functions.columns import once
 from mdlake.operators.joins import skew_join
 from mdlake.operators.projections import provenance
 from mdlake.session import stored
@@ -46,11 +47,21 @@ def tokens(search_docs: DataFrame) -> DataFrame:
 
 
 def inverted_index(search_docs: DataFrame) -> DataFrame:
-    """(term, field, doc, tf, field_len); occurrences are counted before the shuffle."""
-    rows = field_terms(search_docs).select("doc", "field", F.size("terms").alias("field_len"), F.explode("terms").alias("term"))
-    return rows.groupBy("term", "field", "doc", "field_len").agg(F.count("*").alias("tf")).select(
-        "term", "field", "doc", F.col("tf").cast("int").alias("tf"), "field_len"
+    """(term, field, doc, tf, field_len) without a shuffle.
+
+    All occurrences of a term in a field stand in one row, so they are counted
+    there: the terms are sorted, and every run of equal terms is a posting.
+    """
+    rows = once(field_terms(search_docs), run=F.sort_array("terms"))
+    here = F.sequence(F.lit(0), F.size("run") - 1)
+    starts = F.filter(here, lambda i: (i == 0) | (F.get("run", i) != F.get("run", i - 1)))
+    rows = once(rows.where(F.size("run") > 0), start=starts)
+    ends = F.concat(F.filter("start", lambda i: i > 0), F.array(F.size("run")))
+    found = F.zip_with(
+        "start", ends, lambda a, b: F.struct(F.get("run", a).alias("term"), (b - a).alias("tf"))
     )
+    postings = once(rows, found=found).select("doc", "field", F.size("run").alias("field_len"), F.explode("found").alias("p"))
+    return postings.select("p.term", "field", "doc", "p.tf", "field_len")
 
 
 @dataclass
@@ -66,17 +77,20 @@ def vocabulary(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term", "field").agg(F.count("*").alias("df"))
 
 
-def field_stats(search_docs: DataFrame) -> DataFrame:
-    return field_terms(search_docs).groupBy("field").agg(
-        F.count("*").alias("docs"), F.avg(F.size("terms").cast("double")).alias("avg_len")
-    )
+def field_stats(postings: DataFrame, search_docs: DataFrame) -> DataFrame:
+    """Documents and mean length per field; the lengths add up to the term counts."""
+    docs = search_docs.agg(F.count("*")).scalar()
+    total = postings.groupBy("field").agg(F.sum("tf").alias("n"))
+    return total.select("field", docs.alias("docs"), (F.col("n") / docs.cast("double")).alias("avg_len"))
 
 
 def build_index(search_docs: DataFrame) -> Index:
-    """Write the index tables to the shared folder."""
+    """Write the index tables to the shared folder; the texts are read once."""
     # sorted by term, so that row groups without a query term are skipped
     postings = stored(inverted_index(search_docs).sortWithinPartitions("term"), "postings")
-    return Index(postings, stored(vocabulary(postings), "vocabulary"), stored(field_stats(search_docs), "fields"))
+    return Index(
+        postings, stored(vocabulary(postings), "vocabulary"), stored(field_stats(postings, search_docs), "fields")
+    )
 
 
 def save_index(index: Index, path: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,6 +11,7 @@ from mdlake.functions.columns import once
 from mdlake.functions.dates import day
 from mdlake.functions.text import basename
 
+_HEADER_BLOCK = r"\A(?:>[^\n]*(?:\n|\z)){0,100}"
 CHUNK = 65536  # lines per window partition
 
 
@@ -35,28 +36,19 @@ def without_comments(lines: DataFrame) -> DataFrame:
     marked = lines.withColumn("chunk", F.floor(F.col("line_no") / CHUNK)).withColumn(
         "ends_inside", F.when(closes | opens, tail_open)
     )
-    by_chunk = marked.where("ends_inside IS NOT NULL").groupBy("path", "chunk").agg(
-        F.max_by("ends_inside", "line_no").alias("ends_inside"),
+    by_chunk = marked.groupBy("path", "chunk").agg(
+        F.max_by("ends_inside", F.when(F.col("ends_inside").isNotNull(), F.col("line_no"))).alias("ends_inside"),
         F.max(F.when(closes, F.col("line_no"))).alias("last_close"),
     )
-    # one row per chunk and file
+    # one row per chunk
     whole_file = W.partitionBy("path")
+    so_far = whole_file.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     spans = by_chunk.select(
-        "path",
-        F.col("chunk").alias("from_chunk"),
-        F.lead("chunk").over(whole_file.orderBy("chunk")).alias("to_chunk"),
-        F.col("ends_inside").alias("chunk_inside"),
+        "path", "chunk",
+        F.coalesce(F.last("ends_inside", ignorenulls=True).over(so_far), F.lit(False)).alias("enters_inside"),
         F.max("last_close").over(whole_file).alias("last_close"),
     )
-    entering = marked.select("path", "chunk").distinct().alias("c").join(
-        spans.alias("s"),
-        (F.col("c.path") == F.col("s.path"))
-        & (F.col("c.chunk") > F.col("s.from_chunk"))
-        & (F.col("s.to_chunk").isNull() | (F.col("c.chunk") <= F.col("s.to_chunk"))),
-        "left",
-    ).select("c.path", "c.chunk", F.coalesce("chunk_inside", F.lit(False)).alias("enters_inside"))
-    last = spans.groupBy("path").agg(F.max("last_close").alias("last_close"))
-    placed = marked.join(entering, ["path", "chunk"]).join(last, "path", "left")
+    placed = marked.join(spans, ["path", "chunk"])
 
     before = W.partitionBy("path", "chunk").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
     inside = F.coalesce(F.last("ends_inside", ignorenulls=True).over(before), F.col("enters_inside"))
@@ -109,21 +101,23 @@ def sources(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("path").rlike(SOURCE_FILE)).select(basename(F.col("path")).alias("name"), "text")
 
 
-def source_headers(source_docs: DataFrame) -> DataFrame:
-    """Source type, URL and fetch date from the quote block at the top of a source."""
-    top = F.regexp_extract("text", r"^(?:>[^\n]*(?:\n|\z)){0,20}", 0)
+def header_field(text: Column, name: str) -> Column:
+    """A field of the quote block at the top of a source, NULL if it is not given."""
+    top = F.regexp_extract(text, _HEADER_BLOCK, 0)
+    return F.nullif(F.trim(F.regexp_extract(top, SOURCE_HEADER[name], 1)), F.lit(""))
 
-    def field(name: str):
-        return F.nullif(F.trim(F.regexp_extract(top, SOURCE_HEADER[name], 1)), F.lit(""))
 
+def source_headers(source_docs: DataFrame) -> DataFrame:
+    """Source type, URL and fetch date of every source."""
+    text = F.col("text")
     return source_docs.select(
         "name",
-        field("source_type").alias("source_type"),
-        field("url").alias("url"),
-        day(field("fetched")).alias("fetched"),
+        header_field(text, "source_type").alias("source_type"),
+        header_field(text, "url").alias("url"),
+        day(header_field(text, "fetched")).alias("fetched"),
     )
 
 
-def source_body(text):
+def source_body(text: Column) -> Column:
     """A source's text behind its header block."""
-    return F.regexp_replace(text, r"^(?:>[^\n]*(?:\n|\z)){0,20}\n*", "")
+    return F.regexp_replace(text, rf"{_HEADER_BLOCK}\n*", "")

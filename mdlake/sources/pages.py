@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mdlake.conventions import ENTITY_TYPES
+from mdlake.conventions import ENTITY_TYPES, LINK
 from mdlake.functions import frontmatter as fm
 from mdlake.functions.columns import once
 from mdlake.functions.dates import day
@@ -133,6 +133,12 @@ def frontmatter(docs: DataFrame, yaml: str = "auto") -> DataFrame:
     return read_frontmatter(docs, yaml).where("reason IS NULL").drop("reason")
 
 
+def link_targets(body: Column) -> Column:
+    """Targets of all links to markdown files, relative to the root."""
+    found = F.regexp_extract_all(body, F.lit(LINK), F.lit(1))
+    return F.transform(found, lambda raw: F.translate(F.regexp_replace(raw, r"^\./", ""), "\\", "/"))
+
+
 def page_type(type_col: Column, category: Column) -> Column:
     """entity, concept, meta (by category) or use-case."""
     return (
@@ -143,8 +149,12 @@ def page_type(type_col: Column, category: Column) -> Column:
 
 
 def page_table(docs: DataFrame, profile: str = "reader", yaml: str = "auto") -> DataFrame:
-    """Typed pages of a corpus, one row per document with frontmatter."""
-    read = frontmatter(drop_excluded(docs, profile), yaml)
+    """Typed pages of a corpus, one row per document with frontmatter.
+
+    Link targets are collected in the same pass, so the graph is built later
+    from slim columns and never reads a text again.
+    """
+    read = once(frontmatter(drop_excluded(docs, profile), yaml), body=fm.body(F.col("text")))
     field = F.col("fm").getItem
     return read.select(
         "path",
@@ -164,7 +174,8 @@ def page_table(docs: DataFrame, profile: str = "reader", yaml: str = "auto") ->
         field("last_reviewed").alias("last_reviewed_raw"),
         "fm",
         "text",
-        fm.body(F.col("text")).alias("body"),
+        link_targets(F.col("body")).alias("links"),
+        "body",
     )
 
 
