@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from mdlake import corpus
+from mdlake.operators import checks, edges, projections, search
 from mdlake.session import stored
 from mdlake.sources import companions, documents, pages
 
@@ -45,6 +46,20 @@ class Lake:
     def index_entries(self) -> DataFrame:
         return companions.index_entries(self.index_lines)
 
+    @cached_property
+    def edges(self) -> DataFrame:
+        return stored(edges.edges(self.pages), "edges")
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        """All findings; reports, counts and exports read them from here."""
+        found = checks.findings(self.pages, self.source_files, self.index_entries, self.manifest)
+        return stored(found, "findings")
+
+    @cached_property
+    def search_index(self) -> search.Index:
+        return search.build_index(projections.search_docs(self.pages))
+
     @cached_property
     def change_log(self) -> DataFrame:
         return companions.change_log(self.log_lines)

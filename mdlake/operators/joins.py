@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 1000  # a key is hot with more than 1/1000 of the rows
-SLICES = 64
+SLICES = 512  # so that a slice of a key with half of all rows is no more than that
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
@@ -17,18 +17,26 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def skew_join(
-    left: DataFrame, right: DataFrame, key: str, how: str, spread_by: str, slices: int = SLICES
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    how: str,
+    spread_by: str,
+    slices: int = SLICES,
+    known_hot: DataFrame | None = None,
 ) -> DataFrame:
     """``left.join(right, key, how)`` for a ``left`` with hot keys.
 
     Rows of hot keys are spread over ``slices`` by a hash of ``spread_by``; only
     the few matching ``right`` rows are copied once per slice. All other rows
     meet in a plain shuffle join. ``how`` is inner, left, left_semi or left_anti.
+    ``known_hot`` names the hot keys where they are known without counting ``left``.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"{how} would repeat copied right rows")
     # fewer than HOT_SHARE short keys, whatever the size of the data
-    hot = F.broadcast(hot_keys(left, key).withColumn("_hot", F.lit(True)))
+    found = hot_keys(left, key) if known_hot is None else known_hot
+    hot = F.broadcast(found.withColumn("_hot", F.lit(True)))
     slice_of = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(slices))).otherwise(F.lit(0).cast("bigint"))
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")).otherwise(
         F.array(F.lit(0).cast("bigint"))

@@ -7,14 +7,14 @@ scored and summed per document.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdlake.functions.columns import once
-from mdlake.operators.joins import skew_join
+from mdlake.operators.joins import HOT_SHARE, skew_join
 from mdlake.operators.projections import provenance
 from mdlake.session import stored
 
@@ -24,6 +24,7 @@ TITLE_BOOST = 2.0
 PREFIX_WEIGHT, FUZZY_WEIGHT = 0.375, 0.45
 FUZZY_SHARE, FUZZY_MAX = 0.2, 6
 TOP = 30
+BROADCAST_ROWS = 100_000  # expanded terms up to this number are broadcast
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
@@ -136,19 +137,27 @@ def expand(vocab: DataFrame, query: str, prefix: bool = False, fuzzy: bool = Fal
     return matched.withColumn("weight", F.aggregate(weights, F.lit(0.0), lambda a, w: a + w))
 
 
+def _weighted_postings(index: Index, weighted: DataFrame) -> DataFrame:
+    """Postings of the weighted terms."""
+    if weighted.count() <= BROADCAST_ROWS:
+        return index.postings.join(F.broadcast(weighted), ["term", "field"])
+    # the vocabulary knows how often a term occurs, the postings need not be counted
+    key = F.struct("term", "field").alias("key")
+    total = index.vocabulary.agg(F.sum("df")).scalar()
+    hot = weighted.where(F.col("df") * HOT_SHARE > total).select(key)
+    keyed = index.postings.select(key, "doc", "tf", "field_len")
+    return skew_join(keyed, weighted.select(key, "avg_len", "w"), "key", "inner", "doc", known_hot=hot)
+
+
 def score(index: Index, expansion: DataFrame) -> DataFrame:
     """(doc, score) of all documents that hold an expanded term."""
     boost = F.when(F.col("field") == "title", TITLE_BOOST).otherwise(1.0)
+    idf = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # one row per field, hence four rows
-    stats = F.broadcast(index.fields)
-    weighted = expansion.join(stats, "field").select(
-        "term", "field", "avg_len",
-        (F.col("weight") * boost * F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"),
-    )
-    keyed = index.postings.withColumn("key", F.struct("term", "field"))
-    hits = skew_join(
-        keyed.drop("term", "field"), weighted.select(F.struct("term", "field").alias("key"), "avg_len", "w"), "key", "inner", "doc"
+    weighted = expansion.join(F.broadcast(index.fields), "field").select(
+        "term", "field", "df", "avg_len", (F.col("weight") * boost * idf).alias("w")
     )
+    hits = _weighted_postings(index, stored(weighted, "expansion"))
     tf, length = F.col("tf"), F.col("field_len") / F.col("avg_len")
     part = F.col("w") * (DELTA + tf * (K1 + 1) / (tf + K1 * (1 - B + B * length)))
     return hits.groupBy("doc").agg(F.sum(part).alias("score"))
@@ -156,6 +165,13 @@ def score(index: Index, expansion: DataFrame) -> DataFrame:
 
 def search(index: Index, query: str, prefix: bool = True, fuzzy: bool = True) -> DataFrame:
     """All matching documents with scores."""
+    words = query_terms(query)
+    if words and not fuzzy:
+        # these conditions reach the scan, which skips row groups of other terms
+        match = F.col("term").isin(*words)
+        for word in words if prefix else ():
+            match = match | F.startswith("term", F.lit(word))
+        index = replace(index, postings=index.postings.where(match))
     return score(index, expand(index.vocabulary, query, prefix, fuzzy))
 
 

@@ -33,21 +33,6 @@ def query(fn: Callable[[Lake], DataFrame]) -> Callable[[Lake], DataFrame]:
     return fn
 
 
-def _once(lake: Lake, name: str, build: Callable[[], object]):
-    """A table that several queries share, kept with its lake."""
-    if name not in lake.__dict__:
-        lake.__dict__[name] = build()
-    return lake.__dict__[name]
-
-
-def _edges(lake: Lake) -> DataFrame:
-    return _once(lake, "edges", lambda: stored(edges.edges(lake.pages), "edges"))
-
-
-def _index(lake: Lake) -> search.Index:
-    return _once(lake, "index", lambda: search.build_index(prj.search_docs(lake.pages)))
-
-
 def _tags() -> Column:
     return F.array_join("tags", ",").alias("tags")
 
@@ -323,7 +308,8 @@ def risk_status_mix(lake):
 @query
 def risks_sorted(lake):
     rows = extract.open_risks(lake.pages).select("page_title", "risk", "likelihood", "impact", "status", "path", "pos")
-    return rows.orderBy("likelihood", "risk", path_order(F.col("path")), "pos")
+    # a sort reads its input twice, once for the bounds: extract before
+    return stored(rows, "risks").orderBy("likelihood", "risk", path_order(F.col("path")), "pos")
 
 
 # Edges and graph
@@ -344,66 +330,66 @@ QUERIES["edges"] = lambda spark, sf_dir: edges.edges(derived(spark, sf_dir).page
 
 @query
 def edge_list(lake):
-    return _edges(lake).orderBy("src", "dst")
+    return lake.edges.orderBy("src", "dst")
 
 
 @query
 def mention_titles(lake):
-    return edges.mention_titles(_edges(lake), lake.pages)
+    return edges.mention_titles(lake.edges, lake.pages)
 
 
 @query
 def visible_edges(lake):
-    return graph.visible_subgraph(_edges(lake), lake.pages, **_VISIBLE)
+    return graph.visible_subgraph(lake.edges, lake.pages, **_VISIBLE)
 
 
 @query
 def visible_subgraph(lake):
-    return graph.visible_subgraph(_edges(lake), lake.pages, types=["use-case", "entity"], tags=["widget", "nation"])
+    return graph.visible_subgraph(lake.edges, lake.pages, types=["use-case", "entity"], tags=["widget", "nation"])
 
 
 @query
 def shared_entity_groups(lake):
-    return edges.shared_entities(_edges(lake), lake.pages)
+    return edges.shared_entities(lake.edges, lake.pages)
 
 
 @query
 def inbound_degree(lake):
-    return agg.inbound_degree(_edges(lake), lake.pages)
+    return agg.inbound_degree(lake.edges, lake.pages)
 
 
 @query
 def total_degree(lake):
-    return agg.total_degree(_edges(lake), lake.pages)
+    return agg.total_degree(lake.edges, lake.pages)
 
 
 @query
 def graph_stats(lake):
-    return agg.graph_stats(_edges(lake), lake.pages)
+    return agg.graph_stats(lake.edges, lake.pages)
 
 
 @query
 def graph_nodes(lake):
-    return graph.graph_nodes(_edges(lake), lake.pages).withColumn("tags", _tags())
+    return graph.graph_nodes(lake.edges, lake.pages).withColumn("tags", _tags())
 
 
 @query
 def orphan_pages(lake):
-    return graph.orphan_pages(_edges(lake), lake.pages)
+    return graph.orphan_pages(lake.edges, lake.pages)
 
 
 @query
 def node_weight(lake):
-    return graph.node_weight(_edges(lake), lake.pages).withColumn("weight", F.round("weight", 6))
+    return graph.node_weight(lake.edges, lake.pages).withColumn("weight", F.round("weight", 6))
 
 
 @query
 def entity_mentions(lake):
-    return agg.entity_mentions(_edges(lake), lake.pages)
+    return agg.entity_mentions(lake.edges, lake.pages)
 
 
 def _ball(lake: Lake) -> DataFrame:
-    return graph.k_hop(_edges(lake), lake.pages.where(F.col("path") == SEED).select("path"), hops=2)
+    return graph.k_hop(lake.edges, lake.pages.where(F.col("path") == SEED).select("path"), hops=2)
 
 
 @query
@@ -413,7 +399,7 @@ def k_hop(lake):
 
 @query
 def edge_highlight(lake):
-    return graph.edge_highlight(_edges(lake), _ball(lake), SEED)
+    return graph.edge_highlight(lake.edges, _ball(lake), SEED)
 
 
 # Checks
@@ -455,22 +441,22 @@ def findings(lake):
 
 @query
 def findings_by_check(lake):
-    return checks.by_check(lint.findings(lake))
+    return lint.by_check(lake)
 
 
 @query
 def findings_totals(lake):
-    return checks.totals(lint.findings(lake))
+    return lint.totals(lake)
 
 
 @query
 def findings_json(lake):
-    return sinks.findings_json(lint.findings(lake))
+    return lint.as_json(lake)
 
 
 @query
 def findings_report(lake):
-    return sinks.findings_report(lint.findings(lake))
+    return lint.report(lake)
 
 
 # Aggregates and order
@@ -550,32 +536,32 @@ def inverted_index(lake):
 
 @query
 def search_exact(lake):
-    return _rounded(search.search(_index(lake), "small widget", prefix=False, fuzzy=False))
+    return _rounded(search.search(lake.search_index, "small widget", prefix=False, fuzzy=False))
 
 
 @query
 def search_prefix(lake):
-    return _rounded(search.search(_index(lake), "widg presu prereq", fuzzy=False))
+    return _rounded(search.search(lake.search_index, "widg presu prereq", fuzzy=False))
 
 
 @query
 def search_fuzzy(lake):
-    return _rounded(search.search(_index(lake), "widgit prerequisit", prefix=False))
+    return _rounded(search.search(lake.search_index, "widgit prerequisit", prefix=False))
 
 
 @query
 def search_ranked(lake):
-    return _rounded(search.top(search.search(_index(lake), "smal widgit brand")))
+    return _rounded(search.top(search.search(lake.search_index, "smal widgit brand")))
 
 
 @query
 def search_topk(lake):
-    return _rounded(search.top(search.search(_index(lake), "red widget", prefix=False, fuzzy=False)))
+    return _rounded(search.top(search.search(lake.search_index, "red widget", prefix=False, fuzzy=False)))
 
 
 @query
 def search_hits(lake):
-    return _rounded(search.search_hits(search.search(_index(lake), "blue bolt economy"), lake.pages))
+    return _rounded(search.search_hits(search.search(lake.search_index, "blue bolt economy"), lake.pages))
 
 
 # Upkeep
@@ -583,10 +569,8 @@ def search_hits(lake):
 
 @query
 def source_drift(lake):
-    def fresh():
-        return stored(corpus.refetched(lake.docs.sparkSession, lake.origin), "refetched")
-
-    return maintenance.source_drift(lake.sources, _once(lake, "refetched", fresh))
+    fresh = corpus.refetched(lake.docs.sparkSession, lake.origin)
+    return maintenance.source_drift(lake.sources, fresh)
 
 
 @query

@@ -136,7 +136,9 @@ def test_k_hop_against_breadth_first(spark):
     assert pairs(ball, "seed", "path", "hop") == sorted(want)
 
 
-def test_search_against_direct_scoring(make_pages):
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_search_against_direct_scoring(make_pages, monkeypatch, limit):
+    monkeypatch.setattr(search, "BROADCAST_ROWS", limit)
     rng = random.Random(4)
     words = ["alpha", "alphas", "alpine", "beta", "betta", "gamma", "delta", "über"]
     texts = {f"p{i}.md": page(" ".join(rng.choices(words, k=rng.randint(0, 30))), title=" ".join(rng.choices(words, k=3)), tags=f"[{rng.choice(words)}]") for i in range(25)}
@@ -180,6 +182,10 @@ def test_search_against_direct_scoring(make_pages):
     for query in ("alpha", "alp beta", "über delta", "nothing"):
         got = {r.doc: r.score for r in search.search(index, query).collect()}
         assert got == pytest.approx(direct(query))
+    for words, prefix in (("alpha", False), ("alp", True)):
+        exact = {r.doc for r in search.search(index, words, prefix=prefix, fuzzy=False).collect()}
+        hit = (lambda t: t.startswith(words)) if prefix else (lambda t: t == words)
+        assert exact == {d for (d, _), ts in fields.items() if any(map(hit, ts))}
     assert search.search(index, "  !").count() == 0
     best = [r.doc for r in search.top(search.search(index, "alpha"), 5).collect()]
     want = direct("alpha")
