@@ -40,11 +40,11 @@ class Lake:
 
     @cached_property
     def source_files(self) -> DataFrame:
-        return companions.source_files(self.manifest)
+        return stored(companions.source_files(self.manifest), "source-files")
 
     @cached_property
     def index_entries(self) -> DataFrame:
-        return companions.index_entries(self.index_lines)
+        return stored(companions.index_entries(self.index_lines), "index-entries")
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -88,12 +88,12 @@ def rejected_pages(lake):
 
 @query
 def source_files(lake):
-    return lake.source_files
+    return companions.source_files(lake.manifest)
 
 
 @query
 def index_entries(lake):
-    return lake.index_entries
+    return companions.index_entries(lake.index_lines)
 
 
 @query

@@ -8,8 +8,8 @@ import pytest
 from conftest import page
 from pyspark.sql import functions as F
 
-from mdlake import lake as lakes
-from mdlake.operators import checks, edges as E, extract, filters, graph, joins, maintenance, search, sinks
+from mdlake import lake as lakes, session
+from mdlake.operators import checks, edges as E, filters, graph, joins, maintenance, search, sinks
 from mdlake.operators import aggregates as agg
 from mdlake.operators import projections as prj
 from mdlake.plans import lint, reader
@@ -242,14 +242,17 @@ def test_log_stream_drops_repeats(spark, tmp_path):
     assert pairs(spark.read.parquet(out), "date", "detail")[-2:] == [("2026-04-30", "B"), ("2026-05-01", "C")]
 
 
-def test_stored_needs_a_shared_folder(spark):
-    from mdlake import session
+class _Session:
+    """Just what shared_dir looks at."""
 
-    class Cluster:
-        conf = {}
-        sparkContext = type("C", (), {"master": "spark://x"})
+    def __init__(self, master, named):
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": f"{master}-{named}"})
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: named or default)})
 
-    Cluster.conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+def test_shared_folder():
+    assert session.shared_dir(_Session("spark://x", "hdfs://c/ck")) == "hdfs://c/ck"
     with pytest.raises(ValueError):
-        session.shared_dir(Cluster)
-    assert extract is not None and session.shared_dir(spark)
+        session.shared_dir(_Session("spark://x", None))
+    local = _Session("local[2]", None)
+    assert session.shared_dir(local) == session.shared_dir(local)
