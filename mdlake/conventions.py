@@ -45,6 +45,28 @@ CHECK_LABELS = {
     "index_dead_link": "Dead index link",
 }
 
+# Wording of findings; consumers match on it.
+CHECK_DETAILS = {
+    "frontmatter": "missing field: %s",
+    "source_missing": "source '%s' not found in sources/",
+    "likely_missing_source": "body references %s but no source field — should this be set?",
+    "missing_section": "%s page missing section: %s",
+    "open_risk": "🔲 %s",
+    "mentioned_in_missing": "mentioned_in: '%s' does not exist",
+    "not_in_index": "not listed in index.md",
+    "orphan_source": "no wiki page has source pointing here",
+    "index_dead_link": "entry '%s' does not exist",
+}
+
+# Lengths of shortened texts: risks in findings and in listings, titles in
+# listings, node labels (limit and kept part), blurbs, listed references.
+RISK_NOTE, RISK_CELL, TITLE_CELL = 80, 60, 50
+LABEL_LIMIT, LABEL_KEPT = 35, 33
+BLURB, LISTED_REFS = 180, 3
+
+# Weight of a graph node: base by type plus a share of the root of its degree.
+USE_CASE_WEIGHT, OTHER_WEIGHT, DEGREE_WEIGHT = 12.0, 9.0, 2.5
+
 # Character classes (to be put between square brackets). SPACE is what Python's
 # str.strip() removes, BREAK what str.splitlines() splits on, BLANK the rest.
 BREAK = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mdlake.conventions import (
-    CHECK_LABELS, ENTITY_SECTIONS, ENTITY_TYPES, NOT_ADDRESSED, REQUIRED_FIELDS, USE_CASE_SECTIONS,
+    CHECK_DETAILS, CHECK_LABELS, ENTITY_SECTIONS, ENTITY_TYPES, REQUIRED_FIELDS, USE_CASE_SECTIONS,
 )
 from mdlake.functions.columns import once
 from mdlake.functions.text import or_empty
@@ -20,6 +20,10 @@ def _texts(values: tuple[str, ...]) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def _detail(check: str, *values: Column) -> Column:
+    return F.format_string(CHECK_DETAILS[check], *values)
+
+
 def is_entity() -> Column:
     return F.coalesce(F.col("type").isin(*ENTITY_TYPES), F.lit(False))
 
@@ -38,7 +42,7 @@ def _has_source() -> Column:
 
 def missing_fields() -> Column:
     gaps = F.filter(_texts(REQUIRED_FIELDS), lambda f: F.coalesce(F.col("fm")[f], F.lit("")) == "")
-    return F.transform(gaps, lambda f: F.concat(F.lit("missing field: "), f))
+    return F.transform(gaps, lambda f: _detail("frontmatter", f))
 
 
 def missing_sections() -> Column:
@@ -49,7 +53,7 @@ def missing_sections() -> Column:
         absent = F.flatten(
             F.transform(seen, lambda h: F.filter(_texts(required), lambda s: ~F.contains(h, F.lower(s))))
         )
-        return F.transform(absent, lambda s: F.concat(F.lit(f"{kind} page missing section: "), s))
+        return F.transform(absent, lambda s: _detail("missing_section", F.lit(kind), s))
 
     return F.when(is_entity(), gaps("entity", ENTITY_SECTIONS)).when(~is_meta(), gaps("use-case", USE_CASE_SECTIONS))
 
@@ -59,16 +63,13 @@ def likely_missing_source() -> Column:
     # transform over a list of one gives the reference list a name
     notes = F.transform(
         F.array(source_ref_list(F.col("text"))),
-        lambda refs: F.when(
-            F.size(refs) > 0,
-            F.concat(F.lit("body references "), preview(refs), F.lit(" but no source field — should this be set?")),
-        ),
+        lambda refs: F.when(F.size(refs) > 0, _detail("likely_missing_source", preview(refs))),
     )
     return F.when(candidate, F.array_compact(notes))
 
 
 def open_risk_details() -> Column:
-    return F.transform(open_risk_notes(F.col("text")), lambda r: F.concat(F.lit(NOT_ADDRESSED + " "), r))
+    return F.transform(open_risk_notes(F.col("text")), lambda r: _detail("open_risk", r))
 
 
 LOCAL = {
@@ -106,7 +107,7 @@ def source_missing(pages: DataFrame, source_files: DataFrame) -> DataFrame:
     lost = skew_join(named, source_files.withColumnRenamed("name", "source_name"), "source_name", "left_anti", "path")
     return lost.select(
         F.col("path").alias("file"), F.lit("source_missing").alias("check"),
-        F.concat(F.lit("source '"), "source", F.lit("' not found in sources/")).alias("detail"),
+        _detail("source_missing", F.col("source")).alias("detail"),
     )
 
 
@@ -116,14 +117,14 @@ def mentioned_in_missing(pages: DataFrame, strip_dot_slash: bool = False) -> Dat
     lost = skew_join(refs, pages.select(F.col("path").alias("referrer")), "referrer", "left_anti", "path")
     return lost.select(
         F.col("path").alias("file"), F.lit("mentioned_in_missing").alias("check"),
-        F.concat(F.lit("mentioned_in: '"), "referrer", F.lit("' does not exist")).alias("detail"),
+        _detail("mentioned_in_missing", F.col("referrer")).alias("detail"),
     )
 
 
 def not_in_index(pages: DataFrame, index_entries: DataFrame) -> DataFrame:
     lost = pages.select("path").join(index_entries.select(F.col("entry").alias("path")), "path", "left_anti")
     return lost.select(
-        F.col("path").alias("file"), F.lit("not_in_index").alias("check"), F.lit("not listed in index.md").alias("detail")
+        F.col("path").alias("file"), F.lit("not_in_index").alias("check"), F.lit(CHECK_DETAILS["not_in_index"]).alias("detail")
     )
 
 
@@ -131,7 +132,7 @@ def orphan_source(pages: DataFrame, source_files: DataFrame) -> DataFrame:
     used = pages.where(_has_source()).select(F.col("source_name").alias("name")).distinct()
     return source_files.join(used, "name", "left_anti").select(
         F.concat(F.lit("sources/"), "name").alias("file"), F.lit("orphan_source").alias("check"),
-        F.lit("no wiki page has source pointing here").alias("detail"),
+        F.lit(CHECK_DETAILS["orphan_source"]).alias("detail"),
     )
 
 
@@ -140,7 +141,7 @@ def index_dead_link(pages: DataFrame, index_entries: DataFrame, manifest: DataFr
     lost = entry.join(pages.select("path"), "path", "left_anti").join(manifest.select("path"), "path", "left_anti")
     return lost.select(
         F.lit("index.md").alias("file"), F.lit("index_dead_link").alias("check"),
-        F.concat(F.lit("entry '"), "path", F.lit("' does not exist")).alias("detail"),
+        _detail("index_dead_link", F.col("path")).alias("detail"),
     )
 
 

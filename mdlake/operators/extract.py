@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mdlake.conventions import (
-    ACTION_REQUIRED, HANDLED, HEADING, NOT_ADDRESSED, OPEN_QUESTION, SOURCE_REF,
+    ACTION_REQUIRED, HANDLED, HEADING, LISTED_REFS, NOT_ADDRESSED, OPEN_QUESTION, RISK_CELL, RISK_NOTE, SOURCE_REF,
 )
 from mdlake.functions.columns import once
 from mdlake.functions.risk_tables import cell, open_table_rows, register_rows
@@ -54,14 +54,14 @@ def open_risks_query(pages: DataFrame) -> DataFrame:
     found = once(pages, rows=rows).select("path", F.posexplode("rows").alias("pos", "c"))
     c = F.col("c")
     return found.select(
-        F.col("path").alias("file"), "pos", F.substring(cell(c, 0), 1, 60).alias("risk"),
+        F.col("path").alias("file"), "pos", F.substring(cell(c, 0), 1, RISK_CELL).alias("risk"),
         cell(c, 1).alias("likelihood"), cell(c, 2).alias("impact"), cell(c, 4).alias("status"),
     )
 
 
 def open_risk_notes(text: Column) -> Column:
-    """First cells of rows not yet addressed, cut at 80 characters."""
-    return F.transform(open_table_rows(text, NOT_ADDRESSED), lambda c: F.substring(cell(c, 0), 1, 80))
+    """First cells of rows not yet addressed, cut to a note's length."""
+    return F.transform(open_table_rows(text, NOT_ADDRESSED), lambda c: F.substring(cell(c, 0), 1, RISK_NOTE))
 
 
 def open_questions(pages: DataFrame) -> DataFrame:
@@ -89,7 +89,8 @@ def source_ref_list(text: Column) -> Column:
 def preview(refs: Column) -> Column:
     """The first three and an ellipsis if there are more."""
     return F.concat(
-        F.array_join(F.slice(refs, F.lit(1), F.lit(3)), ", "), F.when(F.size(refs) > 3, "…").otherwise("")
+        F.array_join(F.slice(refs, F.lit(1), F.lit(LISTED_REFS)), ", "),
+        F.when(F.size(refs) > LISTED_REFS, "…").otherwise("")
     )
 
 

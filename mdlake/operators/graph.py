@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mdlake.conventions import DEGREE_WEIGHT, OTHER_WEIGHT, USE_CASE_WEIGHT
 from mdlake.operators.aggregates import inbound_degree, total_degree
 from mdlake.operators.edges import keep_between
 from mdlake.operators.filters import visible_nodes
@@ -25,10 +26,10 @@ def orphan_pages(edges: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def node_weight(edges: DataFrame, pages: DataFrame) -> DataFrame:
-    """12 for a use case, 9 for other pages, plus 2.5 times the root of the degree."""
+    """A base by type plus a share of the root of the degree."""
     nodes = pages.select("path", "page_type").join(total_degree(edges, pages), "path")
-    base = F.when(F.col("page_type") == "use-case", 12.0).otherwise(9.0)
-    return nodes.select("path", (base + 2.5 * F.sqrt(F.col("degree").cast("double"))).alias("weight"))
+    base = F.when(F.col("page_type") == "use-case", USE_CASE_WEIGHT).otherwise(OTHER_WEIGHT)
+    return nodes.select("path", (base + DEGREE_WEIGHT * F.sqrt(F.col("degree").cast("double"))).alias("weight"))
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mdlake.conventions import BLURB, LABEL_KEPT, LABEL_LIMIT, TITLE_CELL
 from mdlake.functions.dates import age_text, date_text
 from mdlake.functions.text import cut, or_empty
 
@@ -19,7 +20,7 @@ def provenance() -> Column:
 def page_summary(pages: DataFrame) -> DataFrame:
     return pages.select(
         F.col("path").alias("file"),
-        F.substring(or_empty(F.col("fm").getItem("title")), 1, 50).alias("title"),
+        F.substring(or_empty(F.col("fm").getItem("title")), 1, TITLE_CELL).alias("title"),
         or_empty(F.col("category")).alias("category"),
         or_empty(F.col("status")).alias("status"),
         date_text(F.col("last_reviewed"), F.col("last_reviewed_raw")).alias("last_reviewed"),
@@ -50,14 +51,14 @@ _OPENING = r"(?:\A|\n)(?![ \t]*(?:#|>|\||[-*+] |\d+[.)] |```|~~~|\n))[ \t]*([^\n
 _INLINE = r"(?s)(?:<|\*|`|!?\[[^\]]*\]\(|(?<![\p{L}\p{N}])_).*$"
 
 
-def page_blurb(pages: DataFrame, limit: int = 180) -> DataFrame:
+def page_blurb(pages: DataFrame, limit: int = BLURB) -> DataFrame:
     """The start of a page's first paragraph, up to the first inline mark-up."""
     first = F.regexp_extract("body", _OPENING, 1)
     return pages.select("path", F.substring(F.regexp_replace(first, _INLINE, ""), 1, limit).alias("blurb"))
 
 
 def labels(pages: DataFrame) -> DataFrame:
-    return pages.select("path", cut(F.col("title"), 35, 33).alias("label"))
+    return pages.select("path", cut(F.col("title"), LABEL_LIMIT, LABEL_KEPT).alias("label"))
 
 
 def search_docs(pages: DataFrame) -> DataFrame:
