@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mdlake.llm.tables import free_name
-from mdlake.llm.words import BY_LETTER, hash_words, lists
+from mdlake.llm.words import BY_LETTER, flat, hash_words, lists
 
 SLOTS = 1 << 18
 SAMPLE = 12_000  # labelled rows a model is fitted on, at most
-PENALTY = 2e-4  # L1, per labelled row
+PENALTY = 0.1  # L1, over the square root of the number of labelled rows
 STEPS = 300
 REJECT = 0.5  # of the probability of a grade above 0, from which a document is rejected
 _TELLING = 20.0  # times more frequent in toxic texts: words whose density grades a toxic text
@@ -42,7 +42,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-def fit_ordinal(rows: np.ndarray, slots: np.ndarray, values: np.ndarray, grades: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> OrdinalModel:
+def fit_ordinal(rows: np.ndarray, slots: np.ndarray, values: np.ndarray, grades: np.ndarray, penalty: float, steps: int = STEPS) -> OrdinalModel:
     """Fits the model to the sparse matrix (rows, slots, values) and grades 0 .. K - 1.
 
     Cuts are kept ascending as a first cut and positive gaps. A grade that does not occur gets a gap of almost nothing.
@@ -116,7 +116,7 @@ def graded(rows: np.ndarray, slots: np.ndarray, counts: np.ndarray, toxic: np.nd
     bad = toxic[rows] > 0
     n_bad, n_good = max(1, int((toxic > 0).sum())), max(1, int((toxic <= 0).sum()))
     in_bad, in_good = (np.bincount(slots[m], minlength=SLOTS) for m in (bad, ~bad))
-    telling = (in_bad >= max(3, 0.01 * n_bad)) & ((in_bad / n_bad) > _TELLING * (in_good + 0.5) / n_good)
+    telling = (in_bad >= max(3, 0.03 * n_bad)) & ((in_bad / n_bad) > _TELLING * (in_good + 0.5) / n_good)
     hits = np.bincount(rows, counts * telling[slots], minlength=len(toxic))
     grades = np.zeros(len(toxic), np.int64)
     of_bad = np.flatnonzero(toxic > 0)
@@ -150,14 +150,39 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SA
 
     sampled = rows.mapInArrow(run, "toxic int, slots array<int>, counts array<int>").toArrow()
     toxic = sampled.column("toxic").to_numpy().astype(np.int64)
-    per_row = np.array(sampled.column("slots").combine_chunks().value_lengths(), np.int64)
-    slots = sampled.column("slots").combine_chunks().flatten().to_numpy().astype(np.int64)
-    counts = sampled.column("counts").combine_chunks().flatten().to_numpy().astype(np.float64)
-    row = np.repeat(np.arange(len(toxic)), per_row)
-    # words of hardly any labelled text say nothing
-    common = np.bincount(slots, minlength=SLOTS) >= 5
-    keep = common[slots]
-    return fit_ordinal(row[keep], slots[keep], np.log1p(counts[keep]), graded(row, slots, counts, toxic))
+    slots, per_row = flat(sampled.column("slots"))
+    slots, counts = slots.astype(np.int64), flat(sampled.column("counts"))[0].astype(np.float64)
+    return fit_sample(np.repeat(np.arange(len(toxic)), per_row), slots, counts, toxic)
+
+
+def fit_sample(rows: np.ndarray, slots: np.ndarray, counts: np.ndarray, toxic: np.ndarray) -> OrdinalModel:
+    """Selects words with an L1 penalty and fits the chosen ones again with a twentieth of it, on one text of each family of copies."""
+    first = _one_per_family(rows, slots, len(toxic))
+    number = np.cumsum(first) - 1
+    keep = first[rows]
+    rows, slots, counts, toxic = number[rows[keep]], slots[keep], counts[keep], toxic[first]
+    grades, n = graded(rows, slots, counts, toxic), max(1, len(toxic))
+    common = np.bincount(slots, minlength=SLOTS) >= max(5, 0.005 * n)  # words of hardly any text say nothing
+    for penalty in (PENALTY / n**0.5, PENALTY / 20 / n**0.5):
+        keep = common[slots]
+        model = fit_ordinal(rows[keep], slots[keep], np.log1p(counts[keep]), grades, penalty)
+        common = model.weights != 0
+    return model
+
+
+def _one_per_family(rows: np.ndarray, slots: np.ndarray, n: int) -> np.ndarray:
+    """Marks one row of those that share their smallest hashed rare word, as near copies mostly do.
+
+    Otherwise the words of a text with many copies would be learned as toxic, or not, with its label.
+    """
+    seen = np.bincount(slots, minlength=SLOTS)
+    rare = seen[slots] <= max(2, 0.02 * n)
+    least = np.full(n, SLOTS + n, np.int64) + np.arange(n)
+    shuffled = np.random.default_rng(1).permutation(SLOTS)
+    np.minimum.at(least, rows[rare], shuffled[slots[rare]])
+    first = np.zeros(n, bool)
+    first[np.unique(least, return_index=True)[1]] = True
+    return first
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
