@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdlake.llm import pii, secrets, sentencepieces, toxicity, urls, warc
+from mdlake.llm import decontaminate, neardup, pii, secrets, sentencepieces, toxicity, urls, warc
 from mdlake.llm.tables import table
 
 
@@ -38,6 +38,15 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.report(decontaminate.mark(docs, table(spark, sf_dir, "benchmark")))
+
+
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents"), ["doc_id"]))
 
@@ -48,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_urls": op6_urls,
+    "op7_decontamination": op7_decontamination,
+    "op9_neardup": op9_neardup,
     "op10_secrets": op10_secrets,
 }
 
