@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdlake.llm import decontaminate, neardup, pii, secrets, sentencepieces, toxicity, urls, warc
+from mdlake.llm import decontaminate, lm, neardup, pii, secrets, sentencepieces, toxicity, urls, warc
 from mdlake.llm.tables import table
 
 
@@ -43,6 +43,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.mark(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op6_urls": op6_urls,
     "op7_decontamination": op7_decontamination,
+    "op8_lm": op8_lm,
     "op9_neardup": op9_neardup,
     "op10_secrets": op10_secrets,
 }
