@@ -179,7 +179,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     kinds = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
-    return archives.repartition(F.col("path")).mapInArrow(run, kinds)
+    return archives.repartition(max(1, min(archives.count(), 100_000)), "path").mapInArrow(run, kinds)
 
 
 def archive_folder(spark: SparkSession) -> str:
