@@ -6,12 +6,13 @@ interpolated with one of one and of none, each with the weight of what was seen
 A URL is judged by the difference of its log-likelihoods per character.
 
 Everything is DataFrame work. URLs are reduced to an alphabet of 40 symbols, so that
-the models are a table of 40**3 cells whatever the data; it becomes one array that
+the models are a table of 40**3 cells whatever the data; it becomes one constant that
 every row is scored against in place. No row moves for scoring.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,11 @@ _WEIGHT = 5.0  # pseudo-counts of the shorter context
 BLOCK_SHARE = 0.02  # of accepted held-out URLs that the threshold lets be blocked, at most
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is used inside."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """A null URL or one without :// has an empty host and path."""
     at = F.locate("://", F.coalesce(url, F.lit("")))
@@ -59,9 +65,11 @@ def symbols(url: Column) -> Column:
 
 def cells(s: Column) -> Column:
     """The cell (two symbols of context and the next) of each position."""
-    return F.transform(
-        F.sequence(F.lit(0), F.size(s) - 3),
-        lambda i: (F.get(s, i) * SYMBOLS + F.get(s, i + 1)) * SYMBOLS + F.get(s, i + 2),
+    return _let(
+        s,
+        lambda s: F.transform(
+            F.sequence(F.lit(0), F.size(s) - 3), lambda i: (F.get(s, i) * SYMBOLS + F.get(s, i + 1)) * SYMBOLS + F.get(s, i + 2)
+        ),
     )
 
 
@@ -110,13 +118,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, url
     rule, verdict = rule_columns(F.col(names[0]), F.col(names[1]), RULES if rules is None else rules)
     ruled = split.select("*", rule.alias(names[2]), verdict.alias("_ruled"), F.pmod(F.xxhash64(key, url), F.lit(10)).alias("_tenth"))
     labelled = ruled.where("_ruled IS NOT NULL")
-    table = ratio_table(labelled.where("_tenth > 0").select(cells(symbols(F.col(url))).alias("cells"), F.col("_ruled").alias("verdict"))).first()["table"]
+    table = ratio_table(labelled.where("_tenth > 0").select(cells(symbols(F.col(url))).alias("cells"), F.col("_ruled").alias("verdict")))
+    ratios = F.lit(np.array(table.first()["table"]))  # one constant of SYMBOLS**3 numbers
 
     def scored(df: DataFrame) -> DataFrame:
-        ratios = F.lit(table)
-        own = cells(symbols(F.col(url)))
-        total = F.aggregate(own, F.lit(0.0), lambda sum_, cell: sum_ + F.get(ratios, cell))
-        return df.withColumn(names[4], total / F.size(own))
+        mean = _let(cells(symbols(F.col(url))), lambda own: F.aggregate(own, F.lit(0.0), lambda sum_, cell: sum_ + F.get(ratios, cell)) / F.size(own))
+        return df.select("*", F.explode(F.array(mean)).alias(names[4]))  # a one-row generator: not computed again for the verdict
 
     held_out = scored(labelled.where("_tenth = 0 AND _ruled = 'allow'")).agg(F.percentile_approx(names[4], BLOCK_SHARE, 10_000)).first()[0]
     least = min(0.0, held_out) if held_out is not None else 0.0
