@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from mdlake.llm.tables import free_name
+from mdlake.llm.words import flat
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -168,7 +169,10 @@ def decode(encoded: DataFrame, ids: str = "ids", text: str = "decoded", model: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back = decoder(vocabulary)
         for batch in batches:
-            texts = [None if x is None else back(x) if x else "" for x in batch.column(ids).to_pylist()]
+            every, counts = flat(batch.column(ids))
+            ends = np.cumsum(counts)
+            known = batch.column(ids).is_valid().to_pylist()
+            texts = [(back(every[b - n : b].tolist()) if n else "") if k else None for n, b, k in zip(counts.tolist(), ends.tolist(), known)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
     return encoded.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in encoded.schema), T.StructField(out, T.StringType())]))
