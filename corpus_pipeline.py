@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdlake.llm import pii, sentencepieces, toxicity
+from mdlake.llm import decontaminate, neardup, pii, sentencepieces, toxicity
 from mdlake.llm.tables import table
 from mdlake.session import stored
 
@@ -20,13 +20,24 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return scored.where(F.col(scored.columns[-1]) < toxicity.REJECT).select(*docs.columns)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies."""
+    return neardup.distinct_documents(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of benchmark passages; n_chars follows the text."""
+    clean = decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark"))
+    return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that give it away replaced; n_chars follows the text."""
     return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, the ids of the text, their number, and whether they decode to the text."""
+    """doc_id, lang, source, the ids of the text, their number, and whether they decode to the text."""
     ids = sentencepieces.encode(docs, ["doc_id", "lang", "source", "text"])
     back = sentencepieces.decode(ids)
     whole = F.coalesce("text", F.lit("")) == F.col("decoded")
@@ -35,6 +46,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", without_toxic),
+    ("near copies", without_near_copies),
+    ("benchmark passages", without_benchmark),
     ("personal data", without_personal_data),
     ("sentencepiece", encoded),
 ]
