@@ -37,7 +37,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")  # a match always ends its
 _CARD = re.compile(r"[0-9](?:[ -]?+[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]{3,}")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]{3,}")
 
 WINDOW = 60  # characters on each side of a mention in which words are its terms
 LEAST_TOGETHER = 3  # documents in which a pair must occur to be judged
@@ -106,15 +106,15 @@ def _terms(text: str, hits: list[tuple[str, int, int]]) -> list[dict]:
     return [{"entity": e, "term": h, "start": a, "end": b} for (e, _, a, b), h in zip(found, hashes.view(np.int64).tolist())]
 
 
-def _scan(columns: list[str], text: str):
+def _scan(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, terms = [], []
-            for x in batch.column(text).to_pylist():
+            for x in batch.column("kept").field(text).to_pylist():
                 hits = base_hits(x or "")
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in hits])
                 terms.append(_terms(x, hits) if hits else [])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(spans, _ARROW_SPANS), pa.array(terms, _ARROW_TERMS)], [*columns, "_spans", "_terms"])
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(spans, _ARROW_SPANS), pa.array(terms, _ARROW_TERMS)], ["kept", "spans", "terms"])
 
     return run
 
@@ -138,11 +138,11 @@ def _documents_of(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
     return docs.select(text).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def disclosing(scanned: DataFrame, docs: DataFrame, text: str, row: str) -> DataFrame:
+def disclosing(scanned: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """(entity, term, share): how much of an entity's information a term reveals, for pairs seen together often enough."""
-    mention = scanned.where(F.size("_terms") > 0).select(row, F.explode("_terms").alias("t")).select(row, "t.entity", "t.term").distinct()
+    mention = scanned.where(F.size("terms") > 0).select("row", F.explode("terms").alias("t")).select("row", "t.entity", "t.term").distinct()
     together = stored(mention.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= LEAST_TOGETHER), "pii-pairs")
-    entities = mention.select(row, "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = mention.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     slots = together.select(F.col("term").bitwiseAND(F.lit(_FLAGS - 1)).cast("int").alias("slot")).distinct().toPandas()["slot"]  # at most 2**20
     wanted = np.zeros(_FLAGS, bool)
     wanted[slots.to_numpy(np.int64)] = True
@@ -162,22 +162,27 @@ def find_pii(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     each by start. Positions count code points, ends are exclusive. A null text counts as empty. Repeated rows
     count as documents of their own.
     """
-    out, row = free_name(docs.select(*keep), "pii"), "_row"
-    fields = [T.StructField(docs.schema[c].name, docs.schema[c].dataType) for c in keep]
-    schema = T.StructType([*fields, T.StructField("_spans", T.ArrayType(SPAN)), T.StructField("_terms", T.ArrayType(_TERM))])
-    scan = docs.select(*dict.fromkeys([*keep, text])).mapInArrow(_scan(keep, text), schema)
-    scanned = stored(scan.withColumn(row, F.monotonically_increasing_id()), "pii-scan")  # written once: row numbers stay
-    shares = disclosing(scanned, scanned if text in keep else docs, text, row).where(F.col("share") >= GENERALISE)
-    near = scanned.where(F.size("_terms") > 0).select(row, F.explode("_terms").alias("t")).select(row, "t.*")
+    out = free_name(docs.select(*keep), "pii")
+    kept = F.struct(*dict.fromkeys([*keep, text])).alias("kept")  # as one column, so that no name can clash
+    rows = docs.select(kept)
+    schema = T.StructType([*rows.schema, T.StructField("spans", T.ArrayType(SPAN)), T.StructField("terms", T.ArrayType(_TERM))])
+    scan = rows.mapInArrow(_scan(text), schema).withColumn("row", F.monotonically_increasing_id())
+    if text not in keep:
+        scan = scan.withColumn("kept", F.struct(*(F.col(f"kept.`{c}`") for c in keep)))
+    scanned = stored(scan, "pii-scan")  # written once: row numbers stay
+    corpus = scanned.select(F.col(f"kept.`{text}`").alias(text)) if text in keep else docs
+    shares = disclosing(scanned, corpus, text).where(F.col("share") >= GENERALISE)
+    near = scanned.where(F.size("terms") > 0).select("row", F.explode("terms").alias("t")).select("row", "t.*")
     kind = F.when(F.col("share") >= REMOVE, "term").otherwise("class")
     added = (
         near.join(shares, ["entity", "term"])
-        .groupBy(row, "start", "end").agg(F.max(kind).alias("kind"))  # removal goes first
-        .groupBy(row).agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("_added"))
+        .groupBy("row", "start", "end").agg(F.max(kind).alias("kind"))  # removal goes first
+        .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
     )
-    both = scanned.join(stored(added, "pii-terms"), row, "left")
-    ordered = lambda k: F.filter("_added", lambda s: s["kind"] == k)
-    return both.select(*keep, F.concat("_spans", F.coalesce(F.concat(ordered("term"), ordered("class")), F.array().cast(T.ArrayType(SPAN)))).alias(out))
+    both = scanned.join(stored(added, "pii-terms"), "row", "left")
+    ordered = lambda k: F.filter("added", lambda s: s["kind"] == k)
+    more = F.coalesce(F.concat(ordered("term"), ordered("class")), F.array().cast(T.ArrayType(SPAN)))
+    return both.select("kept.*", F.concat("spans", more).alias(out))
 
 
 _CLASS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[REMOVED]"}

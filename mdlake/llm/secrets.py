@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and Markov models of random strings and ordinary identifiers.
 
 The fixed patterns find assignments, access keys and long hexadecimal strings.
-Their values are the labelled sample of random strings; all other runs of token
-characters are the ordinary identifiers. From both, first-order character models
+Their values are the labelled sample of random strings; all other runs of fewer than
+20 token characters are the ordinary identifiers. From both, first-order character models
 are counted over the whole corpus (two tables of fixed size), and every further
 long token is a secret if its log-likelihood ratio per character is nearer to the
 random strings' mean than to the identifiers'.
@@ -37,6 +37,7 @@ _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_TOKEN)
 
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 SYMBOLS = len(_ALPHABET) + 1  # 0 stands for a token's start and end
+_WEIGHT = 5.0  # pseudo-counts of a symbol's own frequency
 _SYMBOL = np.zeros(256, np.int32)
 _SYMBOL[[ord(c) for c in _ALPHABET]] = np.arange(1, SYMBOLS)
 
@@ -85,33 +86,29 @@ def _pairs(data: np.ndarray) -> np.ndarray:
     return np.bincount(symbols[:-1] * SYMBOLS + symbols[1:], minlength=SYMBOLS * SYMBOLS)
 
 
-def _scan(keep: list[str], text: str):
+def _scan(text: str):
+    names = ["kept", "spans", "tokens", "random", "ordinary"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        everything, random = np.zeros(SYMBOLS**2, np.int64), np.zeros(SYMBOLS**2, np.int64)
-        empty = None
+        everything, random, unknown = (np.zeros(SYMBOLS**2, np.int64) for _ in range(3))
+        kind = None
         for batch in batches:
             spans, tokens, values = [], [], []
-            for x in batch.column(text).to_pylist():
+            texts = batch.column("kept").field(text)
+            for x in texts.to_pylist():
                 hits, own = base_hits(x or "")
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in hits])
                 tokens.append([{"token": t, "start": s, "end": e} for t, s, e in _long_tokens(x or "", hits)])
                 values += own
-            for _, _, data, _ in chunks(batch.column(text)):
+            for _, _, data, _ in chunks(texts):
                 everything += _pairs(data)
             random += _pairs(np.frombuffer("\n".join(values).encode(), np.uint8))
-            n = batch.num_rows
-            kept = [batch.column(c) for c in keep]
-            empty = [pa.nulls(1, c.type) for c in kept]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(spans, _ARROW_SPANS), pa.array(tokens, _ARROW_LONG), pa.nulls(n, _ARROW_CELLS), pa.nulls(n, _ARROW_CELLS)],
-                [*keep, "_spans", "_tokens", "_random", "_ordinary"],
-            )
-        if empty is not None:
-            ordinary = np.maximum(everything - random, 0)
-            yield pa.RecordBatch.from_arrays(
-                [*empty, pa.nulls(1, _ARROW_SPANS), pa.nulls(1, _ARROW_LONG), _sparse(random), _sparse(ordinary)],
-                [*keep, "_spans", "_tokens", "_random", "_ordinary"],
-            )
+            unknown += _pairs(np.frombuffer("\n".join(t["token"] for own in tokens for t in own).encode(), np.uint8))
+            kind, none = batch.column("kept").type, pa.nulls(batch.num_rows, _ARROW_CELLS)
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(spans, _ARROW_SPANS), pa.array(tokens, _ARROW_LONG), none, none], names)
+        if kind is not None:  # a last row with the counts
+            ordinary = np.maximum(everything - random - unknown, 0)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, _ARROW_SPANS), pa.nulls(1, _ARROW_LONG), _sparse(random), _sparse(ordinary)], names)
 
     return run
 
@@ -132,11 +129,12 @@ def _counts(scanned: DataFrame, column: str) -> np.ndarray:
 
 
 def ratio_model(random: np.ndarray, ordinary: np.ndarray) -> tuple[np.ndarray, float]:
-    """Log-likelihood ratios of symbol pairs (add-one smoothing) and the dividing mean ratio.
+    """Log-likelihood ratios of symbol pairs and the dividing mean ratio.
 
-    Without any random sample, random strings are taken to be uniform.
+    A symbol's frequency (add-one) smooths what follows each symbol. Without any random sample, random strings are taken to be uniform.
     """
-    log_r, log_o = (np.log((c + 1) / (c.sum(1, keepdims=True) + SYMBOLS)) for c in (random, ordinary))
+    single = ((c.sum(0) + 1) / (c.sum() + SYMBOLS) for c in (random, ordinary))
+    log_r, log_o = (np.log((c + _WEIGHT * p) / (c.sum(1, keepdims=True) + _WEIGHT)) for c, p in zip((random, ordinary), single))
     ratio = log_r - log_o
     of = [float((c * ratio).sum() / c.sum()) if c.sum() else float(ratio[1:, 1:].mean()) for c in (random, ordinary)]
     return ratio, max(0.0, (of[0] + of[1]) / 2)
@@ -155,24 +153,27 @@ def find_secrets(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
     A null text counts as empty; rows, repeated ones and those with null ids included, stay as they are.
     """
     out = free_name(docs.select(*keep), "secrets")
-    schema = T.StructType([docs.schema[c] for c in keep])
-    for field in schema:
-        field.nullable = True
-    counts = T.ArrayType(_CELL)
-    schema = T.StructType([*schema, T.StructField("_spans", T.ArrayType(_SPAN)), T.StructField("_tokens", T.ArrayType(_LONG)), T.StructField("_random", counts), T.StructField("_ordinary", counts)])
-    scanned = stored(docs.select(*dict.fromkeys([*keep, text])).mapInArrow(_scan(keep, text), schema), "secret-scan")
-    ratio, least = ratio_model(_counts(scanned, "_random"), _counts(scanned, "_ordinary"))
+    rows = docs.select(F.struct(*dict.fromkeys([*keep, text])).alias("kept"))  # as one column, so that no name can clash
+    cells, spans = T.ArrayType(_CELL), T.ArrayType(_SPAN)
+    more = [("spans", spans), ("tokens", T.ArrayType(_LONG)), ("random", cells), ("ordinary", cells)]
+    schema = T.StructType([T.StructField("kept", rows.schema["kept"].dataType), *(T.StructField(*m) for m in more)])
+    scan = rows.mapInArrow(_scan(text), schema)
+    if text not in keep:
+        scan = scan.withColumn("kept", F.struct(*(F.col(f"kept.`{c}`") for c in keep)))
+    scanned = stored(scan, "secret-scan")
+    ratio, least = ratio_model(_counts(scanned, "random"), _counts(scanned, "ordinary"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for spans, tokens in zip(batch.column("_spans").to_pylist(), batch.column("_tokens").to_pylist()):
+            found = []
+            for own, tokens in zip(batch.column("spans").to_pylist(), batch.column("tokens").to_pylist()):
                 more = [{"kind": "random", "start": t["start"], "end": t["end"]} for t in tokens if token_score(t["token"], ratio) > least]
-                rows.append(sorted(spans + more, key=lambda s: (s["start"], (*KINDS, "random").index(s["kind"]))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(rows, _ARROW_SPANS)], [*keep, out])
+                found.append(sorted(own + more, key=lambda s: (s["start"], (*KINDS, "random").index(s["kind"]))))
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(found, _ARROW_SPANS)], ["kept", "found"])
 
-    result = T.StructType([*(f for f in schema if f.name in keep), T.StructField(out, T.ArrayType(_SPAN))])
-    return scanned.where("_spans IS NOT NULL").select(*keep, "_spans", "_tokens").mapInArrow(judge, result)
+    rows = scanned.where("spans IS NOT NULL").select("kept", "spans", "tokens")
+    judged = rows.mapInArrow(judge, T.StructType([rows.schema["kept"], T.StructField("found", spans)]))
+    return judged.select("kept.*", F.col("found").alias(out))
 
 
 def report(found: DataFrame) -> DataFrame:
