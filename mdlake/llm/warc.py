@@ -102,7 +102,7 @@ def _write(folder: str):
 
         def save(records: list[bytes]) -> pa.RecordBatch:
             name = f"{uuid.uuid4().hex}.warc.zst"
-            with store.open_output_stream(f"{root}/{name}") as out:
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:
                 out.write(archive_of(records))
             return pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "records": len(records)}], pa.schema([("path", pa.string()), ("records", pa.int64())]))
 
@@ -161,7 +161,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 store, name = fs.FileSystem.from_uri(path)
-                with store.open_input_stream(name) as file:
+                with store.open_input_stream(name, compression=None) as file:
                     archive = file.read()
                 rows, size = [], 0
                 for head, block in records_of(archive):
