@@ -9,8 +9,8 @@ two sketches, and two registers agree about as often as the sets' shingles do.
 3. A pair's similarity is estimated from its registers by maximum likelihood. What cannot be similar enough is left out, the rest is
    verified on the full sets.
 4. Where a bucket still holds documents of several components, the documents outside the bucket's largest component are
-   compared with the others by their registers, in slices of bounded size: first the likeliest partner in each component is
-   verified, then, for what is still apart, all partners that are likely enough. Pairs inside a component are never listed.
+   compared with the others by their registers, in blocks of bounded size, and verified there. Pairs inside a component are not
+   compared any more, and only links that join components are returned.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mdlake.llm.components import components
-from mdlake.llm.words import BY_SPACE, hash_words, lists, mixed
+from mdlake.llm.words import BY_SPACE, flat, hash_words, lists, mixed
 from mdlake.session import stored
 
 SHINGLE = 5
@@ -161,46 +161,64 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(shared * 100 >= (F.size("set_a") + F.size("set_b") - shared) * NEEDED).select("a", "b")
 
 
-def _across(shared: DataFrame, found: DataFrame, reps: DataFrame, best_only: bool) -> DataFrame:
-    """Likely pairs (a, b) of documents of one bucket that are in different components.
+def _across(shared: DataFrame, found: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect documents of one bucket that are in different components so far.
 
-    With ``best_only``, of each document outside the bucket's largest component only the likeliest partner in every other one.
+    The documents outside the bucket's largest component meet the others in blocks of SLICE by SLICE. A block compares them on
+    their registers, verifies what is likely on the full sets, and returns only links that join two components, hence
+    fewer than it has documents.
     """
     member = shared.where("n > 2").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     sizes = member.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("hub"), F.count("*").alias("parts")).where("parts > 1")
-    slices = F.ceil(F.col("n") / SLICE).cast("int")
-    member = member.join(several.select("bucket", "hub", slices.alias("slices")), "bucket").join(reps.select("id", "registers", "n_shingles"), "id")
-    rest = (F.col("component") != F.col("hub"))
-    columns = ["bucket", "id", "component", "registers", "n_shingles"]
-    seen = member.select(*columns, F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), F.lit(False).alias("asks"))
-    asks = member.where(rest).select(*columns, F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("asks"))
+    several = (
+        sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("hub"), F.count("*").alias("parts")).where("parts > 1")
+        .select("bucket", F.col("hub.component").alias("hub"), *(F.ceil(x / SLICE).cast("int").alias(y) for x, y in ((F.col("n"), "slices"), (F.col("n") - F.col("hub.n"), "blocks"))))
+    )
+    own = reps.select("id", "registers").join(sets, "id")
+    member = member.join(several, "bucket").join(own, "id")
+    columns = ["bucket", "id", "component", "registers", "shingles"]
+
+    def place(n: str):
+        return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    seen = member.select(*columns, place("slices").alias("slice"), every("blocks").alias("block"), F.lit(False).alias("asks"))
+    asks = member.where("component <> hub").select(*columns, every("slices").alias("slice"), place("blocks").alias("block"), F.lit(True).alias("asks"))
 
     def run(group: pa.Table) -> pa.Table:
-        id_, part, asking, size = (group.column(c).to_numpy() for c in ("id", "component", "asks", "n_shingles"))
+        id_, part, asking = (group.column(c).to_numpy() for c in ("id", "component", "asks"))
+        flat_, size = flat(group.column("shingles"))
+        first = np.cumsum(size) - size
         own = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         bucket = np.int64(group.column("bucket")[0].as_py()).view(np.uint64)
         bands = own.view(np.uint64)
         band = int(np.flatnonzero(mixed(bands[0] + mixed(np.arange(bands.shape[1], dtype=np.uint64))) == bucket)[0])
-        left, right = np.flatnonzero(asking), np.flatnonzero(~asking)
-        out = []
-        for row in left:
-            to = right[(part[right] != part[row])]
+        part, seen, out = part.copy(), np.flatnonzero(~asking), []
+        for row in np.flatnonzero(asking):
+            to = seen[part[seen] != part[row]]
             small, big = np.minimum(size[to], size[row]), np.maximum(size[to], size[row])
-            to = to[small * 100 >= big * NEEDED]
+            to = to[small * 100 >= big * NEEDED]  # the intersection is no larger than the smaller set
             to = to[~(bands[to, :band] == bands[row, :band]).any(1)]  # a pair belongs to the first band it shares
             if not len(to):
                 continue
             score = estimate(np.repeat(own[row][None], len(to), 0), own[to], np.full(len(to), float(size[row])), size[to].astype(float))
-            to, score = to[score >= LIKELY], score[score >= LIKELY]
-            if best_only and len(to):
-                order = np.lexsort((id_[to], -score, part[to]))
-                to = to[order[np.unique(part[to][order], return_index=True)[1]]]
-            out.append(np.stack([np.full(len(to), id_[row]), id_[to]], axis=1))
-        pairs = np.concatenate([np.zeros((0, 2), np.int64), *out])
-        return pa.table({"a": pairs.min(1), "b": pairs.max(1)} if len(pairs) else {"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return seen.union(asks).groupBy("bucket", "slice").applyInArrow(run, "a bigint, b bigint").distinct()
+            to = to[np.argsort(-score, kind="stable")[: int((score >= LIKELY).sum())]]
+            mine = np.sort(flat_[first[row] : first[row] + size[row]])
+            while len(to):  # the likeliest first; what they connect need not be verified any more
+                now, to = to[:64], to[64:]
+                theirs = np.concatenate([flat_[first[t] : first[t] + size[t]] for t in now])
+                hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                common = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[now]) - size[now])
+                for t in now[common * 100 >= (size[row] + size[now] - common) * NEEDED]:
+                    if part[t] != part[row]:
+                        out.append((int(id_[row]), int(id_[t])))
+                        part[part == part[t]] = part[row]
+                to = to[part[to] != part[row]]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return seen.union(asks).groupBy("bucket", "slice", "block").applyInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -221,10 +239,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     first = _likely(shared.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), reps)
     links = stored(_verified(first, sets), "links")
     found = components(links)
-    for best_only in (True, False):
-        more = _verified(_across(shared, found, reps, best_only), sets)
-        links = stored(found.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more), "links")
-        found = components(links)
+    more = _across(shared, found, reps, sets)
+    found = components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more))
     of_class = classes.join(found, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
     component = F.coalesce("component", "doc_id")
     return sketched.select("doc_id", "n_shingles", "key").join(of_class, "key", "left").select(
