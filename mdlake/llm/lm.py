@@ -23,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdlake.llm.words import BY_SPACE, hash_words, lists, mixed
+from mdlake.llm.words import BY_SPACE, chunks, hash_chunk, lists, mixed
 from mdlake.session import stored
 
-CHUNK_WORDS = 2_000_000  # words of a chunk, unless a single batch of documents has more
+CHUNK_WORDS = 2_000_000  # words of a chunk, about
 RANGE_WORDS = 1_000_000  # words of the corpus for each range of hashes
 END = np.uint64(0x8F1BBCDCBFA53E0B)  # the end of a text, which is also what its first word follows
 TENTHS, HELD_OUT, DELETED = 10, 0, 1  # the remainders of documents that are not learned from, and that weights are learned on
@@ -83,20 +83,21 @@ def chunked(docs: DataFrame, text: str) -> DataFrame:
             )
 
         for batch in batches:
-            hashes, counts = hash_words(batch.column(text), BY_SPACE)
-            lengths = counts + 1
-            ends = np.cumsum(lengths) - 1
-            stream = np.full(int(lengths.sum()), END, np.uint64)
-            inside = np.ones(len(stream), bool)
-            inside[ends] = False
-            stream[inside] = hashes
-            ids, tenths = np.array(batch.column("doc_id").to_pylist(), object), batch.column("tenth").to_numpy()
-            for deleted in (False, True):
-                rows = (tenths == DELETED) == deleted
-                if rows.any():
-                    waiting[deleted].append((stream[np.repeat(rows, lengths)], lengths[rows], ids[rows], tenths[rows]))
-                    if sum(len(x[0]) for x in waiting[deleted]) >= CHUNK_WORDS:
-                        yield emit(deleted)
+            every_id, every_tenth = np.array(batch.column("doc_id").to_pylist(), object), batch.column("tenth").to_numpy()
+            for first, last, data, offsets in chunks(batch.column(text)):
+                hashes, _, _, counts = hash_chunk(data, offsets, BY_SPACE)
+                lengths = counts + 1
+                stream = np.full(int(lengths.sum()), END, np.uint64)
+                inside = np.ones(len(stream), bool)
+                inside[np.cumsum(lengths) - 1] = False
+                stream[inside] = hashes
+                ids, tenths = every_id[first:last], every_tenth[first:last]
+                for deleted in (False, True):
+                    rows = (tenths == DELETED) == deleted
+                    if rows.any():
+                        waiting[deleted].append((stream[np.repeat(rows, lengths)], lengths[rows], ids[rows], tenths[rows]))
+                        if sum(len(x[0]) for x in waiting[deleted]) >= CHUNK_WORDS:
+                            yield emit(deleted)
         for deleted in (False, True):
             if waiting[deleted]:
                 yield emit(deleted)
