@@ -30,6 +30,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz" + "0./-_?=&:%#"
 SYMBOLS = 40  # 0: start and end, 1: any other character, then the alphabet; digits are one symbol
 _WEIGHT = 5.0  # pseudo-counts of the shorter context
+STEPS = 1000  # log ratios are kept to a thousandth
 BLOCK_SHARE = 0.02  # of accepted held-out URLs that the threshold lets be blocked, at most
 
 
@@ -119,10 +120,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, url
     ruled = split.select("*", rule.alias(names[2]), verdict.alias("_ruled"), F.pmod(F.xxhash64(key, url), F.lit(10)).alias("_tenth"))
     labelled = ruled.where("_ruled IS NOT NULL")
     table = ratio_table(labelled.where("_tenth > 0").select(cells(symbols(F.col(url))).alias("cells"), F.col("_ruled").alias("verdict")))
-    ratios = F.lit(np.array(table.first()["table"]))  # one constant of SYMBOLS**3 numbers
+    steps = np.rint(np.array(table.first()["table"]) * STEPS) + 32768
+    ratios = F.lit(steps.clip(0, 65535).astype(">u2").tobytes())  # one constant of two bytes per cell
+
+    def ratio_of(cell: Column) -> Column:
+        return (F.conv(F.hex(F.substring(ratios, cell * 2 + 1, F.lit(2))), 16, 10).cast("double") - 32768) / STEPS
 
     def scored(df: DataFrame) -> DataFrame:
-        mean = _let(cells(symbols(F.col(url))), lambda own: F.aggregate(own, F.lit(0.0), lambda sum_, cell: sum_ + F.get(ratios, cell)) / F.size(own))
+        mean = _let(cells(symbols(F.col(url))), lambda own: F.aggregate(own, F.lit(0.0), lambda sum_, cell: sum_ + ratio_of(cell)) / F.size(own))
         return df.select("*", F.explode(F.array(mean)).alias(names[4]))  # a one-row generator: not computed again for the verdict
 
     held_out = scored(labelled.where("_tenth = 0 AND _ruled = 'allow'")).agg(F.percentile_approx(names[4], BLOCK_SHARE, 10_000)).first()[0]
