@@ -13,6 +13,7 @@ Nothing is shuffled. The vocabulary is read once on the driver and sent with the
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from mdlake.llm.tables import free_name
-from mdlake.llm.words import flat
+from mdlake.llm.words import flat, lists
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-_KNOWN_WORDS = 200_000  # words a task remembers
+_KNOWN_WORDS = 600_000  # words a task remembers, about 200 bytes each
 _UNKNOWN_PENALTY = 10.0
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -69,9 +70,10 @@ class Encoder:
         self.v = vocabulary
         by_end: dict[str, list[str]] = {}
         for p in vocabulary.scores:
-            by_end.setdefault(p[-1], []).append(p)
-        self.lengths = {c: sorted({len(p) for p in ps}, reverse=True) for c, ps in by_end.items()}
-        self.known: dict[str, tuple[int, ...]] = {}
+            by_end.setdefault(p[-2:], []).append(p)
+        # lengths of the pieces that end in given characters, longest first; those of one character are looked up by themselves
+        self.lengths = {c: sorted({len(p) for p in ps}, reverse=True) for c, ps in by_end.items() if len(c) == 2}
+        self.known: dict[str, bytes] = {}
 
     def encode(self, words: set[str]) -> None:
         """Adds the words to ``known``, sorted as a trie and walked depth-first."""
@@ -88,13 +90,15 @@ class Encoder:
             for end in range(shared + 1, len(word) + 1):
                 c = word[end - 1]
                 top, at, last = float("-inf"), -1, ()
-                for n in lengths.get(c, ()):  # longest first: the smallest start wins a tie
+                for n in lengths.get(word[end - 2 : end] if end > 1 else "", ()):  # longest first: the smallest start wins a tie
                     if n <= end:
                         piece = scores.get(word[end - n : end])
                         if piece is not None and best[end - n] + piece[1] > top:
                             top, at, last = best[end - n] + piece[1], end - n, (piece[0],)
-                if c not in scores and best[end - 1] + unknown > top:
-                    top, at, last = best[end - 1] + unknown, end - 1, tuple(single[b] for b in c.encode())
+                alone = scores.get(c)
+                if best[end - 1] + (unknown if alone is None else alone[1]) > top:
+                    top, at = best[end - 1] + (unknown if alone is None else alone[1]), end - 1
+                    last = tuple(single[b] for b in c.encode()) if alone is None else (alone[0],)
                 best.append(top)
                 back.append(at)
                 ids.append(last)
@@ -102,17 +106,18 @@ class Encoder:
             while end:
                 parts.append(ids[end])
                 end = back[end]
-            self.known[word] = tuple(i for p in reversed(parts) for i in p)
+            self.known[word] = array("i", [i for p in reversed(parts) for i in p]).tobytes()
             before = word
 
-    def batch(self, texts: list[str | None]) -> list[list[int]]:
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, four bytes each."""
         cut = [words_of(x or "") for x in texts]
         new = {w for ws in cut for w in ws}
         if len(self.known) + len(new) > _KNOWN_WORDS:
             self.known.clear()
         self.encode(new - self.known.keys())
         known = self.known
-        return [[i for w in ws for i in known[w]] for ws in cut]
+        return [b"".join([known[w] for w in ws]) for ws in cut]
 
 
 def decoder(vocabulary: Vocabulary):
@@ -137,27 +142,27 @@ def _grouped(texts: list, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def encode(docs: DataFrame, keep: list[str], text: str = "text", model: str = MODEL) -> DataFrame:
-    """``keep`` columns of every row, with ``ids``: array of int.
+def encode(docs: DataFrame, keep: list[str], text: str = "text", model: str = MODEL, verify: bool = False) -> DataFrame:
+    """``keep`` columns of every row, with ``ids``: array of int; with ``verify`` also ``round_trip``, whether the ids decode to the text.
 
     A null or empty text has no ids. A text's own marks (U+2581) decode to spaces, as the format has it.
     """
     vocabulary = Vocabulary.load(model)
-    out = free_name(docs.select(*keep), "ids")
+    out, whole = (free_name(docs.select(*keep), n) for n in ("ids", "round_trip"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder, back = Encoder(vocabulary), decoder(vocabulary)
         for batch in batches:
             texts = batch.column(text).to_pylist()
             for a, b in _grouped(texts):
                 ids = encoder.batch(texts[a:b])
-                sizes = np.array([0, *map(len, ids)], np.int32).cumsum(dtype=np.int32)
-                flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes[-1]))
-                column = pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))
+                column = lists(np.frombuffer(b"".join(ids), np.int32), np.array([len(i) // 4 for i in ids], np.int64), pa.int32())
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), column], [*keep, out])
+                checks = [pa.array([back(np.frombuffer(i, np.int32).tolist()) == (x or "") for i, x in zip(ids, texts[a:b])])] if verify else []
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), column, *checks], [*keep, out, whole][: len(keep) + 1 + verify])
 
-    kinds = T.StructType([*(T.StructField(docs.schema[c].name, docs.schema[c].dataType) for c in keep), T.StructField(out, T.ArrayType(T.IntegerType()))])
+    more = [T.StructField(out, T.ArrayType(T.IntegerType())), T.StructField(whole, T.BooleanType())][: 1 + verify]
+    kinds = T.StructType([*(T.StructField(docs.schema[c].name, docs.schema[c].dataType) for c in keep), *more])
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, kinds)
 
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+from array import array
 
 import pytest
 
@@ -117,11 +118,15 @@ def test_random_strings_are_told_from_identifiers(spark):
     assert not len(found[240]) and not len(found[241])
 
 
+def ids_of(encoder, texts):
+    return [array("i", b).tolist() for b in encoder.batch(texts)]
+
+
 def test_sentencepieces_against_the_public_library():
     sp = pytest.importorskip("sentencepiece")
     vocabulary = sentencepieces.Vocabulary.load()
     texts = odd_texts(["the", "a", " ", "  ", "é", "語", "\n", "ing", "Z", "7", "▁", "🙂"], 150) + ["Hello world, this is text.", " lead", "trail  "]
-    got = sentencepieces.Encoder(vocabulary).batch(texts)
+    got = ids_of(sentencepieces.Encoder(vocabulary), texts)
     back = sentencepieces.decoder(vocabulary)
     assert [back(i) if i else "" for i in got] == [(x or "").replace("▁", " ") for x in texts]
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
@@ -131,7 +136,7 @@ def test_sentencepieces_against_the_public_library():
     public = sp.SentencePieceProcessor(model_proto=model.SerializeToString())
     words = ["".join(random.Random(i).choices(["the", "a", " b", "ing", "Z", "7", "hello", " of", "."], k=8)) for i in range(80)]
     score = {i: s for i, s in vocabulary.scores.values()}
-    for x, ids in zip(words, sentencepieces.Encoder(vocabulary).batch(words)):
+    for x, ids in zip(words, ids_of(sentencepieces.Encoder(vocabulary), words)):
         best = public.nbest_encode_as_ids(x, 2)[0]
         assert sum(map(score.get, ids)) == sum(map(score.get, best)), x
 
@@ -149,7 +154,7 @@ def test_sentencepieces_find_a_best_segmentation():
     encoder.encode(words)
     score = {i: s for i, s in v.scores.values()}
     for w in words:
-        assert sum(score[i] for i in encoder.known[w]) == best(w)
+        assert sum(score[i] for i in array("i", encoder.known[w])) == best(w)
 
 
 def test_encode_and_decode_columns(spark):
@@ -157,6 +162,7 @@ def test_encode_and_decode_columns(spark):
     out = sentencepieces.decode(sentencepieces.encode(docs, ["doc_id", "ids", "text"]), "_ids").toPandas()
     assert out["decoded"].tolist() == ["a b", "", "", "a b"] and list(out.columns) == ["doc_id", "ids", "text", "_ids", "decoded"]
     assert sentencepieces.encode(docs.limit(0), ["doc_id"]).count() == 0
+    assert {r.round_trip for r in sentencepieces.encode(docs, ["doc_id"], verify=True).collect()} == {True}
 
 
 def test_toxicity_on_held_out_texts(spark):
