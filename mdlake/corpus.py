@@ -83,8 +83,14 @@ def part_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         level = F.when((k + r) % 2 == 0, "High").otherwise("Low")
         return _if(k % 3 + 1 >= r, _s(f"| Risk {r} of part ", k, " | ", level, f" | Medium | Plan {r} | ", status, " |\n"))
 
+    # a table that names a likelihood but no risk, before or behind the register
+    hazards = _s("#### Hazards\n\n| Hazard | Likelihood | Impact | Plan | Status |\n| --- | --- | --- | --- | --- |\n| Fire ", k, " | High | High | Plan | 🔲 Open |\n\n")
+
     body = F.concat(
-        _s("\n# Part ", k, "\n\n## What This Is\n\nPart ", k, " of ", F.col("p_brand"), "."),
+        _s("\n# Part ", k, "\n\n"),
+        _if(k % 47 == 5, "```\ncode text\n```\n\n"),
+        _if(k % 47 == 6, "\n".join(f"w{i}" for i in range(40)) + "\n\n"),
+        _s("## What This Is\n\nPart ", k, " of ", F.col("p_brand"), "."),
         _if(k % 6 == 1, _s(" See ", doc(0))),
         _if(k % 12 == 7, _s(" and ", doc(1), " and ", doc(2), " and ", doc(3))),
         _if(k % 6 == 1, " for details."),
@@ -94,12 +100,14 @@ def part_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         _if(k % 31 == 0, ", [region](./entities/region-0.md#x)"),
         F.lit("\n\n"),
         _if(F.col("p_size") % 10 == 0, _s("> **Open question:** Is size ", F.col("p_size"), " right for part ", k, "?  \n\n")),
+        _if(k % 43 == 3, hazards),
         F.lit("## Risk Register\n\n| Risk | Likelihood | Impact | Mitigation | Status |\n"),
         F.when(k % 37 == 0, "| :--- | :--- | :--- | :--- | :--- |\n").otherwise("| --- | --- | --- | --- | --- |\n"),
         risk(1), risk(2), risk(3),
         F.lit("\n"),
         _if(k % 41 != 0, "## Prerequisites\n\nNone.\n"),
         _if(k % 8 == 0, "\n## Appendix A\n\nSee above.\n"),
+        _if(k % 43 == 4, F.concat(F.lit("\n"), hazards)),
     )
     return rows.select(_s("parts/part-", k, ".md").alias("path"), F.concat(front, body).alias("text"))
 
@@ -145,10 +153,11 @@ def source_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     header = F.when(d % 9 == 0, "").otherwise(
         F.concat(
+            _if(d % 50 == 7, "".join(f"> note {i}\n" for i in range(150))),
             _s("> **Source type:** feed ", F.col("source"), "\n"),
             _if(d % 2 == 0, _s("> **URL:** https://example.org/doc/", d, "\n")),
             _if(d % 10 != 3, _s("> **Fetched:** ", F.date_add(F.lit("2024-01-01").cast("date"), (d % 300).cast("int")), "\n")),
-            F.lit("> ⚠️ Do not edit this file. Edit the derived wiki page instead.\n\n"),
+            F.lit("> Kept as it was fetched; changes belong on the page made from it.\n\n"),
         )
     )
     body = F.concat(
@@ -161,12 +170,15 @@ def source_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def excluded_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that carry frontmatter but stand under excluded names."""
+    """Documents that carry frontmatter but stand under names that all or some programs leave out."""
     text = _s("---\ntitle: Copy ", F.col("k"), "\n---\nNot a page.\n")
     part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
     return _union(
         part.where("k % 50 = 0").select(_s("parts/group-", F.col("k"), "/README.md").alias("path"), text.alias("text")),
         part.where("k % 50 = 1").select(_s("_templates/part-", F.col("k"), ".md").alias("path"), text.alias("text")),
+        part.where("k % 50 = 7").select(_s("docs/guide-", F.col("k"), ".md").alias("path"), text.alias("text")),
+        part.where("k % 50 = 8").select(_s("tests/case-", F.col("k"), ".md").alias("path"), text.alias("text")),
+        part.where("k % 50 = 9").select(_s("evals/run-", F.col("k"), ".md").alias("path"), text.alias("text")),
     )
 
 
@@ -212,6 +224,8 @@ def index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 100 == 3, F.lit("text <!-- parked")),
         F.when(k % 100 == 3, _s("- [Hidden](./parts/hidden-", k, ".md)")),
         F.when(k % 100 == 3, _s("--> - [Shown](./parts/shown-", k, ".md)")),
+        F.when(k % 100 == 4, _s("text <!--> - [Veiled](./parts/veiled-", k, ".md)")),
+        F.when(k % 100 == 4, _s("- [Masked](./parts/masked-", k, ".md) -->")),
     )
     parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
     suppliers = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))

@@ -7,12 +7,15 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_DAY = r"^(\d{4}-\d{1,2}-\d{1,2})(?:[Tt ].*)?$"
+# ten characters that are a date whatever follows, or a shorter one that is all or has a time of day behind it
+_TEN = r"^(\d{4}-\d{2}-\d{2})"
+_SHORT = r"^(\d{4}-\d{1,2}-\d{1,2})(?:(?:[Tt]|[ \t]+)\d{1,2}:\d\d.*)?$"
 
 
 def day(raw: Column) -> Column:
-    """The first ten characters as a date, NULL where they are none."""
-    return F.regexp_extract(F.substring(raw, 1, 10), _DAY, 1).try_cast("date")
+    """The date a value starts with, NULL where it is none."""
+    found = F.coalesce(F.nullif(F.regexp_extract(raw, _TEN, 1), F.lit("")), F.regexp_extract(raw, _SHORT, 1))
+    return found.try_cast("date")
 
 
 def as_date(as_of: dt.date | str) -> Column:

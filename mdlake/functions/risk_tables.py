@@ -82,5 +82,10 @@ def open_table_rows(text: Column, *markers: str) -> Column:
             hit = hit | F.contains(cell(c, 4), F.lit(marker))
         return hit
 
-    rows = F.flatten(F.transform(_pieces(_from_line_of(text, "Likelihood"), _TABLE), rows_of))
+    def is_header(piece: Column) -> Column:
+        line = F.substring_index(piece, "\n", 1)  # the first piece opens with any line that holds Likelihood
+        return F.contains(line, F.lit("Risk")) & F.contains(line, F.lit("Likelihood")) & F.contains(line, F.lit("|"))
+
+    tables = F.filter(_pieces(_from_line_of(text, "Likelihood"), _TABLE), is_header)
+    rows = F.flatten(F.transform(tables, rows_of))
     return F.when(F.contains(text, F.lit("Likelihood")), F.filter(rows, is_open))

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from mdlake import corpus
-from mdlake.operators import checks, edges, projections, search
+from mdlake.operators import checks, edges, extract, graph, projections, search
 from mdlake.session import stored
 from mdlake.sources import companions, documents, pages
 
@@ -26,13 +26,31 @@ class Lake:
     manifest: DataFrame
     index_lines: DataFrame
     log_lines: DataFrame
-    profile: str = "reader"
     yaml: str = "auto"
     origin: str | None = None  # the folder a derived corpus comes from
 
     @cached_property
+    def _all_pages(self) -> DataFrame:
+        """Parsed once under the widest profile."""
+        return stored(pages.page_table(self.docs, "query", self.yaml), "pages")
+
+    def pages_of(self, profile: str) -> DataFrame:
+        """The pages as query, lint or reader see them; they differ in the folders they leave out."""
+        return documents.drop_excluded(self._all_pages, profile)
+
+    @property
     def pages(self) -> DataFrame:
-        return stored(pages.page_table(self.docs, self.profile, self.yaml), "pages")
+        """The reader's pages."""
+        return self.pages_of("reader")
+
+    @cached_property
+    def risk_rows(self) -> DataFrame:
+        return stored(extract.risk_rows(self.pages), "risk-rows")
+
+    @cached_property
+    def links(self) -> DataFrame:
+        """The edges in both directions."""
+        return stored(graph.both_ways(self.edges), "links")
 
     @cached_property
     def sources(self) -> DataFrame:
@@ -53,7 +71,7 @@ class Lake:
     @cached_property
     def findings(self) -> DataFrame:
         """All findings; reports, counts and exports read them from here."""
-        found = checks.findings(self.pages, self.source_files, self.index_entries, self.manifest)
+        found = checks.findings(self.pages_of("lint"), self.source_files, self.index_entries, self.manifest)
         return stored(found, "findings")
 
     @cached_property
@@ -65,14 +83,13 @@ class Lake:
         return companions.change_log(self.log_lines)
 
 
-def open_folder(spark: SparkSession, root: str, profile: str = "reader", yaml: str = "auto") -> Lake:
+def open_folder(spark: SparkSession, root: str, yaml: str = "auto") -> Lake:
     """A folder of markdown files as a lake."""
     return Lake(
         docs=documents.scan_documents(spark, root),
         manifest=documents.manifest(spark, root),
         index_lines=documents.read_root_lines(spark, root, "index.md"),
         log_lines=documents.read_root_lines(spark, root, "log.md"),
-        profile=profile,
         yaml=yaml,
     )
 

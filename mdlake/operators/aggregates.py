@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mdlake.conventions import ENTITY_TYPES, OPEN_QUESTION
 from mdlake.functions.text import path_order
-from mdlake.operators.extract import open_register_rows, page_tags
+from mdlake.operators.extract import page_tags
 from mdlake.operators.filters import entity_pages
 from mdlake.operators.projections import provenance
 
@@ -80,11 +80,11 @@ def distinct_tags(pages: DataFrame) -> DataFrame:
     return page_tags(pages).select("tag").distinct().orderBy("tag")
 
 
-def view_counts(pages: DataFrame) -> DataFrame:
-    """(view, n) of the open risks, open questions and entities, in one pass over the pages."""
+def view_counts(pages: DataFrame, open_risks: DataFrame) -> DataFrame:
+    """(view, n) of the open risks, open questions and entities."""
     counts = pages.agg(
-        F.sum(F.size(open_register_rows(F.col("body")))).alias("risks"),
         F.sum(F.size(F.regexp_extract_all("body", F.lit(OPEN_QUESTION), F.lit(1)))).alias("open_questions"),
         F.count_if(F.col("page_type").isin(*ENTITY_TYPES)).alias("entities"),
     )
-    return counts.unpivot([], counts.columns, "view", "n").select("view", F.coalesce("n", F.lit(0)).alias("n"))
+    risks = open_risks.agg(F.count("*").alias("n")).select(F.lit("risks").alias("view"), "n")
+    return risks.unionByName(counts.unpivot([], counts.columns, "view", "n").select("view", F.coalesce("n", F.lit(0)).alias("n")))

@@ -33,14 +33,8 @@ def _is_open(status: Column) -> Column:
     return has_marker(status, ACTION_REQUIRED, NOT_ADDRESSED, leading=True)
 
 
-def open_register_rows(body: Column) -> Column:
-    """The cells of the register rows whose status starts with an open marker."""
-    return F.filter(register_rows(body), lambda c: _is_open(cell(c, 4)))
-
-
-def open_risks(pages: DataFrame) -> DataFrame:
-    """Register rows whose status starts with an open marker."""
-    rows = risk_rows(pages)
+def open_risks(rows: DataFrame) -> DataFrame:
+    """Those of ``risk_rows`` whose status starts with an open marker."""
     status = F.col("status")
     symbol = F.when(F.startswith(status, F.lit(ACTION_REQUIRED)), ACTION_REQUIRED).when(
         F.startswith(status, F.lit(NOT_ADDRESSED)), NOT_ADDRESSED
@@ -64,6 +58,11 @@ def open_risk_notes(text: Column) -> Column:
     return F.transform(open_table_rows(text, NOT_ADDRESSED), lambda c: F.substring(cell(c, 0), 1, RISK_NOTE))
 
 
+def open_risks_lint(pages: DataFrame) -> DataFrame:
+    """(path, risk) of rows not yet addressed in any table with Risk and Likelihood columns."""
+    return once(pages, notes=open_risk_notes(F.col("text"))).select("path", F.explode("notes").alias("risk"))
+
+
 def open_questions(pages: DataFrame) -> DataFrame:
     found = once(pages, found=F.regexp_extract_all("body", F.lit(OPEN_QUESTION), F.lit(1)))
     return found.select("path", F.col("title").alias("page_title"), F.posexplode("found").alias("seq", "question"))
@@ -105,13 +104,13 @@ def page_tags(pages: DataFrame) -> DataFrame:
 
 
 def risk_status_mix(pages: DataFrame) -> DataFrame:
-    """Per page: register rows by status marker."""
-    status = F.col("status")
+    """Per page: register rows by status marker, counted in place."""
+    states = once(pages, states=F.transform(register_rows(F.col("body")), lambda c: cell(c, 4))).where(F.size("states") > 0)
 
-    def n(cond: Column, name: str) -> Column:
-        return F.count_if(cond).alias(name)
+    def n(marker: str) -> Column:
+        return F.size(F.filter("states", lambda s: has_marker(s, marker, leading=True))).cast("bigint")
 
-    action, todo, done = (has_marker(status, m, leading=True) for m in (ACTION_REQUIRED, NOT_ADDRESSED, HANDLED))
-    return risk_rows(pages).groupBy("path").agg(
-        n(action, "action_required"), n(todo, "not_addressed"), n(done, "handled"), n(~(action | todo | done), "other")
-    )
+    kinds = {"action_required": ACTION_REQUIRED, "not_addressed": NOT_ADDRESSED, "handled": HANDLED}
+    counted = states.select("path", F.size("states").alias("n"), *[n(marker).alias(name) for name, marker in kinds.items()])
+    known = F.col("action_required") + F.col("not_addressed") + F.col("handled")
+    return counted.select("path", *kinds, (F.col("n") - known).alias("other"))

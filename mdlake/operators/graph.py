@@ -32,17 +32,17 @@ def node_weight(edges: DataFrame, pages: DataFrame) -> DataFrame:
     return nodes.select("path", (base + DEGREE_WEIGHT * F.sqrt(F.col("degree").cast("double"))).alias("weight"))
 
 
-def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """(seed, path, hop): pages within ``hops`` links of each ``seeds(path)``, either way.
+def both_ways(edges: DataFrame) -> DataFrame:
+    """(at, to): every edge in either direction, once."""
+    turned = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return edges.select(F.explode(turned).alias("e")).select(F.col("e.src").alias("at"), F.col("e.dst").alias("to")).distinct()
 
-    One equi-join per hop. The undirected edge list is written once, so that a
-    hop reads it instead of deriving the graph again; hubs are joined by slices.
+
+def k_hop(links: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """(seed, path, hop): pages within ``hops`` steps along ``links(at, to)`` of each ``seeds(path)``.
+
+    One equi-join per hop; hubs are joined by slices. ``links`` is read once per hop and should be a stored table.
     """
-    links = stored(
-        edges.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"))
-        .select(F.col("e.src").alias("at"), F.col("e.dst").alias("to")).distinct(),
-        "links",
-    )
     reached = seeds.select(F.col("path").alias("seed"), "path", F.lit(0).alias("hop")).distinct()
     frontier = reached
     for hop in range(1, hops + 1):

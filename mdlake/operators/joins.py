@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1000  # a key is hot with more than 1/1000 of the rows
-SLICES = 512  # so that a slice of a key with half of all rows is no more than that
+TARGET_ROWS = 1_000_000  # rows of one key that one task may join
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys with more than one in HOT_SHARE rows: by arithmetic fewer than HOT_SHARE keys."""
+def hot_keys(df: DataFrame, key: str, target: int = TARGET_ROWS) -> DataFrame:
+    """(key, slices) of keys with more than ``target`` rows: as many slices as keep each below it, on average."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    return counts.where(F.col("n") * HOT_SHARE > total).select(key)
+    return counts.where(F.col("n") > target).select(key, F.ceil(F.col("n") / target).cast("int").alias("slices"))
 
 
 def skew_join(
@@ -22,25 +20,22 @@ def skew_join(
     key: str,
     how: str,
     spread_by: str,
-    slices: int = SLICES,
+    target: int = TARGET_ROWS,
     known_hot: DataFrame | None = None,
 ) -> DataFrame:
     """``left.join(right, key, how)`` for a ``left`` with hot keys.
 
-    Rows of hot keys are spread over ``slices`` by a hash of ``spread_by``; only
-    the few matching ``right`` rows are copied once per slice. All other rows
-    meet in a plain shuffle join. ``how`` is inner, left, left_semi or left_anti.
-    ``known_hot`` names the hot keys where they are known without counting ``left``.
+    Rows of a hot key are spread over its slices by a hash of ``spread_by``; only the matching ``right`` rows are copied, once
+    per slice of their key. All other rows meet in a plain shuffle join. ``how`` is inner, left, left_semi or left_anti.
+    ``known_hot`` is a table of :func:`hot_keys` that was counted before. The list of hot keys grows with the data
+    divided by ``target``; it is no hint here, so Spark broadcasts it only while it is small and otherwise joins it by
+    sorting, where adaptive execution splits its partitions.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"{how} would repeat copied right rows")
-    # fewer than HOT_SHARE short keys, whatever the size of the data
-    found = hot_keys(left, key) if known_hot is None else known_hot
-    hot = F.broadcast(found.withColumn("_hot", F.lit(True)))
-    slice_of = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(slices))).otherwise(F.lit(0).cast("bigint"))
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")).otherwise(
-        F.array(F.lit(0).cast("bigint"))
-    )
-    spread = left.join(hot, key, "left").withColumn("_slice", slice_of).drop("_hot")
-    copied = right.join(hot, key, "left").withColumn("_slice", F.explode(every)).drop("_hot")
+    hot = hot_keys(left, key, target) if known_hot is None else known_hot
+    hot = hot.select(key, F.col("slices").alias("_slices"))
+    slices = F.coalesce("_slices", F.lit(1))
+    spread = left.join(hot, key, "left").withColumn("_slice", F.pmod(F.xxhash64(spread_by), slices).cast("int")).drop("_slices")
+    copied = right.join(hot, key, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_slices")
     return spread.join(copied, [key, "_slice"], how).drop("_slice")

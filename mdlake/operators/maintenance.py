@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mdlake.functions.columns import once
 from mdlake.operators.extract import heading_list
 from mdlake.operators.joins import skew_join
+from mdlake.session import stored
 from mdlake.sources.companions import header_field, log_fields, source_body, source_headers
 
 
@@ -28,6 +29,13 @@ def _shingles(text: Column, size: int) -> Column:
     return F.array_distinct(F.flatten(runs))
 
 
+SLOTS = 1 << 20
+
+
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("name"), F.lit(SLOTS)).cast("int")
+
+
 def source_drift(source_docs: DataFrame, refetched: DataFrame, below: float = 0.8, size: int = 5) -> DataFrame:
     """(name, similarity) of sources with a URL whose text today differs substantially.
 
@@ -37,12 +45,18 @@ def source_drift(source_docs: DataFrame, refetched: DataFrame, below: float = 0.
     has_url = header_field(F.col("text"), "url").isNotNull()
     saved = source_docs.where(has_url).select("name", source_body(F.col("text")).alias("saved"))
     fresh = refetched.select("name", F.col("text").alias("fresh"))
-    # names and digests meet first; only changed texts travel
+    # names and digests meet first
     digests = saved.select("name", F.sha2("saved", 256).alias("was")).join(
         fresh.select("name", F.sha2("fresh", 256).alias("now")), "name"
     )
-    names = digests.where("was <> now").select("name")
-    changed = saved.join(names, "name", "left_semi").join(fresh.join(names, "name", "left_semi"), "name")
+    names = stored(digests.where("was <> now").select("name"), "changed-names")
+    # at most SLOTS numbers: texts that cannot have changed are left where they are, the rest meet by name
+    slots = F.broadcast(names.select(_slot().alias("slot")).distinct())
+
+    def travelling(texts: DataFrame) -> DataFrame:
+        return texts.withColumn("slot", _slot()).join(slots, "slot", "left_semi").drop("slot")
+
+    changed = travelling(saved).join(names, "name", "left_semi").join(travelling(fresh), "name")
     sets = once(changed, a=_shingles(F.col("saved"), size), b=_shingles(F.col("fresh"), size))
     sets = once(sets, common=F.size(F.array_intersect("a", "b")))
     measured = sets.withColumn("similarity", F.col("common") / (F.size("a") + F.size("b") - F.col("common")))

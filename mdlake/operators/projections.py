@@ -44,8 +44,10 @@ def review_age(pages: DataFrame, as_of: dt.date | str) -> DataFrame:
     return pages.select("path", age_text(F.col("last_reviewed"), as_of).alias("reviewed"))
 
 
-# A paragraph is a run of text lines that are no heading, list, table, quote or fence.
-_OPENING = r"(?:\A|\n)(?![ \t]*(?:#|>|\||[-*+] |\d+[.)] |```|~~~|\n))[ \t]*([^\n]+(?:\n(?![ \t]*(?:#|>|\||[-*+] |```|~~~|\n))[^\n]+){0,20})"
+# A paragraph is a run of text lines that are no heading, list, table or quote. Fenced blocks are cut out before.
+_FENCED = r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\z)"
+_OPENING = r"(?s)(?:\A|\n)(?![ \t]*(?:#|>|\||[-*+] |\d+[.)] |\n))[ \t]*([^\n]+.*)"
+_PARAGRAPH_END = r"\n(?=[ \t]*(?:#|>|\||[-*+] |\n|\z))"
 
 # From the first tag, emphasis, code, link or image on. An underscore inside a word is text.
 _INLINE = r"(?s)(?:<|\*|`|!?\[[^\]]*\]\(|(?<![\p{L}\p{N}])_).*$"
@@ -53,7 +55,8 @@ _INLINE = r"(?s)(?:<|\*|`|!?\[[^\]]*\]\(|(?<![\p{L}\p{N}])_).*$"
 
 def page_blurb(pages: DataFrame, limit: int = BLURB) -> DataFrame:
     """The start of a page's first paragraph, up to the first inline mark-up."""
-    first = F.regexp_extract("body", _OPENING, 1)
+    opened = F.regexp_extract(F.regexp_replace("body", _FENCED, "\n"), _OPENING, 1)
+    first = F.get(F.split(opened, _PARAGRAPH_END, 2), F.lit(0))
     return pages.select("path", F.substring(F.regexp_replace(first, _INLINE, ""), 1, limit).alias("blurb"))
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdlake.functions.columns import once
-from mdlake.operators.joins import HOT_SHARE, skew_join
 from mdlake.operators.projections import provenance
 from mdlake.session import stored
 
@@ -22,9 +21,9 @@ from mdlake.session import stored
 K1, B, DELTA = 1.2, 0.7, 0.5
 TITLE_BOOST = 2.0
 PREFIX_WEIGHT, FUZZY_WEIGHT = 0.375, 0.45
-FUZZY_SHARE, FUZZY_MAX = 0.2, 6
+FUZZY_SHARE = 0.2
 TOP = 30
-BROADCAST_ROWS = 100_000  # expanded terms up to this number are broadcast
+BUCKETS = 64  # postings are laid out by a hash of their term, and by term within
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
@@ -65,6 +64,15 @@ def inverted_index(search_docs: DataFrame) -> DataFrame:
     return postings.select("p.term", "field", "doc", "p.tf", "field_len")
 
 
+def bucket() -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+
+
+def by_bucket(postings: DataFrame) -> DataFrame:
+    """Postings with their bucket, so ordered that a file holds a range of terms and a frequent term has several files."""
+    return postings.withColumn("bucket", bucket()).repartitionByRange("bucket", "term", "doc").sortWithinPartitions("bucket", "term")
+
+
 @dataclass
 class Index:
     """Postings, (term, field, df) and (field, docs, avg_len) with one row per field."""
@@ -87,16 +95,14 @@ def field_stats(postings: DataFrame, search_docs: DataFrame) -> DataFrame:
 
 def build_index(search_docs: DataFrame) -> Index:
     """Write the index tables to the shared folder; the texts are read once."""
-    # sorted by term, so that row groups without a query term are skipped
-    postings = stored(inverted_index(search_docs).sortWithinPartitions("term"), "postings")
+    postings = stored(by_bucket(inverted_index(search_docs)), "postings", "bucket")
     return Index(
         postings, stored(vocabulary(postings), "vocabulary"), stored(field_stats(postings, search_docs), "fields")
     )
 
 
 def save_index(index: Index, path: str) -> None:
-    by_term = index.postings.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc")
-    by_term.write.mode("overwrite").parquet(f"{path}/postings")
+    by_bucket(index.postings).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     index.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
     index.fields.write.mode("overwrite").parquet(f"{path}/fields")
 
@@ -121,7 +127,7 @@ def expand(vocab: DataFrame, query: str, prefix: bool = False, fuzzy: bool = Fal
         if prefix:
             far = (n - len(word)).cast("double")
             found.append(F.when(F.startswith(term, F.lit(word)), PREFIX_WEIGHT * n / (n + 0.3 * far)))
-        reach = min(FUZZY_MAX, int(FUZZY_SHARE * len(word) + 0.5))
+        reach = int(FUZZY_SHARE * len(word) + 0.5)
         if fuzzy and reach:
             # the distance is only computed in the band of lengths it can be met in
             far = F.when(F.abs(n - len(word)) <= reach, F.levenshtein(term, F.lit(word), reach))
@@ -138,15 +144,10 @@ def expand(vocab: DataFrame, query: str, prefix: bool = False, fuzzy: bool = Fal
 
 
 def _weighted_postings(index: Index, weighted: DataFrame) -> DataFrame:
-    """Postings of the weighted terms."""
-    if weighted.count() <= BROADCAST_ROWS:
-        return index.postings.join(F.broadcast(weighted), ["term", "field"])
-    # the vocabulary knows how often a term occurs, the postings need not be counted
-    key = F.struct("term", "field").alias("key")
-    total = index.vocabulary.agg(F.sum("df")).scalar()
-    hot = weighted.where(F.col("df") * HOT_SHARE > total).select(key)
-    keyed = index.postings.select(key, "doc", "tf", "field_len")
-    return skew_join(keyed, weighted.select(key, "avg_len", "w"), "key", "inner", "doc", known_hot=hot)
+    """Postings of the weighted terms; only their buckets are read, and frequent terms are split at run time."""
+    if "bucket" not in index.postings.columns:
+        return index.postings.join(weighted, ["term", "field"])
+    return index.postings.join(weighted.withColumn("bucket", bucket()), ["bucket", "term", "field"])
 
 
 def score(index: Index, expansion: DataFrame) -> DataFrame:
@@ -157,7 +158,7 @@ def score(index: Index, expansion: DataFrame) -> DataFrame:
     weighted = expansion.join(F.broadcast(index.fields), "field").select(
         "term", "field", "df", "avg_len", (F.col("weight") * boost * idf).alias("w")
     )
-    hits = _weighted_postings(index, stored(weighted, "expansion"))
+    hits = _weighted_postings(index, weighted.where("w > 0"))
     tf, length = F.col("tf"), F.col("field_len") / F.col("avg_len")
     part = F.col("w") * (DELTA + tf * (K1 + 1) / (tf + K1 * (1 - B + B * length)))
     return hits.groupBy("doc").agg(F.sum(part).alias("score"))

@@ -10,15 +10,15 @@ from mdlake.operators.aggregates import page_count, risk_totals
 
 
 def summary(lake: Lake, **conditions) -> DataFrame:
-    return projections.page_summary(filters.matching(lake.pages, **conditions))
+    return projections.page_summary(filters.matching(lake.pages_of("query"), **conditions))
 
 
 def risks(lake: Lake, **conditions) -> DataFrame:
-    return extract.open_risks_query(filters.matching(lake.pages, **conditions)).drop("pos")
+    return extract.open_risks_query(filters.matching(lake.pages_of("query"), **conditions)).drop("pos")
 
 
 def summary_count(lake: Lake, **conditions) -> DataFrame:
-    return page_count(filters.matching(lake.pages, **conditions))
+    return page_count(filters.matching(lake.pages_of("query"), **conditions))
 
 
 def risks_count(lake: Lake, **conditions) -> DataFrame:

@@ -17,7 +17,7 @@ from mdlake.operators import checks, edges, extract, filters, graph, maintenance
 from mdlake.operators import projections as prj
 from mdlake.plans import lint, reader
 from mdlake.plans import query as page_query
-from mdlake.session import shared_dir, stored
+from mdlake.session import shared_dir
 from mdlake.sources import companions, documents
 from mdlake.sources import pages as page_source
 from mdlake.streaming import log_stream as streaming
@@ -60,11 +60,6 @@ def frontmatter(lake):
     return _fields(page_source.frontmatter(documents.drop_excluded(lake.docs), "native"))
 
 
-@query
-def frontmatter_strict(lake):
-    return _fields(page_source.frontmatter(documents.drop_excluded(lake.docs), "strict"))
-
-
 @query
 def body_split(lake):
     return page_source.body_split(lake.docs).select("path", F.length("body").alias("n_chars"), F.md5("body").alias("digest"))
@@ -116,15 +111,24 @@ def manifest(lake):
     return lake.manifest
 
 
-@query
-def log_stream(lake):
+def _streamed(lake: Lake, stream: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
     spark = lake.docs.sparkSession
     base = f"{shared_dir(spark)}/mdlake/log-{uuid.uuid4().hex}"
     lake.log_lines.select("line").write.text(f"{base}/segments")
-    streaming.run_once(streaming.log_stream(spark, f"{base}/segments"), f"{base}/out", f"{base}/state")
+    streaming.run_once(stream(spark, f"{base}/segments"), f"{base}/out", f"{base}/state")
     return spark.read.parquet(f"{base}/out").select("date", "action", "detail")
 
 
+@query
+def log_stream(lake):
+    return _streamed(lake, streaming.log_stream)
+
+
+@query
+def log_stream_rejected(lake):
+    return _streamed(lake, streaming.rejected_stream)
+
+
 # Projections
 
 
@@ -225,7 +229,7 @@ def filter_all(lake):
 
 @query
 def open_status(lake):
-    rows = extract.risk_rows(lake.pages)
+    rows = lake.risk_rows
     marks = (ACTION_REQUIRED, NOT_ADDRESSED)
     status = F.col("status")
     return rows.select(
@@ -262,12 +266,12 @@ def headings(lake):
 
 @query
 def risk_rows(lake):
-    return extract.risk_rows(lake.pages)
+    return lake.risk_rows
 
 
 @query
 def open_risks(lake):
-    return extract.open_risks(lake.pages)
+    return extract.open_risks(lake.risk_rows)
 
 
 @query
@@ -275,6 +279,11 @@ def open_risks_query(lake):
     return page_query.risks(lake)
 
 
+@query
+def open_risks_lint(lake):
+    return extract.open_risks_lint(lake.pages_of("lint"))
+
+
 @query
 def open_questions(lake):
     return extract.open_questions(lake.pages)
@@ -307,9 +316,8 @@ def risk_status_mix(lake):
 
 @query
 def risks_sorted(lake):
-    rows = extract.open_risks(lake.pages).select("page_title", "risk", "likelihood", "impact", "status", "path", "pos")
-    # a sort reads its input twice, once for the bounds: extract before
-    return stored(rows, "risks").orderBy("likelihood", "risk", path_order(F.col("path")), "pos")
+    rows = extract.open_risks(lake.risk_rows).select("page_title", "risk", "likelihood", "impact", "status", "path", "pos")
+    return rows.orderBy("likelihood", "risk", path_order(F.col("path")), "pos")
 
 
 # Edges and graph
@@ -389,7 +397,7 @@ def entity_mentions(lake):
 
 
 def _ball(lake: Lake) -> DataFrame:
-    return graph.k_hop(lake.edges, lake.pages.where(F.col("path") == SEED).select("path"), hops=2)
+    return graph.k_hop(lake.links, lake.pages.where(F.col("path") == SEED).select("path"), hops=2)
 
 
 @query
@@ -406,32 +414,37 @@ def edge_highlight(lake):
 
 
 for _name in checks.LOCAL:
-    QUERIES[f"check_{_name}"] = lambda spark, sf_dir, name=_name: checks.local_check(derived(spark, sf_dir).pages, name)
+    QUERIES[f"check_{_name}"] = lambda spark, sf_dir, name=_name: checks.local_check(derived(spark, sf_dir).pages_of("lint"), name)
 
 
 @query
 def check_source_missing(lake):
-    return checks.source_missing(lake.pages, lake.source_files)
+    return checks.source_missing(lake.pages_of("lint"), lake.source_files)
 
 
 @query
 def check_mentioned_in_missing(lake):
-    return checks.mentioned_in_missing(lake.pages)
+    return checks.mentioned_in_missing(lake.pages_of("lint"))
+
+
+@query
+def check_mentioned_in_missing_stripped(lake):
+    return checks.mentioned_in_missing(lake.pages_of("lint"), strip_dot_slash=True)
 
 
 @query
 def check_not_in_index(lake):
-    return checks.not_in_index(lake.pages, lake.index_entries)
+    return checks.not_in_index(lake.pages_of("lint"), lake.index_entries)
 
 
 @query
 def check_orphan_source(lake):
-    return checks.orphan_source(lake.pages, lake.source_files)
+    return checks.orphan_source(lake.pages_of("lint"), lake.source_files)
 
 
 @query
 def check_index_dead_link(lake):
-    return checks.index_dead_link(lake.pages, lake.index_entries, lake.manifest)
+    return checks.index_dead_link(lake.pages_of("lint"), lake.index_entries, lake.manifest)
 
 
 @query
@@ -499,7 +512,7 @@ def distinct_tags(lake):
 
 @query
 def view_counts(lake):
-    return agg.view_counts(lake.pages)
+    return agg.view_counts(lake.pages, extract.open_risks(lake.risk_rows))
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -41,10 +43,11 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="spark-mdlake-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
     return _OWN[app]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
     Readers of the result scan narrow columns of a Parquet table instead of
@@ -52,5 +55,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/mdlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

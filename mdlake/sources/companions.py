@@ -11,7 +11,7 @@ from mdlake.functions.columns import once
 from mdlake.functions.dates import day
 from mdlake.functions.text import basename
 
-_HEADER_BLOCK = r"\A(?:>[^\n]*(?:\n|\z)){0,100}"
+_FIRST_PLAIN_LINE = r"(?md)^(?!>)"
 CHUNK = 65536  # lines per window partition
 
 
@@ -30,33 +30,51 @@ def source_files(manifest: DataFrame) -> DataFrame:
 def without_comments(lines: DataFrame) -> DataFrame:
     """A line table with ``<!-- … -->`` removed, also across lines.
 
-    A line that holds a comment mark decides by its last mark whether the next
-    line starts inside a comment. The state is carried within chunks of CHUNK
+    What a line does to the state "inside a comment" follows from its marks: it sets it, or, by an odd number of marks like
+    ``<!-->`` that open outside and close inside, turns it over. The state is carried within chunks of CHUNK
     lines and, over one row per chunk, between them; so a file of any length
     is spread over many tasks. An opening mark that is never closed is text.
     """
     line, end = F.col("line"), F.col("last_close")
-    opens, closes = F.contains(line, F.lit("<!--")), F.contains(line, F.lit("-->"))
-    tail_open = F.contains(F.substring_index(line, "-->", -1), F.lit("<!--"))
-    marked = lines.withColumn("chunk", F.floor(F.col("line_no") / CHUNK)).withColumn(
-        "ends_inside", F.when(closes | opens, tail_open)
+    closes = F.contains(line, F.lit("-->"))
+    marks = F.regexp_extract_all("line", F.lit("(<!--->|<!-->|<!--|-->)"), F.lit(1))
+
+    def behind(state: bool) -> Column:
+        return F.aggregate("marks", F.lit(state), lambda s, m: F.when(m == "-->", False).when(m == "<!--", True).otherwise(~s))
+
+    chunks = W.partitionBy("path", "chunk").orderBy("line_no")
+    marked = once(lines.withColumn("chunk", F.floor(F.col("line_no") / CHUNK)), marks=marks)
+    marked = once(marked, outside=behind(False), inside=behind(True))
+    marked = marked.select(
+        "path", "line_no", "line", "chunk", F.when(F.col("outside") == F.col("inside"), F.col("outside")).alias("sets"),
+        (F.col("outside") & ~F.col("inside")).cast("int").alias("turns"),
     )
+    marked = marked.withColumn("turned", F.sum("turns").over(chunks.rowsBetween(W.unboundedPreceding, 0)))
+    last_set = F.when(F.col("sets").isNotNull(), F.col("line_no"))
     by_chunk = marked.groupBy("path", "chunk").agg(
-        F.max_by("ends_inside", F.when(F.col("ends_inside").isNotNull(), F.col("line_no"))).alias("ends_inside"),
+        F.max_by("sets", last_set).alias("sets"), F.max_by("turned", last_set).alias("turned_at"), F.max("turned").alias("turns"),
         F.max(F.when(closes, F.col("line_no"))).alias("last_close"),
     )
+
+    def state(sets: str, turned: str, window, start: Column) -> Column:
+        """The state before a row: what was set last, turned over as often as came after that."""
+        set_before = F.last(sets, ignorenulls=True).over(window)
+        turned_then = F.last(F.when(F.col(sets).isNotNull(), F.col(turned)), ignorenulls=True).over(window)
+        odd = (F.coalesce(F.max(turned).over(window), F.lit(0)) - F.coalesce(turned_then, F.lit(0))) % 2 == 1
+        return F.coalesce(set_before, start) != odd
+
     # one row per chunk
     whole_file = W.partitionBy("path")
     so_far = whole_file.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    after_set = F.col("turns") - F.coalesce("turned_at", F.lit(0))  # turns behind a chunk's last setting line, or all
+    by_chunk = by_chunk.select("path", "chunk", "last_close", (F.col("sets") != (after_set % 2 == 1)).alias("sets"), F.when(F.col("sets").isNull(), after_set).otherwise(0).alias("turns"))
+    by_chunk = by_chunk.withColumn("turned", F.sum("turns").over(whole_file.orderBy("chunk").rowsBetween(W.unboundedPreceding, 0)))
     spans = by_chunk.select(
-        "path", "chunk",
-        F.coalesce(F.last("ends_inside", ignorenulls=True).over(so_far), F.lit(False)).alias("enters_inside"),
-        F.max("last_close").over(whole_file).alias("last_close"),
+        "path", "chunk", state("sets", "turned", so_far, F.lit(False)).alias("enters_inside"), F.max("last_close").over(whole_file).alias("last_close")
     )
     placed = marked.join(spans, ["path", "chunk"])
 
-    before = W.partitionBy("path", "chunk").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    inside = F.coalesce(F.last("ends_inside", ignorenulls=True).over(before), F.col("enters_inside"))
+    inside = state("sets", "turned", chunks.rowsBetween(W.unboundedPreceding, -1), F.col("enters_inside"))
     # behind the last closing mark of the file nothing is a comment
     within = F.coalesce(F.col("line_no") <= end, F.lit(False))
     resumed = F.when(closes, F.substring(line, F.locate("-->", line) + 3, F.length(line))).otherwise("")
@@ -106,9 +124,14 @@ def sources(docs: DataFrame) -> DataFrame:
     return docs.where(_in_sources()).select(basename(F.col("path")).alias("name"), "text")
 
 
+def _header_and_body(text: Column) -> Column:
+    """A text cut where its leading quote block ends, however long that is."""
+    return F.when(F.startswith(text, F.lit(">")), F.split(text, _FIRST_PLAIN_LINE, 2)).otherwise(F.array(F.lit(""), text))
+
+
 def header_field(text: Column, name: str) -> Column:
     """A field of the quote block at the top of a source, NULL if it is not given."""
-    top = F.regexp_extract(text, _HEADER_BLOCK, 0)
+    top = F.get(_header_and_body(text), F.lit(0))
     return F.nullif(F.trim(F.regexp_extract(top, SOURCE_HEADER[name], 1)), F.lit(""))
 
 
@@ -125,4 +148,4 @@ def source_headers(source_docs: DataFrame) -> DataFrame:
 
 def source_body(text: Column) -> Column:
     """A source's text behind its header block."""
-    return F.regexp_replace(text, rf"{_HEADER_BLOCK}\n*", "")
+    return F.regexp_replace(F.coalesce(F.get(_header_and_body(text), F.lit(1)), F.lit("")), r"\A\n+", "")

@@ -109,6 +109,11 @@ refs AS (
            ELSE ['sources/doc-' || d || '.md'] END)) AS refs, source, category
   FROM parts WHERE is_page AND k % 6 = 1
 ),
+extra AS (
+  SELECT 'docs/guide-' || k || '.md' AS path, k, true AS for_lint FROM part0 WHERE k % 50 = 7
+  UNION ALL SELECT 'tests/case-' || k || '.md', k, true FROM part0 WHERE k % 50 = 8
+  UNION ALL SELECT 'evals/run-' || k || '.md', k, false FROM part0 WHERE k % 50 = 9
+),
 found AS (
   SELECT path AS file, 'frontmatter' AS "check", 'missing field: ' || f AS detail
   FROM (SELECT path, unnest([CASE WHEN k % 11 = 0 THEN 'title' END, CASE WHEN k % 17 = 0 THEN 'category' END,
@@ -125,6 +130,11 @@ found AS (
   UNION ALL SELECT path, 'missing_section', 'entity page missing section: Where It Appears' FROM ents WHERE NOT has_where
   UNION ALL SELECT path, 'missing_section', 'entity page missing section: ' || f
   FROM notes, (VALUES ('What It Is'), ('How We Use It'), ('Where It Appears')) v(f)
+  UNION ALL SELECT path, 'frontmatter', 'missing field: ' || f
+  FROM extra, (VALUES ('category'), ('status'), ('owner'), ('tags'), ('created'), ('last_reviewed')) v(f) WHERE for_lint
+  UNION ALL SELECT path, 'missing_section', 'use-case page missing section: ' || f
+  FROM extra, (VALUES ('What This Is'), ('How It Works'), ('Risk Register'), ('Prerequisites')) v(f) WHERE for_lint
+  UNION ALL SELECT path, 'not_in_index', 'not listed in index.md' FROM extra WHERE for_lint
   UNION ALL SELECT path, 'open_risk', '🔲 ' || risk FROM risks WHERE mark = 2 AND k % 37 <> 0
   UNION ALL SELECT path, 'mentioned_in_missing', 'mentioned_in: ''' || raw || ''' does not exist' FROM ments
   WHERE i > 1 OR k % 53 = 0 OR k >= (SELECT count(*) FROM part)
@@ -147,7 +157,9 @@ ptext AS (
         'created: ' || created || E'\n',
         CASE WHEN last_reviewed IS NULL THEN '' ELSE 'last_reviewed: ' || last_reviewed || E'\n' END,
         CASE WHEN source IS NULL THEN '' ELSE 'source: ' || source || E'\n' END, E'---\n') END) AS front,
-    concat('# Part ', k, E'\n\n## What This Is\n\nPart ', k, ' of ', p_brand, '.',
+    concat('# Part ', k, E'\n\n', CASE k % 47 WHEN 5 THEN E'```\ncode text\n```\n\n'
+        WHEN 6 THEN array_to_string([('w' || i) FOR i IN range(40)], E'\n') || E'\n\n' ELSE '' END,
+      E'## What This Is\n\nPart ', k, ' of ', p_brand, '.',
       CASE WHEN k % 6 = 1 THEN ' See sources/doc-' || d || '.md' ELSE '' END,
       CASE WHEN k % 12 = 7 THEN ' and sources/doc-' || (k + 1) % n_docs || '.md and sources/doc-' || (k + 2) % n_docs || '.md and sources/doc-' || (k + 3) % n_docs || '.md' ELSE '' END,
       CASE WHEN k % 6 = 1 THEN ' for details.' ELSE '' END,
@@ -156,14 +168,17 @@ ptext AS (
       CASE WHEN k % 29 = 0 AND k >= 2 THEN ', [back](../parts/part-' || (k - 2) || '.md)' ELSE '' END,
       CASE WHEN k % 31 = 0 THEN ', [region](./entities/region-0.md#x)' ELSE '' END, E'\n\n',
       CASE WHEN p_size % 10 = 0 THEN '> **Open question:** Is size ' || p_size || ' right for part ' || k || E'?  \n\n' ELSE '' END,
+      CASE WHEN k % 43 = 3 THEN hazards ELSE '' END,
       E'## Risk Register\n\n| Risk | Likelihood | Impact | Mitigation | Status |\n',
       CASE WHEN k % 37 = 0 THEN E'| :--- | :--- | :--- | :--- | :--- |\n' ELSE E'| --- | --- | --- | --- | --- |\n' END,
       (SELECT string_agg('| Risk ' || r || ' of part ' || k || ' | ' || CASE WHEN (k + r) % 2 = 0 THEN 'High' ELSE 'Low' END || ' | Medium | Plan ' || r || ' | '
          || CASE (k + r) % 3 WHEN 0 THEN '⚠️ Action required' WHEN 1 THEN '✅ Handled' ELSE '🔲 Not yet addressed' END || E' |\n', '' ORDER BY r)
        FROM (VALUES (1), (2), (3)) v(r) WHERE r <= k % 3 + 1),
       E'\n', CASE WHEN k % 41 <> 0 THEN E'## Prerequisites\n\nNone.\n' ELSE '' END,
-      CASE WHEN k % 8 = 0 THEN E'\n## Appendix A\n\nSee above.\n' ELSE '' END) AS body, p_brand, n_docs, d
-  FROM parts JOIN (SELECT doc_id, text FROM documents) t ON t.doc_id = d
+      CASE WHEN k % 8 = 0 THEN E'\n## Appendix A\n\nSee above.\n' ELSE '' END,
+      CASE WHEN k % 43 = 4 THEN E'\n' || hazards ELSE '' END) AS body, p_brand, n_docs, d
+  FROM (SELECT *, concat(E'#### Hazards\n\n| Hazard | Likelihood | Impact | Plan | Status |\n| --- | --- | --- | --- | --- |\n| Fire ',
+          k, E' | High | High | Plan | 🔲 Open |\n\n') AS hazards FROM parts) JOIN (SELECT doc_id, text FROM documents) t ON t.doc_id = d
 ),
 etext AS (
   SELECT path, concat(E'---\ntitle: ', title, E'\ntype: ', kind, E'\ncategory: Entities & Concepts\nstatus: Active\nowner: team-', n % 10,
@@ -177,10 +192,11 @@ etext AS (
 ),
 stext AS (
   SELECT 'sources/' || name AS path, d, name,
-    CASE WHEN d % 9 = 0 THEN '' ELSE concat('> **Source type:** feed ', source, E'\n',
+    CASE WHEN d % 9 = 0 THEN '' ELSE concat(CASE WHEN d % 50 = 7 THEN array_to_string([('> note ' || i) FOR i IN range(150)], E'\n') || E'\n' ELSE '' END,
+      '> **Source type:** feed ', source, E'\n',
       CASE WHEN d % 2 = 0 THEN '> **URL:** https://example.org/doc/' || d || E'\n' ELSE '' END,
       CASE WHEN d % 10 <> 3 THEN '> **Fetched:** ' || (DATE '2024-01-01' + CAST(d % 300 AS INTEGER)) || E'\n' ELSE '' END,
-      E'> ⚠️ Do not edit this file. Edit the derived wiki page instead.\n\n') END AS head,
+      E'> Kept as it was fetched; changes belong on the page made from it.\n\n') END AS head,
     concat('# Document ', d, E'\n\n## How It Works\n\n', text, E'\n\n## Appendix A\n\nLast words.\n',
       CASE WHEN d % 4 = 0 THEN E'\n## Glossary\n\nNone.\n' ELSE '' END) AS body, text
   FROM srcs
@@ -188,6 +204,7 @@ stext AS (
 xtext AS (
   SELECT 'parts/group-' || k || '/README.md' AS path, k FROM part0 WHERE k % 50 = 0
   UNION ALL SELECT '_templates/part-' || k || '.md', k FROM part0 WHERE k % 50 = 1
+  UNION ALL SELECT path, k FROM extra
 ),
 doc AS (
   SELECT path, front || E'\n' || body AS text FROM ptext

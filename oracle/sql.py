@@ -31,7 +31,6 @@ _add(
     scan_documents="SELECT path, length(text)::INT AS n_chars, md5(text) AS digest FROM doc",
     scan_excluded="SELECT path FROM ptext UNION ALL SELECT path FROM ents UNION ALL SELECT path FROM notes",
     frontmatter=_LIST_OF_KINDS,
-    frontmatter_strict=_LIST_OF_KINDS,
     body_split="""
       SELECT path, length(body)::INT AS n_chars, md5(body) AS digest FROM (
         SELECT path, body FROM pbody
@@ -63,11 +62,13 @@ _add(
       UNION ALL SELECT 'sources/img/fig-' || d || '.png' FROM srcs WHERE d % 25 = 0
       UNION ALL SELECT 'sources/.draft-' || d FROM srcs WHERE d % 30 = 0""",
     log_stream="SELECT DISTINCT date, action, detail FROM logrows WHERE log_date IS NOT NULL",
+    log_stream_rejected="SELECT date, action, detail FROM logrows WHERE log_date IS NULL",
 )
 
 _SUMMARY = """
   SELECT path AS file, coalesce(left(fm_title, 50), '') AS title, coalesce(category, '') AS category,
          coalesce(status, '') AS status, coalesce(last_reviewed::VARCHAR, '') AS last_reviewed FROM pg"""
+_SUMMARY_OF_ALL = f"{_SUMMARY} UNION ALL SELECT path, 'Copy ' || k, '', '', '' FROM extra"  # a query sees more folders than a reader
 _RECORD = """
   SELECT path, title, page_type AS type, coalesce(category, '') AS category, coalesce(status, '') AS status,
          coalesce(owner, '') AS owner, coalesce(source, '') AS source, {tags} AS tags,
@@ -77,7 +78,7 @@ _PROVENANCE = "CASE WHEN source IS NULL THEN 'synthesized' ELSE 'source' END AS
 _DAYS = f"date_diff('day', last_reviewed, {AS_OF})"
 
 _add(
-    page_summary=_SUMMARY,
+    page_summary=_SUMMARY_OF_ALL,
     page_record=_RECORD.format(tags="array_to_string(tags, ',')", body="md5(body)"),
     title_fallback="""
       SELECT path, CASE WHEN path LIKE 'notes/%' THEN split_part(split_part(path, '/', 2), '.', 1)
@@ -90,20 +91,20 @@ _add(
         WHEN n < 30 THEN n || ' days ago' WHEN n < 365 THEN (n // 30) || ' months ago' ELSE (n // 365) || ' years ago' END AS reviewed
       FROM (SELECT path, last_reviewed, {_DAYS} AS n FROM pg)""",
     page_blurb="""
-      SELECT path, left('Part ' || k || ' of ' || p_brand || '.' || CASE WHEN k % 6 = 1 THEN ' See sources/doc-' || d || '.md' ELSE '' END
+      SELECT path, CASE WHEN k % 47 = 6 THEN array_to_string([('w' || i) FOR i IN range(40)], E'\n') ELSE left('Part ' || k || ' of ' || p_brand || '.' || CASE WHEN k % 6 = 1 THEN ' See sources/doc-' || d || '.md' ELSE '' END
         || CASE WHEN k % 12 = 7 THEN ' and sources/doc-' || (k + 1) % n_docs || '.md and sources/doc-' || (k + 2) % n_docs || '.md and sources/doc-' || (k + 3) % n_docs || '.md' ELSE '' END
-        || CASE WHEN k % 6 = 1 THEN ' for details.' ELSE '' END, 180) AS blurb FROM parts WHERE is_page
+        || CASE WHEN k % 6 = 1 THEN ' for details.' ELSE '' END, 180) END AS blurb FROM parts WHERE is_page
       UNION ALL SELECT path, title || '.' FROM ents UNION ALL SELECT path, '' FROM notes""",
     format_date="SELECT path AS file, coalesce(last_reviewed::VARCHAR, '') AS last_reviewed FROM pg",
     label_truncate="SELECT path, CASE WHEN length(title) > 35 THEN left(title, 33) || '…' ELSE title END AS label FROM pg",
     column_widths=f"""
       SELECT greatest(4, max(length(file)))::INT AS file, greatest(5, max(length(title)))::INT AS title, greatest(8, max(length(category)))::INT AS category,
-             greatest(6, max(length(status)))::INT AS status, greatest(13, max(length(last_reviewed)))::INT AS last_reviewed FROM ({_SUMMARY})""",
+             greatest(6, max(length(status)))::INT AS status, greatest(13, max(length(last_reviewed)))::INT AS last_reviewed FROM ({_SUMMARY_OF_ALL})""",
     table_lines=f"""
       SELECT '| ' || rpad(file, w1, ' ') || ' | ' || rpad(title, w2, ' ') || ' | ' || rpad(category, w3, ' ') || ' | ' || rpad(status, w4, ' ')
              || ' | ' || rpad(last_reviewed, w5, ' ') || ' |' AS line
-      FROM ({_SUMMARY}), (SELECT greatest(4, max(length(file)))::INT AS w1, greatest(5, max(length(title)))::INT AS w2,
-        greatest(8, max(length(category)))::INT AS w3, greatest(6, max(length(status)))::INT AS w4, greatest(13, max(length(last_reviewed)))::INT AS w5 FROM ({_SUMMARY}))""",
+      FROM ({_SUMMARY_OF_ALL}), (SELECT greatest(4, max(length(file)))::INT AS w1, greatest(5, max(length(title)))::INT AS w2,
+        greatest(8, max(length(category)))::INT AS w3, greatest(6, max(length(status)))::INT AS w4, greatest(13, max(length(last_reviewed)))::INT AS w5 FROM ({_SUMMARY_OF_ALL}))""",
     search_docs="SELECT id, title, category, array_to_string(tags, ',') AS tags, md5(body) AS body FROM sdoc",
     filter_status="SELECT path FROM pg WHERE status = 'Draft'",
     filter_category="SELECT path FROM pg WHERE category LIKE '%Brand#1%'",
@@ -126,6 +127,7 @@ _add(
       SELECT path, page_title, pos, risk, likelihood, impact, mitigation, status, CASE mark WHEN 0 THEN '⚠️' ELSE '🔲' END AS status_symbol
       FROM risks WHERE mark <> 1""",
     open_risks_query="SELECT path AS file, risk, likelihood, impact, status FROM risks WHERE mark <> 1 AND k % 37 <> 0",
+    open_risks_lint="SELECT path, left(risk, 80) AS risk FROM risks WHERE mark = 2 AND k % 37 <> 0",
     open_questions="SELECT path, page_title, seq, question FROM qs",
     raw_links="SELECT src, target FROM links",
     mentions="SELECT CASE WHEN raw LIKE './%' THEN substr(raw, 3) ELSE raw END AS referrer, path FROM ments",
@@ -204,6 +206,13 @@ _LABEL = 'CASE "check" ' + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _LABELS
 for _check in _LABELS:
     _SELECTS[f"check_{_check}"] = f"""SELECT file, "check", detail FROM found WHERE "check" = '{_check}'"""
 
+_RAW = "CASE WHEN raw LIKE './%' THEN substr(raw, 3) ELSE raw END"
+_add(
+    check_mentioned_in_missing_stripped=f"""
+      SELECT path AS file, 'mentioned_in_missing' AS "check", 'mentioned_in: ''' || {_RAW} || ''' does not exist' AS detail
+      FROM ments WHERE k IS NULL OR k % 53 = 0 OR k >= (SELECT count(*) FROM part)""",
+)
+
 _JSON = {
     "pages": _RECORD.format(tags="tags", body="body"),
     "edges": "SELECT src, dst FROM edges",
@@ -253,7 +262,7 @@ post AS (
 
 
 def _weight(word: str, prefix: bool, fuzzy: bool) -> str:
-    n, reach = len(word), min(6, int(0.2 * len(word) + 0.5))
+    n, reach = len(word), int(0.2 * len(word) + 0.5)
     ways = [f"CASE WHEN term = '{word}' THEN 1.0::DOUBLE END"]
     if prefix:
         ways.append(f"CASE WHEN starts_with(term, '{word}') THEN 0.375::DOUBLE * length(term) / (length(term) + 0.3::DOUBLE * (length(term) - {n})) END")

@@ -7,6 +7,7 @@ from conftest import page
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mdlake.functions.dates import day
 from mdlake.functions.text import strip
 from mdlake.operators import extract as X
 from mdlake.operators import filters, projections as prj
@@ -22,10 +23,10 @@ def rows(df, *columns):
 
 def test_open_risks_leave_out_handled_ones(make_pages):
     body = "## Risk Register\n\n" + TABLE + (
-        "| R1 | Low | High | M1 | ⚠️ Action required |\n| R2 | High | High | M2 | ✅ Handled |\n| R3 | Med | Med | M3 | 🔲 Not yet addressed |\n"
+        "| Frost | Rare | Burst pipe | Lagging | ⚠️ Order wool |\n| Rust | Sure | Leak | Paint | ✅ Done in May |\n| Mice | Some | Noise | Cat | 🔲 Ask around |\n"
     )
     pages = make_pages({"p.md": page(body, title="P")})
-    assert rows(X.open_risks(pages), "risk", "status_symbol", "page_title") == [("R1", "⚠️", "P"), ("R3", "🔲", "P")]
+    assert rows(X.open_risks(X.risk_rows(pages)), "risk", "status_symbol", "page_title") == [("Frost", "⚠️", "P"), ("Mice", "🔲", "P")]
     assert rows(X.risk_status_mix(pages), "action_required", "not_addressed", "handled", "other") == [(1, 1, 1, 0)]
 
 
@@ -40,7 +41,7 @@ def test_the_three_risk_readers_differ(make_pages):
         "bare.md": page("## Risk Register\n" + TABLE + "| H | l | i | m | ⚠ |\n| I | l | i | m --- x | 🔲 |\n|| J | l | i | m | 🔲 |\n| K \\| k | l | i | m | 🔲 |\n| short | 🔲 |\n"),
     }
     pages = make_pages(texts)
-    assert rows(X.open_risks(pages), "path", "risk") == [
+    assert rows(X.open_risks(X.risk_rows(pages)), "path", "risk") == [
         ("bare.md", "J"), ("colon.md", "A"), ("gap.md", "D"), ("gap.md", "E"), ("gap.md", "F"),
     ]
     assert rows(X.open_risks_query(pages), "file", "risk") == [
@@ -54,7 +55,7 @@ FRAGMENTS = [
     "## Risk Register", "### Other", "# Top", "##risk register x", "  ## Risk register", "", "text", "| a | b | c | d | 🔲 x |",
     "| a | b | c | d | ⚠️ |", " | b | c | d | e | was 🔲 |", "| --- | --- | --- | --- | --- |", "|---|", "| :--- | --- |", "||",
     "| Risk | Likelihood | Impact | Mitigation | Status |", "Risk or Likelihood | x", "| Risk | b | c | d | 🔲 |", "| x | y |",
-    "|| a | b | c | d | 🔲", "| a - | -- | c | d | 🔲 | f |", " | n | b | c | d | 🔲 |",
+    "| Hazard | Likelihood | Impact | Plan | Status |", "Likelihood", "|| a | b | c | d | 🔲", "| a - | -- | c | d | 🔲 | f |", " | n | b | c | d | 🔲 |",
 ]
 
 
@@ -105,17 +106,17 @@ def test_risk_readers_on_random_documents(spark):
 def test_long_tables_do_not_overflow(make_pages):
     body = "## Risk Register\n" + TABLE + "| R | l | i | m | 🔲 |\n" * 50_000
     pages = make_pages({"p.md": page(body)})
-    assert X.open_risks(pages).count() == X.open_risks_query(pages).count() == 50_000
+    assert X.open_risks(X.risk_rows(pages)).count() == X.open_risks_query(pages).count() == 50_000
 
 
 def test_open_questions(make_pages):
     body = (
-        "Some prose.\n\n> **Open question:** Does X reset on a sliding window?\n\nMore.\n\n> **Open question:**  What is the ceiling?  \n"
+        "Words.\n\n> **Open question:** Who holds the spare key?\n\nWords again.\n\n> **Open question:**  How deep is the well?  \n"
         "> **open question:** wrong case\n>**Open question:**\n\nnext line\n"
     )
     found = X.open_questions(make_pages({"p.md": page(body, title="P")}))
     assert rows(found, "seq", "question", "page_title") == [
-        (0, "Does X reset on a sliding window?", "P"), (1, "What is the ceiling?", "P"), (2, "next line", "P"),
+        (0, "Who holds the spare key?", "P"), (1, "How deep is the well?", "P"), (2, "next line", "P"),
     ]
 
 
@@ -160,7 +161,7 @@ def test_log(spark, make_docs):
 def test_index_comments_across_lines_and_chunks(spark, monkeypatch):
     monkeypatch.setattr(C, "CHUNK", 4)
     rng = random.Random(5)
-    words = ["[a](./p{}.md)", "<!--", "-->", "text", "[b](p.md)", "<!-- [c](./q{}.md) -->", ""]
+    words = ["[a](./p{}.md)", "<!--", "-->", "<!-->", "<!--->", "text", "[b](p.md)", "<!-- [c](./q{}.md) -->", ""]
     for trial in range(12):
         lines = [" ".join(rng.choice(words).format(rng.randint(0, 99)) for _ in range(rng.randint(0, 4))) for _ in range(60)]
         if trial % 3 == 0:
@@ -177,6 +178,37 @@ def test_source_header(spark):
     assert [(r.name, r.source_type, r.url, str(r.fetched)) for r in sorted(got)] == [("a.md", "ticket", None, "2026-04-30"), ("b.md", None, None, "None")]
 
 
+def test_header_blocks_of_any_length(spark):
+    for n in (0, 1, 150, 100_000):
+        text = "> note\n" * n + "> **URL:** http://x\n> 🔲 **Source type:** y\n> **Fetched:** 2024-05-06\n\n\nBody\n> **URL:** http://late\n"
+        table = spark.createDataFrame([("a.md", text), ("b.md", "> **URL:** http://x"), ("c.md", "")], "name string, text string")
+        got = {r.name: (r.url, str(r.fetched), r.b) for r in C.source_headers(table).join(table, "name").withColumn("b", C.source_body(F.col("text"))).collect()}
+        assert got == {"a.md": ("http://x", "2024-05-06", "Body\n> **URL:** http://late\n"), "b.md": ("http://x", "None", ""), "c.md": (None, "None", "")}
+
+
+def test_blurbs_of_fences_and_long_paragraphs(make_pages):
+    lines = "\n".join(f"w{i}" for i in range(40))
+    texts = {
+        "a.md": page("```\ncode text\n```\n\nBehind it.", title="A"),
+        "b.md": page("~~~ py\n```\nstill code\n~~~\nBehind it.", title="B"),
+        "c.md": page(lines + "\n\nnext", title="C"),
+        "d.md": page("```\nnever closed", title="D"),
+        "e.md": page("Text\n```\ncode\n```\nmore", title="E"),
+        "f.md": page("x\n" * 100_000, title="F"),
+    }
+    got = dict(rows(prj.page_blurb(make_pages(texts)), "path", "blurb"))
+    assert got == {"a.md": "Behind it.", "b.md": "Behind it.", "c.md": lines, "d.md": "", "e.md": "Text", "f.md": ("x\n" * 90)}
+
+
+def test_dates(spark):
+    cases = {
+        "2024-01-05": "2024-01-05", "2024-1-5": "2024-01-05", "2024-1-5 x": None, "2024-01-05 x": "2024-01-05", "2024-1-5 10:00:00": "2024-01-05",
+        "2024-1-5T10:00": "2024-01-05", "2024-12-1x": None, "2024-13-01": None, "soon": None, "": None, "2024-1-123": None,
+    }
+    table = spark.createDataFrame([(k,) for k in cases], "raw string")
+    assert {r.raw: r.d and str(r.d) for r in table.select("raw", day(F.col("raw")).alias("d")).collect()} == cases
+
+
 def test_projections(make_pages):
     texts = {
         "a.md": page("# H\n\n- list\n\nFirst _word_ of `it`.\n", title="A" * 36, last_reviewed="2026-04-29", source="sources/a.md"),
@@ -189,10 +221,10 @@ def test_projections(make_pages):
     assert rows(prj.review_age(pages, "2026-04-30"), "path", "reviewed") == [("a.md", "yesterday"), ("b.md", ""), ("c.md", "1 years ago")]
     summary = prj.page_summary(pages)
     assert rows(summary, "file", "title", "category", "status", "last_reviewed") == [
-        ("a.md", "A" * 36, "Demo", "Live", "2026-04-29"), ("b.md", "B" * 50, "", "Live", "soon"), ("c.md", "", "Demo", "", "2025-01-01"),
+        ("a.md", "A" * 36, "Yard", "Running", "2026-04-29"), ("b.md", "B" * 50, "", "Running", "soon"), ("c.md", "", "Yard", "", "2025-01-01"),
     ]
-    assert prj.column_widths(summary).first().asDict() == {"file": 4, "title": 50, "category": 8, "status": 6, "last_reviewed": 13}
-    assert {len(r.line) for r in prj.padded_rows(summary).collect()} == {4 + 50 + 8 + 6 + 13 + 16}
+    assert prj.column_widths(summary).first().asDict() == {"file": 4, "title": 50, "category": 8, "status": 7, "last_reviewed": 13}
+    assert {len(r.line) for r in prj.padded_rows(summary).collect()} == {4 + 50 + 8 + 7 + 13 + 16}
 
 
 def test_filters(make_pages):

@@ -13,6 +13,7 @@ from mdlake.operators import checks, edges as E, filters, graph, joins, maintena
 from mdlake.operators import aggregates as agg
 from mdlake.operators import projections as prj
 from mdlake.plans import lint, reader
+from mdlake.plans import query as page_query
 from mdlake.streaming import log_stream as LS
 
 CLEAN = "## What This Is\n## How It Works\n## Risk Register\n## Prerequisites\n"
@@ -40,7 +41,7 @@ def test_nine_checks_on_a_folder(spark, tmp_path):
         "index.md": "[a](./p/ok.md) [b](./p/isnt.md) [c](./p/bad.md) [d](./p/lost.md) [e](./p/meta.md) [x](./CONVENTIONS.md) [y](./p/dead.md)\n<!-- [z](./p/hidden.md)\n-->",
         "CONVENTIONS.md": "rules", "sources/used.md": "s", "sources/orphan.txt": "s", "sources/.hidden": "s", "sources/deep/x.md": "s",
     })
-    lake = lakes.open_folder(spark, str(tmp_path), profile="lint")
+    lake = lakes.open_folder(spark, str(tmp_path))
     found = pairs(lint.findings(lake), "file", "check", "detail")
     use, ent = "use-case page missing section: ", "entity page missing section: "
     assert found == sorted([
@@ -69,14 +70,14 @@ def test_edges(make_pages):
     pages = make_pages({
         "a.md": page("[B](./b.md) [B](b.md) [self](a.md) [none](x.md)", title="A"),
         "b.md": page("[up](../a.md)", title="B"),
-        "paper.md": page(title="Paper"),
-        "entities/openai.md": page(title="OpenAI", type="entity", mentioned_in="[./paper.md, paper.md, gone.md]"),
+        "tide.md": page(title="Tide"),
+        "entities/harbour.md": page(title="Harbour", type="entity", mentioned_in="[./tide.md, tide.md, gone.md]"),
     })
     found = E.edges(pages)
-    assert pairs(found, "src", "dst") == [("a.md", "b.md"), ("b.md", "a.md"), ("paper.md", "entities/openai.md")]
-    assert pairs(agg.total_degree(found, pages), "path", "degree") == [("a.md", 2), ("b.md", 2), ("entities/openai.md", 1), ("paper.md", 1)]
+    assert pairs(found, "src", "dst") == [("a.md", "b.md"), ("b.md", "a.md"), ("tide.md", "entities/harbour.md")]
+    assert pairs(agg.total_degree(found, pages), "path", "degree") == [("a.md", 2), ("b.md", 2), ("entities/harbour.md", 1), ("tide.md", 1)]
     assert agg.graph_stats(found, pages).first().asDict() == {"pages": 4, "links": 3, "orphans": 1}
-    assert pairs(graph.orphan_pages(found, pages), "path") == [("paper.md",)]
+    assert pairs(graph.orphan_pages(found, pages), "path") == [("tide.md",)]
     assert ("a.md", "mentions", "B") in pairs(E.mention_titles(found, pages), "path", "direction", "title")
 
 
@@ -88,15 +89,15 @@ def test_empty_corpus(make_pages):
 
 
 def test_bundle_end_to_end(spark, tmp_path):
-    body = "## What This Is\nFoo body.\n\n## Risk Register\n| Risk | Likelihood | Impact | Mitigation | Status |\n| --- | --- | --- | --- | --- |\n| R1 | Low | Med | M1 | ⚠️ Action required |\n"
-    write(tmp_path, {"use-cases/foo.md": page(body, title="Foo", tags="[alpha]"), "log.md": "## [2026-04-30] init | Created\n"})
+    body = "## What This Is\nPumps and valves.\n\n## Risk Register\n| Risk | Likelihood | Impact | Mitigation | Status |\n| --- | --- | --- | --- | --- |\n| Leak | Rare | Flood | Bucket | ⚠️ Call a plumber |\n"
+    write(tmp_path, {"plant/pump.md": page(body, title="Pump", tags="[water]"), "log.md": "## [2025-03-09] init | Opened\n"})
     tables = reader.collections(lakes.open_folder(spark, str(tmp_path)))
     assert set(tables) == {"pages", "edges", "log", "risks", "open_qs", "search"}
     records = {}
     for r in sinks.reader_bundle(tables).collect():
         records.setdefault(r.collection, []).append(json.loads(r.json))
-    assert records["pages"][0]["title"] == "Foo" and records["pages"][0]["tags"] == ["alpha"]
-    assert records["log"] == [{"date": "2026-04-30", "action": "init", "detail": "Created"}]
+    assert records["pages"][0]["title"] == "Pump" and records["pages"][0]["tags"] == ["water"]
+    assert records["log"] == [{"date": "2025-03-09", "action": "init", "detail": "Opened"}]
     assert records["risks"][0]["status_symbol"] == "⚠️"
     assert records["search"][0]["body"].startswith("## What This Is")
     sinks.write_bundle(tables, str(tmp_path / "bundle"))
@@ -110,11 +111,29 @@ def test_skew_join_is_a_join(spark, how):
     right = [("hot", 1), ("k1", 2), ("k3", 3), ("k3", 4), ("other", 5)]
     a = spark.createDataFrame(left, "k string, v int")
     b = spark.createDataFrame(right, "k string, w int")
-    assert "hot" in {r.k for r in joins.hot_keys(a, "k").collect()}
-    got, want = joins.skew_join(a, b, "k", how, "v", slices=7), a.join(b, "k", how)
+    assert {r.k for r in joins.hot_keys(a, "k", 500).collect()} == {"hot"}
+    got, want = joins.skew_join(a, b, "k", how, "v", target=500), a.join(b, "k", how)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_no_slice_exceeds_its_target(spark):
+    half = spark.range(40_000).select(F.lit("half").alias("k"), "id")
+    many = spark.range(40_000).select(F.concat(F.lit("m"), (F.col("id") % 8).cast("string")).alias("k"), "id")
+    left = half.union(many)
+    hot = {r.k: r.slices for r in joins.hot_keys(left, "k", 4000).collect()}
+    assert hot == {"half": 10, **{f"m{i}": 2 for i in range(8)}}
+    sliced = left.join(joins.hot_keys(left, "k", 4000), "k").groupBy("k", F.pmod(F.xxhash64("id"), F.col("slices"))).count()
+    assert max(r["count"] for r in sliced.collect()) <= 4000 * 1.2
+
+
+def test_programs_see_their_own_folders(spark, tmp_path):
+    write(tmp_path, {p: page(CLEAN, title="T") for p in ("a.md", "docs/b.md", "tests/c.md", "evals/d.md", "scripts/e.md", "x/docs/f.md")})
+    lake = lakes.open_folder(spark, str(tmp_path))
+    assert pairs(lake.pages, "path") == [("a.md",), ("x/docs/f.md",)]
+    assert {f for (f,) in pairs(lint.findings(lake), "file")} == {"a.md", "docs/b.md", "tests/c.md", "x/docs/f.md"}
+    assert len(pairs(page_query.summary(lake), "file")) == 5
+
+
 def test_k_hop_against_breadth_first(spark):
     rng = random.Random(2)
     links = {(rng.randint(0, 40), rng.randint(0, 40)) for _ in range(45)}
@@ -123,7 +142,7 @@ def test_k_hop_against_breadth_first(spark):
     for a, b in links:
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
-    df = spark.createDataFrame(sorted(links), "src string, dst string")
+    df = graph.both_ways(spark.createDataFrame(sorted(links), "src string, dst string"))
     seeds = spark.createDataFrame([("0",), ("7",)], "path string")
     want = []
     for seed in ("0", "7"):
@@ -136,9 +155,7 @@ def test_k_hop_against_breadth_first(spark):
     assert pairs(ball, "seed", "path", "hop") == sorted(want)
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
-def test_search_against_direct_scoring(make_pages, monkeypatch, limit):
-    monkeypatch.setattr(search, "BROADCAST_ROWS", limit)
+def test_search_against_direct_scoring(make_pages):
     rng = random.Random(4)
     words = ["alpha", "alphas", "alpine", "beta", "betta", "gamma", "delta", "über"]
     texts = {f"p{i}.md": page(" ".join(rng.choices(words, k=rng.randint(0, 30))), title=" ".join(rng.choices(words, k=3)), tags=f"[{rng.choice(words)}]") for i in range(25)}
@@ -229,16 +246,19 @@ def test_order_by_path_components(make_pages):
     pages = make_pages({p: page(title="t") for p in ("a.md", "a-b.md", "a/b.md")})
     assert [r.path for r in pages.orderBy(path_order(F.col("path"))).collect()] == ["a/b.md", "a-b.md", "a.md"]
     tree = make_pages({"x.md": page(title="b"), "y.md": page(title="A"), "z.md": page(title="a", category=None)})
-    assert [r.title for r in agg.category_tree(tree).collect()] == ["A", "b", "a"]
+    assert [r.title for r in agg.category_tree(tree).collect()] == ["a", "A", "b"]
 
 
 def test_log_stream_drops_repeats(spark, tmp_path):
-    write(tmp_path, {"in/1.md": "## [2026-04-28] init | Created\n## [2026-04-29] add | A\n", "in/2.md": "## [2026-04-29] add | A\n## [2026-04-30] add | B\nnoise\n"})
+    write(tmp_path, {"in/1.md": "## [2026-04-28] init | Created\n## [2026-02-30] add | Never\n## [2026-04-29] add | A\n", "in/2.md": "## [2026-04-29] add | A\n## [2026-04-30] add | B\nnoise\n"})
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
     LS.run_once(LS.log_stream(spark, str(tmp_path / "in")), out, state)
     assert pairs(spark.read.parquet(out), "date", "detail") == [("2026-04-28", "Created"), ("2026-04-29", "A"), ("2026-04-30", "B")]
     write(tmp_path, {"in/3.md": "## [2026-04-30] add | B\n## [2026-05-01] add | C\n"})
     LS.run_once(LS.log_stream(spark, str(tmp_path / "in")), out, state)
+    rejected = str(tmp_path / "rejected")
+    LS.run_once(LS.rejected_stream(spark, str(tmp_path / "in")), rejected, str(tmp_path / "rejected-state"))
+    assert pairs(spark.read.parquet(rejected), "date", "detail") == [("2026-02-30", "Never")]
     assert pairs(spark.read.parquet(out), "date", "detail")[-2:] == [("2026-04-30", "B"), ("2026-05-01", "C")]
 
 
