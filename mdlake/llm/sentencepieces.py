@@ -27,7 +27,7 @@ from mdlake.llm.words import flat, lists
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-_KNOWN_WORDS = 600_000  # words a task remembers, about 200 bytes each
+_KNOWN_WORDS, _KNOWN_CHARACTERS = 600_000, 8_000_000  # that a task remembers
 _UNKNOWN_PENALTY = 10.0
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -74,6 +74,7 @@ class Encoder:
         # lengths of the pieces that end in given characters, longest first; those of one character are looked up by themselves
         self.lengths = {c: sorted({len(p) for p in ps}, reverse=True) for c, ps in by_end.items() if len(c) == 2}
         self.known: dict[str, bytes] = {}
+        self.size = 0  # characters of known words
 
     def encode(self, words: set[str]) -> None:
         """Adds the words to ``known``, sorted as a trie and walked depth-first."""
@@ -113,9 +114,12 @@ class Encoder:
         """The ids of each text, four bytes each."""
         cut = [words_of(x or "") for x in texts]
         new = {w for ws in cut for w in ws}
-        if len(self.known) + len(new) > _KNOWN_WORDS:
+        if len(self.known) + len(new) > _KNOWN_WORDS or self.size > _KNOWN_CHARACTERS:
             self.known.clear()
-        self.encode(new - self.known.keys())
+            self.size = 0
+        new -= self.known.keys()
+        self.size += sum(map(len, new))
+        self.encode(new)
         known = self.known
         return [b"".join([known[w] for w in ws]) for ws in cut]
 
