@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mdlake.llm.tables import free_name
+from mdlake.llm.tables import Covered, free_name
 from mdlake.llm.words import BY_LETTER, hash_words
 from mdlake.session import stored
 
@@ -93,14 +93,14 @@ def _entity(kind: str, value: str) -> str:
 
 def _terms(text: str, hits: list[tuple[str, int, int]]) -> list[dict]:
     """Whole words near each hit and outside all hits."""
-    found = []
+    found, covered = [], Covered([h[1:] for h in hits])
     for kind, start, end in hits:
         entity = _entity(kind, text[start:end])
         left, right = max(0, start - WINDOW), min(len(text), end + WINDOW)
         for m in _WORD.finditer(text, left, right):
             a, b = m.span()
             cut = a == left and a > 0 and _WORD.match(text[a - 1] * 3) or b == right and b < len(text) and _WORD.match(text[b] * 3)
-            if not cut and not any(s < b and a < e for _, s, e in hits):
+            if not cut and not covered.touches(a, b):
                 found.append((entity, m[0], a, b))
     hashes, _ = hash_words(pa.array([w for _, w, _, _ in found], pa.string()), BY_LETTER)
     return [{"entity": e, "term": h, "start": a, "end": b} for (e, _, a, b), h in zip(found, hashes.view(np.int64).tolist())]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mdlake.llm.tables import digest, free_name
+from mdlake.llm.tables import Covered, free_name
 from mdlake.llm.words import chunks
 from mdlake.session import stored
 
@@ -69,14 +69,8 @@ def base_hits(text: str) -> tuple[list[tuple[str, int, int]], list[str]]:
 
 def _long_tokens(text: str, hits: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Long tokens that overlap no hit."""
-    found, k = [], 0
-    hits = sorted(hits, key=lambda h: h[2])
-    for m in _TOKEN.finditer(text):
-        while k < len(hits) and hits[k][2] <= m.start():
-            k += 1
-        if not any(s < m.end() for _, s, _ in hits[k:]):
-            found.append((m[0], m.start(), m.end()))
-    return found
+    covered = Covered([h[1:] for h in hits])
+    return [(m[0], *m.span()) for m in _TOKEN.finditer(text) if not covered.touches(*m.span())]
 
 
 def _pairs(data: np.ndarray) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,9 +11,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
-def digest(parts: list[str]) -> str:
-    """Lower-case hex SHA-256 of the parts joined by commas."""
-    return hashlib.sha256(",".join(parts).encode()).hexdigest()
+class Covered:
+    """Which parts of a text spans cover, asked in logarithmic time."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for start, end in sorted(spans):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def touches(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end) - 1  # the last one that starts before ``end``
+        return at >= 0 and self.ends[at] > start
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -65,6 +65,13 @@ def test_long_runs_take_linear_time():
         secrets.base_hits(text)
 
 
+def test_texts_with_many_hits():
+    text = " ".join(f"a{i}@b.example.com word{i} token: abcdefgh{i}" for i in range(40_000))
+    hits = pii.base_hits(text)
+    assert len(hits) == 40_000 and len(pii._terms(text, hits)) > 40_000
+    assert len(secrets._long_tokens(text + " " + "q" * 30, secrets.base_hits(text)[0])) == 1
+
+
 def test_pii_terms_that_give_an_entity_away(spark):
     rng = random.Random(2)
     fill = [f"word{i}" for i in range(40)]
