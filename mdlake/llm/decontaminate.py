@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from mdlake.llm.fmindex import FMIndex
 from mdlake.llm.tables import free_name
-from mdlake.llm.words import BY_LETTER, chunks, hash_chunk, hash_words, lists
+from mdlake.llm.words import BY_LETTER, chunks, hash_chunk, hash_words, lists, slices
 
 WINDOW = 10  # words of a phrase
 BLOCK_BYTES = 16 << 20  # of benchmark texts that are searched in one pass
@@ -117,7 +117,7 @@ def _pass(phrases: Phrases, columns: list[str], text: str, out: list[str], earli
     """Adds words, hits (indexes of hit words) and items to each row, joined with those of an earlier pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             counts, hit, pairs, (starts, ends), bounds = find(phrases, batch.column(text))
             words = np.flatnonzero(hit)
             row = np.searchsorted(bounds, words, "right") - 1
@@ -175,7 +175,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
     hits = marked.columns[-2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             new = [without(x, own) if own else x for x, own in zip(batch.column(text).to_pylist(), batch.column(hits).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text else batch.column(c) for c in columns], columns)
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mdlake.llm.components import components
-from mdlake.llm.words import BY_SPACE, flat, hash_words, lists, mixed
+from mdlake.llm.words import BY_SPACE, flat, hash_words, lists, mixed, slices
 from mdlake.session import stored
 
 SHINGLE = 5
@@ -103,7 +103,7 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, key, registers, bands): ``key`` stands for the set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             sets = list(shingles(batch.column(text)))
             sizes = np.array([len(s) for s in sets], np.int64)
             own = registers(sets)
@@ -129,7 +129,7 @@ def _sets(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(packed).astype(bool)
-        for batch in batches:
+        for batch in slices(batches, text):
             batch = batch.filter(pa.array(wanted[batch.column("slot").to_numpy()]))
             sets = list(shingles(batch.column(text)))
             flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)

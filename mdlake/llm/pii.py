@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mdlake.llm.tables import Covered, free_name
-from mdlake.llm.words import BY_LETTER, hash_words
+from mdlake.llm.words import BY_LETTER, hash_words, slices
 from mdlake.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -108,7 +108,7 @@ def _terms(text: str, hits: list[tuple[str, int, int]]) -> list[dict]:
 
 def _scan(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, lambda b: b.column("kept").field(text)):
             spans, terms = [], []
             for x in batch.column("kept").field(text).to_pylist():
                 hits = base_hits(x or "")
@@ -123,7 +123,7 @@ def _documents_of(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
     """(term, documents): in how many texts each word whose flag is set occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             hashes, counts = hash_words(batch.column(text), BY_LETTER)
             mark = wanted[(hashes & np.uint64(_FLAGS - 1)).astype(np.int64)]
             row = np.repeat(np.arange(len(counts)), counts)[mark]
@@ -210,7 +210,7 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     spans = found.columns[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             new = [
                 sanitised(x, [(s["kind"], s["start"], s["end"]) for s in own]) if own else x
                 for x, own in zip(batch.column(text).to_pylist(), batch.column(spans).to_pylist())

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mdlake.llm.tables import Covered, free_name
-from mdlake.llm.words import chunks
+from mdlake.llm.words import chunks, slices
 from mdlake.session import stored
 
 KINDS = ("assign", "access", "hex")
@@ -86,7 +86,7 @@ def _scan(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         everything, random, unknown = (np.zeros(SYMBOLS**2, np.int64) for _ in range(3))
         kind = None
-        for batch in batches:
+        for batch in slices(batches, lambda b: b.column("kept").field(text)):
             spans, tokens, values = [], [], []
             texts = batch.column("kept").field(text)
             for x in texts.to_pylist():

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from mdlake.llm.tables import free_name
-from mdlake.llm.words import flat, lists
+from mdlake.llm.words import flat, lists, slices
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -134,18 +134,6 @@ def decoder(vocabulary: Vocabulary):
     return decode
 
 
-def _grouped(texts: list, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``limit`` characters."""
-    start = size = 0
-    for i, x in enumerate(texts):
-        size += len(x or "")
-        if size >= limit:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode(docs: DataFrame, keep: list[str], text: str = "text", model: str = MODEL, verify: bool = False) -> DataFrame:
     """``keep`` columns of every row, with ``ids``: array of int; with ``verify`` also ``round_trip``, whether the ids decode to the text.
 
@@ -156,14 +144,12 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", model: str = MO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, back = Encoder(vocabulary), decoder(vocabulary)
-        for batch in batches:
+        for batch in slices(batches, text):
             texts = batch.column(text).to_pylist()
-            for a, b in _grouped(texts):
-                ids = encoder.batch(texts[a:b])
-                column = lists(np.frombuffer(b"".join(ids), np.int32), np.array([len(i) // 4 for i in ids], np.int64), pa.int32())
-                part = batch.slice(a, b - a)
-                checks = [pa.array([back(np.frombuffer(i, np.int32).tolist()) == (x or "") for i, x in zip(ids, texts[a:b])])] if verify else []
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), column, *checks], [*keep, out, whole][: len(keep) + 1 + verify])
+            ids = encoder.batch(texts)
+            column = lists(np.frombuffer(b"".join(ids), np.int32), np.array([len(i) // 4 for i in ids], np.int64), pa.int32())
+            checks = [pa.array([back(np.frombuffer(i, np.int32).tolist()) == (x or "") for i, x in zip(ids, texts)])] if verify else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), column, *checks], [*keep, out, whole][: len(keep) + 1 + verify])
 
     more = [T.StructField(out, T.ArrayType(T.IntegerType())), T.StructField(whole, T.BooleanType())][: 1 + verify]
     kinds = T.StructType([*(T.StructField(docs.schema[c].name, docs.schema[c].dataType) for c in keep), *more])

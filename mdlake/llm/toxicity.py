@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mdlake.llm.tables import free_name
-from mdlake.llm.words import BY_LETTER, flat, hash_words, lists
+from mdlake.llm.words import BY_LETTER, flat, hash_words, lists, slices
 
 SLOTS = 1 << 18
 SAMPLE = 12_000  # labelled rows a model is fitted on, at most
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SA
     rows = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             row, slots, counts = _features(batch.column(text))
             per_row = np.bincount(row, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
@@ -193,7 +193,7 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame
     names = [free_name(docs, n) for n in ("severity", "grade", "p_toxic")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             row, slots, counts = _features(batch.column(text))
             weight = model.weights[slots]
             on = weight != 0

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20  # texts hashed together; a longer text is a chunk of its own
+SLICE_BYTES = 4 << 20  # texts of a batch that an operator works on at a time
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -78,7 +79,7 @@ def hash_chunk(data: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tup
     return hashes, starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of runs of texts; a null text counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -90,12 +91,22 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     row = 0
     while row < len(texts):
-        end = int(np.searchsorted(bounds, bounds[row] + CHUNK_BYTES, "right")) - 1
+        end = int(np.searchsorted(bounds, bounds[row] + limit, "right")) - 1
         end = min(max(end, row + 1), len(texts))
         yield row, end, data[bounds[row] : bounds[end]], bounds[row : end + 1] - bounds[row]
         row = end
 
 
+def slices(batches: Iterator[pa.RecordBatch], text) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of about SLICE_BYTES of text, or one longer text, so that a task's memory is bounded.
+
+    ``text`` is a column's name, or a function that takes it from a batch.
+    """
+    for batch in batches:
+        for first, last, _, _ in chunks(text(batch) if callable(text) else batch.column(text), SLICE_BYTES):
+            yield batch.slice(first, last - first)
+
+
 def hash_words(texts: pa.Array, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in order, and the number of words of each text."""
     parts, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
