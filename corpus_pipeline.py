@@ -14,30 +14,42 @@ from mdlake.llm.tables import table
 from mdlake.session import stored
 
 
+BATCH_ROWS = 1000  # rows of an Arrow batch: long texts in batches of the usual 10,000 rows fill an executor outside its heap
+
+
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose grade is above 0 with a probability below the operator's limit, all their columns kept."""
+    _bounded(spark)
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return scored.where(F.col(scored.columns[-1]) < toxicity.REJECT).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies."""
+    _bounded(spark)
     return neardup.distinct_documents(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of benchmark passages; n_chars follows the text."""
+    _bounded(spark)
     clean = decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark"))
     return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that give it away replaced; n_chars follows the text."""
+    _bounded(spark)
     return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the ids of the text, their number, and whether they decode to the text."""
+    _bounded(spark)
     ids = sentencepieces.encode(docs, ["doc_id", "lang", "source"], verify=True)
     return ids.select("doc_id", "lang", "source", "ids", F.size("ids").cast("bigint").alias("n_ids"), "round_trip")
 
