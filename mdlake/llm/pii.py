@@ -3,12 +3,14 @@
 Base kinds (email, ip, card, phone) are found by patterns. Each value found is a
 protected entity. The words around its mentions are terms; how strongly a term
 reveals an entity is its pointwise mutual information with the entity over the
-corpus' documents, as a share of the entity's own information content: 1 means
-that the term occurs in no other document than the entity's. Terms above one
-threshold are generalised to the class of word they are, above another removed.
+corpus' documents, as a share of the entity's own information content: near 1 means
+that the term occurs in no other document than the entity's. Every pair that occurs
+is judged; how often an entity's documents hold a term is drawn towards the term's
+frequency in the corpus by one further document, which tempers small counts. Terms
+above one threshold are generalised to the class of word they are, above another removed.
 
 1. One pass over the texts writes the hits and the terms around them.
-2. Pairs (entity, term) that occur together in enough documents are counted.
+2. The documents of each pair (entity, term) are counted.
 3. A second pass counts the documents of the terms of such pairs. What it looks
    for is broadcast as a table of 2**20 flags, whatever their number; words are
    compared as vectors of hashes.
@@ -40,7 +42,6 @@ _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]{3,}")
 
 WINDOW = 60  # characters on each side of a mention in which words are its terms
-LEAST_TOGETHER = 3  # documents in which a pair must occur to be judged
 GENERALISE, REMOVE = 0.6, 0.9  # shares of an entity's information content
 _FLAGS = 1 << 20
 
@@ -139,16 +140,16 @@ def _documents_of(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
 
 
 def disclosing(scanned: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """(entity, term, share): how much of an entity's information a term reveals, for pairs seen together often enough."""
+    """(entity, term, share): how much of an entity's information a term reveals, for all pairs seen together."""
     mention = scanned.where(F.size("terms") > 0).select("row", F.explode("terms").alias("t")).select("row", "t.entity", "t.term").distinct()
-    together = stored(mention.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= LEAST_TOGETHER), "pii-pairs")
+    together = stored(mention.groupBy("entity", "term").agg(F.count("*").alias("n_both")), "pii-pairs")
     entities = mention.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     slots = together.select(F.col("term").bitwiseAND(F.lit(_FLAGS - 1)).cast("int").alias("slot")).distinct().toPandas()["slot"]  # at most 2**20
     wanted = np.zeros(_FLAGS, bool)
     wanted[slots.to_numpy(np.int64)] = True
-    total = scanned.count()
-    info = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    pmi = F.log2(F.lit(float(max(total, 1))) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
+    total = F.lit(float(max(scanned.count(), 1)))
+    info, usual = F.log2(total / F.col("n_entity")), F.col("n_term") / total
+    pmi = F.log2((F.col("n_both") + usual) / (F.col("n_entity") + 1) / usual)
     return (
         together.join(entities, "entity").join(_documents_of(docs, text, wanted), "term")
         .select("entity", "term", F.when(info > 0, pmi / info).otherwise(F.lit(0.0)).alias("share"))

@@ -89,6 +89,19 @@ def test_pii_terms_that_give_an_entity_away(spark):
     assert clean[0] == texts[0] and clean[60] is None and clean[61] == ""
 
 
+@pytest.mark.parametrize("copies", [1, 2])
+def test_pii_terms_of_entities_in_few_documents(spark, copies):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"word{i}" for i in range(40)], k=30)) for _ in range(200)]
+    for i in range(copies):
+        texts[7 + i] = f"the mayor Zebulon wrote z@hall.example.com about word1 word{i}"
+    found = pii.find_pii(documents(spark, texts), ["doc_id"]).toPandas().set_index("doc_id")["pii"]
+    for i in range(copies):
+        told = {texts[7 + i][s["start"] : s["end"]] for s in found[7 + i] if s["kind"] in ("term", "class")}
+        assert told == {"the", "mayor", "Zebulon", "wrote", "about"}  # words of no other document
+    assert not any(len(x) for i, x in found.items() if not 7 <= i < 7 + copies)
+
+
 def test_sanitised_overlaps():
     assert pii.sanitised("ab cd ef", [("ip", 0, 5), ("card", 3, 8)]) == "[IP]"
     assert pii.sanitised("12 Bob x", [("class", 0, 2), ("class", 3, 6), ("class", 7, 8)]) == "[NUMBER] [NAME] [WORD]"
