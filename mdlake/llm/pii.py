@@ -9,18 +9,19 @@ is judged; how often an entity's documents hold a term is drawn towards the term
 frequency in the corpus by one further document, which tempers small counts. Terms
 above one threshold are generalised to the class of word they are, above another removed.
 
-1. One pass over the texts writes the hits and the terms around them.
-2. The documents of each pair (entity, term) are counted.
-3. A second pass counts the documents of the terms of such pairs. What it looks
-   for is broadcast as a table of 2**20 flags, whatever their number; words are
-   compared as vectors of hashes.
-4. Disclosing pairs are joined back to the mentions.
+1. One pass over the texts writes the hits, their entities and the pairs (entity, term).
+2. A second pass counts the documents of the terms. What it looks for is broadcast
+   as a table of 2**25 bits, whatever their number; words are compared as vectors of hashes.
+3. A pair's documents are those of the entity that hold the term anywhere. Those where it
+   stands far from the mentions are found in the entities' documents, again by bits.
+4. All occurrences of a disclosing pair's term in the entity's documents are marked.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mdlake.llm.tables import Covered, free_name
-from mdlake.llm.words import BY_LETTER, hash_words, slices
+from mdlake.llm.words import BY_LETTER, hash_words, mixed, slices
 from mdlake.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -41,14 +42,15 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]{3,}")
 
-WINDOW = 60  # characters on each side of a mention in which words are its terms
+WINDOW = 60  # characters on each side of a mention; words that stand there once are terms of the entity
 GENERALISE, REMOVE = 0.6, 0.9  # shares of an entity's information content
-_FLAGS = 1 << 20
+_FLAGS, _BLOCK = 1 << 25, 1 << 16  # bits of a table, and of the pieces in which it is made
+_PAIRS = 1 << 20  # pairs of a text that are looked up at a time
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-_TERM = T.StructType([T.StructField("entity", T.StringType()), T.StructField("term", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-_ARROW_TERMS = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+_TERM = T.StructType([T.StructField("entity", T.LongType()), T.StructField("term", T.LongType())])
+_ARROW_TERMS = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64())]))
 
 
 def luhn(digits: str) -> bool:
@@ -88,12 +90,17 @@ def base_hits(text: str) -> list[tuple[str, int, int]]:
     return hits
 
 
-def _entity(kind: str, value: str) -> str:
-    return f"{kind}:{value.lower() if kind == 'email' else ''.join(c for c in value if c.isdigit() or c == '.' and kind == 'ip')}"
+def _entity(kind: str, value: str) -> int:
+    plain = value.lower() if kind == "email" else "".join(c for c in value if c.isdigit() or c == "." and kind == "ip")
+    return int.from_bytes(blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _terms(text: str, hits: list[tuple[str, int, int]]) -> list[dict]:
-    """Whole words near each hit and outside all hits."""
+def _hashes(words: list[str]) -> list[int]:
+    return hash_words(pa.array(words, pa.string()), BY_LETTER)[0].view(np.int64).tolist()
+
+
+def _terms(text: str, hits: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Distinct (entity, term) of whole words near each hit and outside all hits."""
     found, covered = [], Covered([h[1:] for h in hits])
     for kind, start, end in hits:
         entity = _entity(kind, text[start:end])
@@ -102,31 +109,67 @@ def _terms(text: str, hits: list[tuple[str, int, int]]) -> list[dict]:
             a, b = m.span()
             cut = a == left and a > 0 and _WORD.match(text[a - 1] * 3) or b == right and b < len(text) and _WORD.match(text[b] * 3)
             if not cut and not covered.touches(a, b):
-                found.append((entity, m[0], a, b))
-    hashes, _ = hash_words(pa.array([w for _, w, _, _ in found], pa.string()), BY_LETTER)
-    return [{"entity": e, "term": h, "start": a, "end": b} for (e, _, a, b), h in zip(found, hashes.view(np.int64).tolist())]
+                found.append((entity, m[0]))
+    return list(dict.fromkeys(zip((e for e, _ in found), _hashes([w for _, w in found]))))
 
 
 def _scan(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, lambda b: b.column("kept").field(text)):
-            spans, terms = [], []
+            spans, entities, terms = [], [], []
             for x in batch.column("kept").field(text).to_pylist():
                 hits = base_hits(x or "")
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in hits])
+                entities.append(list(dict.fromkeys(_entity(k, x[s:e]) for k, s, e in hits)))
                 terms.append(_terms(x, hits) if hits else [])
-            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(spans, _ARROW_SPANS), pa.array(terms, _ARROW_TERMS)], ["kept", "spans", "terms"])
+            columns = [batch.column("kept"), pa.array(spans, _ARROW_SPANS), pa.array(entities, pa.list_(pa.int64())), pa.array(terms, _ARROW_TERMS)]
+            yield pa.RecordBatch.from_arrays(columns, ["kept", "spans", "entities", "terms"])
 
     return run
 
 
+def _pair(entity: np.ndarray, term: np.ndarray) -> np.ndarray:
+    return mixed(entity * np.uint64(0x9E3779B97F4A7C15) + term)
+
+
+def _flags(hashes: DataFrame) -> np.ndarray:
+    """A table of _FLAGS bits in which those of the hashes are set; two columns of hashes are taken as pairs."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns]
+            slot = np.unique((h[0] if len(h) == 1 else _pair(*h)) & np.uint64(_FLAGS - 1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((slot // _BLOCK).astype(np.int32)), pa.array((slot % _BLOCK).astype(np.int32))], ["block", "at"])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = {}
+        for batch in batches:
+            block, at = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for b in np.unique(block).tolist():
+                made.setdefault(b, np.zeros(_BLOCK, bool))[at[block == b]] = True
+        for b, marks in made.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.packbits(marks, bitorder="little").tobytes()])], ["block", "bits"])
+
+    rows = hashes.mapInArrow(slots, "block int, at int").repartition("block").mapInArrow(pieces, "block int, bits binary").toPandas()
+    flags = np.zeros((_FLAGS // _BLOCK, _BLOCK // 8), np.uint8)
+    for block, bits in zip(rows["block"], rows["bits"]):
+        flags[block] |= np.frombuffer(bits, np.uint8)
+    return flags.reshape(-1)
+
+
+def _set(flags: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set."""
+    slot = hashes & np.uint64(_FLAGS - 1)
+    return (flags[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def _documents_of(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
-    """(term, documents): in how many texts each word whose flag is set occurs."""
+    """(term, n_term): in how many texts each word whose flag is set occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             hashes, counts = hash_words(batch.column(text), BY_LETTER)
-            mark = wanted[(hashes & np.uint64(_FLAGS - 1)).astype(np.int64)]
+            mark = _set(wanted, hashes)
             row = np.repeat(np.arange(len(counts)), counts)[mark]
             seen = hashes[mark]
             order = np.lexsort((row, seen))
@@ -139,21 +182,69 @@ def _documents_of(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
     return docs.select(text).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def disclosing(scanned: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """(entity, term, share): how much of an entity's information a term reveals, for all pairs seen together."""
-    mention = scanned.where(F.size("terms") > 0).select("row", F.explode("terms").alias("t")).select("row", "t.entity", "t.term").distinct()
-    together = stored(mention.groupBy("entity", "term").agg(F.count("*").alias("n_both")), "pii-pairs")
-    entities = mention.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    slots = together.select(F.col("term").bitwiseAND(F.lit(_FLAGS - 1)).cast("int").alias("slot")).distinct().toPandas()["slot"]  # at most 2**20
-    wanted = np.zeros(_FLAGS, bool)
-    wanted[slots.to_numpy(np.int64)] = True
-    total = F.lit(float(max(scanned.count(), 1)))
+def _held(touched: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(row, entity, term) of the pairs, wherever in a text with the entity the term stands."""
+    entity_flags, term_flags, pair_flags = _flags(pairs.select("entity")), _flags(pairs.select("term")), _flags(pairs.select("entity", "term"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "body"):
+            hashes, counts = hash_words(batch.column("body"), BY_LETTER)
+            ends = np.cumsum(counts)
+            for row, own, end, n in zip(batch.column("row").to_pylist(), batch.column("entities").to_pylist(), ends.tolist(), counts.tolist()):
+                entities = np.array(own, np.int64).view(np.uint64)
+                entities = entities[_set(entity_flags, entities)]
+                if not len(entities):
+                    continue
+                words = np.unique(hashes[end - n : end])
+                words = words[_set(term_flags, words)]
+                step = max(1, _PAIRS // max(1, len(words)))
+                for k in range(0, len(entities), step):
+                    e, w = np.nonzero(_set(pair_flags, _pair(entities[k : k + step, None], words[None, :])))
+                    if len(e):
+                        columns = [np.full(len(e), row, np.int64), entities[k + e].view(np.int64), words[w].view(np.int64)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "entity", "term"])
+
+    found = touched.select("row", "entities", "body").mapInArrow(run, "row bigint, entity bigint, term bigint")
+    return found.join(pairs.select("entity", "term"), ["entity", "term"], "left_semi").select("row", "entity", "term")  # bits may be shared
+
+
+def disclosing(touched: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, share), how much of an entity's information a term reveals, for all pairs seen together,
+    and (row, entity, term) of every text that holds both; rows may repeat. ``touched`` are the texts with entities.
+    """
+    mention = touched.select("row", F.explode("terms").alias("t")).select("row", "t.entity", "t.term")
+    entities = touched.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    pairs = stored(mention.groupBy("entity", "term").agg(F.count("*").alias("n_both")).join(entities, "entity"), "pii-pairs")
+    partly = F.col("n_both") < F.col("n_entity")  # further documents may hold the term
+    held = stored(_held(touched, pairs.where(partly)), "pii-held")
+    further = held.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    counted = pairs.where(~partly).unionByName(further.join(entities, "entity"))
+    total = F.lit(float(max(docs.count(), 1)))
     info, usual = F.log2(total / F.col("n_entity")), F.col("n_term") / total
     pmi = F.log2((F.col("n_both") + usual) / (F.col("n_entity") + 1) / usual)
-    return (
-        together.join(entities, "entity").join(_documents_of(docs, text, wanted), "term")
+    shares = (
+        counted.join(_documents_of(docs, text, _flags(pairs.select("term"))), "term")
         .select("entity", "term", F.when(info > 0, pmi / info).otherwise(F.lit(0.0)).alias("share"))
     )
+    return shares, mention.unionByName(held)
+
+
+def _mark(body):
+    """Adds the spans of all words that are telling terms of their text and lie outside all hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, body):
+            spans = batch.column("spans").to_pylist()
+            for x, own, telling in zip(body(batch).to_pylist(), spans, batch.column("telling").to_pylist()):
+                if not telling:
+                    continue
+                kinds = {t["term"]: t["kind"] for t in telling}
+                covered, at = Covered([(s["start"], s["end"]) for s in own]), [m.span() for m in _WORD.finditer(x)]
+                found = [(kinds[h], a, b) for h, (a, b) in zip(_hashes([x[a:b] for a, b in at]), at) if h in kinds and not covered.touches(a, b)]
+                own += [{"kind": k, "start": a, "end": b} for kind in ("term", "class") for k, a, b in found if k == kind]
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(spans, _ARROW_SPANS)], ["kept", "spans"])
+
+    return run
 
 
 def find_pii(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -166,24 +257,26 @@ def find_pii(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     out = free_name(docs.select(*keep), "pii")
     kept = F.struct(*dict.fromkeys([*keep, text])).alias("kept")  # as one column, so that no name can clash
     rows = docs.select(kept)
-    schema = T.StructType([*rows.schema, T.StructField("spans", T.ArrayType(SPAN)), T.StructField("terms", T.ArrayType(_TERM))])
+    schema = T.StructType([*rows.schema, T.StructField("spans", T.ArrayType(SPAN)), T.StructField("entities", T.ArrayType(T.LongType())), T.StructField("terms", T.ArrayType(_TERM))])
     scan = rows.mapInArrow(_scan(text), schema).withColumn("row", F.monotonically_increasing_id())
-    if text not in keep:
-        scan = scan.withColumn("kept", F.struct(*(F.col(f"kept.`{c}`") for c in keep)))
+    if text not in keep:  # then only texts with entities are written
+        scan = scan.withColumn("body", F.when(F.size("entities") > 0, F.col(f"kept.`{text}`"))).withColumn("kept", F.struct(*(F.col(f"kept.`{c}`") for c in keep)))
     scanned = stored(scan, "pii-scan")  # written once: row numbers stay
     corpus = scanned.select(F.col(f"kept.`{text}`").alias(text)) if text in keep else docs
-    shares = disclosing(scanned, corpus, text).where(F.col("share") >= GENERALISE)
-    near = scanned.where(F.size("terms") > 0).select("row", F.explode("terms").alias("t")).select("row", "t.*")
-    kind = F.when(F.col("share") >= REMOVE, "term").otherwise("class")
-    added = (
-        near.join(shares, ["entity", "term"])
-        .groupBy("row", "start", "end").agg(F.max(kind).alias("kind"))  # removal goes first
-        .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
+    plain, touched = scanned.where(F.size("entities") == 0), scanned.where(F.size("entities") > 0)
+    body = F.col(f"kept.`{text}`") if text in keep else F.col("body")
+    shares, held = disclosing(touched.select("row", "entities", "terms", body.alias("body")), corpus, text)
+    kind = F.when(F.col("share") >= REMOVE, "term").otherwise("class").alias("kind")
+    telling = (
+        held.join(shares.where(F.col("share") >= GENERALISE).select("entity", "term", kind), ["entity", "term"])
+        .groupBy("row", "term").agg(F.max("kind").alias("kind"))  # removal goes first
+        .groupBy("row").agg(F.collect_list(F.struct("term", "kind")).alias("telling"))
     )
-    both = scanned.join(stored(added, "pii-terms"), "row", "left")
-    ordered = lambda k: F.filter("added", lambda s: s["kind"] == k)
-    more = F.coalesce(F.concat(ordered("term"), ordered("class")), F.array().cast(T.ArrayType(SPAN)))
-    return both.select("kept.*", F.concat("spans", more).alias(out))
+    both = touched.join(stored(telling, "pii-terms"), "row", "left")
+    own = (lambda b: b.column("kept").field(text)) if text in keep else (lambda b: b.column("body"))
+    columns = ["kept", "spans", "telling"] if text in keep else ["kept", "spans", "telling", "body"]
+    marked = both.select(*columns).mapInArrow(_mark(own), scanned.select("kept", "spans").schema)
+    return plain.select("kept", "spans").unionByName(marked).select("kept.*", F.col("spans").alias(out))
 
 
 _CLASS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[REMOVED]"}

@@ -102,6 +102,22 @@ def test_pii_terms_of_entities_in_few_documents(spark, copies):
     assert not any(len(x) for i, x in found.items() if not 7 <= i < 7 + copies)
 
 
+@pytest.mark.parametrize("keep", [["doc_id"], ["doc_id", "text"]])
+def test_pii_terms_far_from_their_entity(spark, keep):
+    rng = random.Random(5)
+    fill = [f"word{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(fill, k=30)) for _ in range(200)]
+    gap = " ".join(rng.choices(fill, k=30))
+    texts[3] = f"the mayor Zebulon wrote z@hall.example.com {gap} Zebulon said {gap} zebulon"
+    texts[9] = f"z@hall.example.com {gap} and Zebulon again"  # the pair stands together in another document only
+    found = pii.find_pii(documents(spark, texts), keep).toPandas().set_index("doc_id")["pii"]
+    told = lambda i: [texts[i][s["start"] : s["end"]] for s in found[i] if s["kind"] == "term"]
+    assert [w for w in told(3) if w.lower() == "zebulon"] == ["Zebulon", "Zebulon", "zebulon"]
+    assert told(9) == ["Zebulon"]
+    clean = pii.sanitise(documents(spark, texts)).toPandas().set_index("doc_id")["text"]
+    assert "zebulon" not in clean[3].lower() + clean[9].lower()
+
+
 def test_sanitised_overlaps():
     assert pii.sanitised("ab cd ef", [("ip", 0, 5), ("card", 3, 8)]) == "[IP]"
     assert pii.sanitised("12 Bob x", [("class", 0, 2), ("class", 3, 6), ("class", 7, 8)]) == "[NUMBER] [NAME] [WORD]"
