@@ -28,6 +28,8 @@ SLOTS = 1 << 18
 SAMPLE = 12_000  # labelled rows a model is fitted on, at most
 PENALTY = 0.1  # L1, over the square root of the number of labelled rows
 STEPS = 300
+COPY = 0.7  # of the union of two texts' words that they share, from which they are near copies
+_BANDS, _BAND = 32, 3  # min-hashes that propose near copies: one at COPY is missed with a chance of about 1.4 in a million
 REJECT = 0.5  # of the probability of a grade above 0, from which a document is rejected
 _TELLING = 20.0  # times more frequent in toxic texts: words whose density grades a toxic text
 
@@ -137,18 +139,19 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SA
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    rows = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
+    rows = docs.select("doc_id", text, F.xxhash64(text).alias("_digest")).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             row, slots, counts = _features(batch.column(text))
             per_row = np.bincount(row, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_toxic").cast(pa.int32()), lists(slots.astype(np.int32), per_row, pa.int32()), lists(np.minimum(counts, 65535).astype(np.int32), per_row, pa.int32())],
-                ["toxic", "slots", "counts"],
+                [batch.column("doc_id"), batch.column("_digest"), batch.column("_toxic").cast(pa.int32()), lists(slots.astype(np.int32), per_row, pa.int32()), lists(np.minimum(counts, 65535).astype(np.int32), per_row, pa.int32())],
+                ["doc_id", "digest", "toxic", "slots", "counts"],
             )
 
-    sampled = rows.mapInArrow(run, "toxic int, slots array<int>, counts array<int>").toArrow()
+    schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("digest bigint, toxic int, slots array<int>, counts array<int>")])
+    sampled = rows.mapInArrow(run, schema).toArrow().sort_by([("doc_id", "ascending"), ("digest", "ascending")])  # not the order of arrival
     toxic = sampled.column("toxic").to_numpy().astype(np.int64)
     slots, per_row = flat(sampled.column("slots"))
     slots, counts = slots.astype(np.int64), flat(sampled.column("counts"))[0].astype(np.float64)
@@ -156,8 +159,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SA
 
 
 def fit_sample(rows: np.ndarray, slots: np.ndarray, counts: np.ndarray, toxic: np.ndarray) -> OrdinalModel:
-    """Selects words with an L1 penalty and fits the chosen ones again with a twentieth of it, on one text of each family of copies."""
-    first = _one_per_family(rows, slots, len(toxic))
+    """Selects words with an L1 penalty and fits the chosen ones again with a twentieth of it, on one text of each family of near copies.
+
+    ``rows`` ascend. The first row of a family stays.
+    """
+    first = _one_per_family(rows, slots, toxic)
     number = np.cumsum(first) - 1
     keep = first[rows]
     rows, slots, counts, toxic = number[rows[keep]], slots[keep], counts[keep], toxic[first]
@@ -170,18 +176,31 @@ def fit_sample(rows: np.ndarray, slots: np.ndarray, counts: np.ndarray, toxic: n
     return model
 
 
-def _one_per_family(rows: np.ndarray, slots: np.ndarray, n: int) -> np.ndarray:
-    """Marks one row of those that share their smallest hashed rare word, as near copies mostly do.
+def _one_per_family(rows: np.ndarray, slots: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Marks the rows that are no near copies of an earlier marked row with the same label; ``rows`` ascend.
 
     Otherwise the words of a text with many copies would be learned as toxic, or not, with its label.
+    Min-hashes propose pairs, the full sets of words decide. Rows without words are all marked.
     """
-    seen = np.bincount(slots, minlength=SLOTS)
-    rare = seen[slots] <= max(2, 0.02 * n)
-    least = np.full(n, SLOTS + n, np.int64) + np.arange(n)
-    shuffled = np.random.default_rng(1).permutation(SLOTS)
-    np.minimum.at(least, rows[rare], shuffled[slots[rare]])
-    first = np.zeros(n, bool)
-    first[np.unique(least, return_index=True)[1]] = True
+    first = np.ones(len(toxic), bool)
+    own, starts = np.unique(rows, return_index=True)
+    if not len(own):
+        return first
+    ends = np.append(starts[1:], len(rows))
+    rng = np.random.default_rng(1)
+    kept = {}  # rows that are marked by band, its min-hashes and label
+    least = np.stack([np.minimum.reduceat(rng.permutation(SLOTS).astype(np.int32)[slots], starts) for _ in range(_BANDS * _BAND)], 1)
+    for at, row in enumerate(own.tolist()):
+        keys = [(band, least[at, band * _BAND : (band + 1) * _BAND].tobytes(), int(toxic[row] > 0)) for band in range(_BANDS)]
+        words = slots[starts[at] : ends[at]]
+        for other in {o for key in keys for o in kept.get(key, ())}:
+            both = len(np.intersect1d(words, slots[starts[other] : ends[other]], assume_unique=True))
+            if both >= COPY * (len(words) + ends[other] - starts[other] - both):
+                first[row] = False
+                break
+        else:
+            for key in keys:
+                kept.setdefault(key, []).append(at)
     return first
 
 

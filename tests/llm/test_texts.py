@@ -123,6 +123,22 @@ def test_sanitised_overlaps():
     assert pii.sanitised("12 Bob x", [("class", 0, 2), ("class", 3, 6), ("class", 7, 8)]) == "[NUMBER] [NAME] [WORD]"
 
 
+def test_toxicity_learns_from_all_but_near_copies():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    sets = [np.sort(rng.choice(np.arange(1000, 60_000), 40, replace=False)) for _ in range(100)]
+    for own in sets[:50]:
+        own[0] = 7  # a word that many texts share makes no copies of them
+    toxic = np.zeros(104, np.int64)
+    toxic[[20, 103]] = 1
+    sets += [sets[3], sets[4].copy(), np.zeros(0, np.int64), sets[5]]
+    sets[101][-2:] = [100_000, 100_001]
+    rows = np.repeat(np.arange(104), [len(x) for x in sets])
+    first = toxicity._one_per_family(rows, np.concatenate(sets), toxic)
+    assert np.flatnonzero(~first).tolist() == [100, 101]  # copies; not a copy with another label
+
+
 def plain_secrets(text):
     found = []
     keyword = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
