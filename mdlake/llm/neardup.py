@@ -32,8 +32,8 @@ NEEDED = 75  # percent of the union that the intersection must reach
 REGISTERS, BAND = 128, 4
 BASE, RATE = 1.001, 20.0
 SLICE = 2048  # documents of a bucket that one task compares
-#: estimates below this are no candidates: 4.5 standard errors under the needed similarity
-LIKELY = NEEDED / 100 - 4.5 * (0.75 * 0.25 / REGISTERS) ** 0.5
+#: estimates below this are no candidates: 6 standard errors under the needed similarity
+LIKELY = NEEDED / 100 - 6 * (0.75 * 0.25 / REGISTERS) ** 0.5
 _FLAG_BITS = 22
 
 _FACTORS = (mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)

@@ -99,6 +99,18 @@ def test_sketch_estimates():
         assert (merged == np.maximum(pair[0], pair[1])).all()
 
 
+def test_estimates_lose_far_fewer_pairs_than_bands():
+    from math import comb
+
+    n, sizes = neardup.REGISTERS, np.array([1000.0])
+    same = np.arange(n + 1)
+    likely = [neardup._likeliest(np.array([(n - s) / 2]), np.array([(n - s) / 2]), np.array([s]), sizes, sizes)[0] >= neardup.LIKELY for s in same]
+    lost = sum(comb(n, int(s)) * 0.75**s * 0.25 ** (n - s) for s, kept in zip(same, likely) if not kept)
+    by_bands = (1 - 0.75**neardup.BAND) ** (n // neardup.BAND)
+    print("lost by the estimate", lost, "by bands", by_bands)
+    assert lost < by_bands / 20
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 130)] + [(1, i) for i in range(2, 60)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(30)] + [(7, 7)]
