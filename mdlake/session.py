@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -47,14 +48,30 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+@contextlib.contextmanager
+def session_setting(spark: SparkSession, name: str, value: str):
+    """The setting ``name`` has ``value`` inside, and what it had before afterwards."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
     Readers of the result scan narrow columns of a Parquet table instead of
     parsing the corpus again, and a lost executor costs a re-read, not a re-run.
+    Shuffle files of the write go as soon as it has ended, not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/mdlake/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
+    with session_setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        writer = df.write
+        (writer.partitionBy(partition) if partition else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
