@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdlake.llm import decontaminate, knn, lm, neardup, pii, secrets, sentencepieces, toxicity, urls, warc
+from mdlake.llm import decontaminate, knn, lm, neardup, pii, secrets, sentencepieces, substrings, toxicity, urls, warc
 from mdlake.llm.tables import table
 
 
@@ -58,6 +58,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents"), ["doc_id"]))
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm": op8_lm,
     "op9_neardup": op9_neardup,
     "op10_secrets": op10_secrets,
+    "op11_substrings": op11_substrings,
 }
 
 ORACLE: dict[str, str] = {
@@ -82,4 +88,21 @@ ORACLE: dict[str, str] = {
         ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op11_substrings": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, unnest(range(0, len(w) - 19)) AS pos, w FROM d WHERE len(w) >= 20
+        ), k AS (
+            SELECT doc_id, pos, sha256(array_to_string(w[pos + 1 : pos + 20], ' ')) AS k FROM s
+        ), later AS (
+            SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS n FROM k) WHERE n > 1
+        ), gone AS (
+            SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(pos, pos + 20)) AS p FROM later) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+            sha256(array_to_string(CASE WHEN gone IS NULL THEN w
+                ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i - 1)), lambda i: w[i]) END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN gone USING (doc_id)
+    """,
 }

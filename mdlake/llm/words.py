@@ -26,16 +26,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _values(separators: bytes) -> np.ndarray:
-    """A random odd value for each byte after lower-casing; 0 for a separator."""
+def _values(separators: bytes, lower: bool = True) -> np.ndarray:
+    """A random odd value for each byte, after lower-casing if so wished; 0 for a separator."""
     values = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    values[65:91] = values[97:123]
+    if lower:
+        values[65:91] = values[97:123]
     values[list(separators)] = 0
     return values
 
 
 #: words are runs of anything but space and the five control characters of white space
 BY_SPACE = _values(b"\t\n\x0b\x0c\r ")
+#: the same, with A-Z as they are
+BY_SPACE_CASED = _values(b"\t\n\x0b\x0c\r ", lower=False)
 #: words are runs of ASCII letters, digits and all characters beyond ASCII
 BY_LETTER = _values(bytes(c for c in range(128) if not chr(c).isalnum()))
 
@@ -117,6 +120,13 @@ def hash_words(texts: pa.Array, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(parts), np.concatenate(counts)
 
 
+def hash_runs(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One value for each run [start, end) of words, given the hashes of all words: equal runs have equal ones wherever they stand."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * _power("up", len(hashes)), out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * _power("down", len(hashes) + 1)[starts])
+
+
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """An Arrow column of lists from all values in order and the length of each list."""
     bounds = np.zeros(len(counts) + 1, np.int32)
