@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdlake.llm import decontaminate, knn, lm, neardup, pii, secrets, sentencepieces, substrings, toxicity, urls, warc
+from mdlake.llm import decontaminate, knn, lm, merkle, neardup, pii, secrets, sentencepieces, spelling, substrings, toxicity, urls, warc
 from mdlake.llm.tables import table
 
 
@@ -63,6 +63,14 @@ def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(merkle.tampered(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
@@ -75,8 +83,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_neardup": op9_neardup,
     "op10_secrets": op10_secrets,
     "op11_substrings": op11_substrings,
+    "op12_spelling": op12_spelling,
+    "op13_manifest": op13_manifest,
 }
 
+
+
+def _crc32(codes: str) -> str:
+    """SQL for the unsigned CRC-32 of a list of byte values, taken bit by bit."""
+    bits = f"flatten(list_transform({codes}, lambda b: list_transform(range(0, 8), lambda k: (b >> k) & 1)))"
+    step = "lambda c, b: xor(c >> 1, CASE WHEN (c & 1) <> b THEN 3988292384 ELSE 0 END)"
+    return f"xor(list_reduce(list_prepend(4294967295, {bits}), {step}), 4294967295)"
+
+
+_UTF8 = "flatten(list_transform(string_split({}, ''), lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [195, CAST(ord(c) - 64 AS BIGINT)] END))"
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE: dict[str, str] = {
     "op5_topk": """
         WITH v AS (
@@ -105,4 +128,59 @@ ORACLE: dict[str, str] = {
                 ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i - 1)), lambda i: w[i]) END, ' ')) AS kept_sha256
         FROM d LEFT JOIN gone USING (doc_id)
     """,
+    "op12_spelling": f"""
+        WITH RECURSIVE t AS (
+            SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS id, {_LOWER.format("unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+'))")} AS run FROM documents
+        ), c AS (SELECT id, run, count(*) AS n FROM t WHERE length(run) >= 5 GROUP BY ALL),
+        h AS (SELECT run, n, {_crc32(_UTF8.format("id || run"))} AS h FROM c),
+        r AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+        v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM r WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        less AS (SELECT word, n, k, substr(word, 1, k) || substr(word, k + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS k FROM v)),
+        near AS (
+            SELECT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+            UNION SELECT less.word, v.word, v.n FROM less JOIN v ON less.rest = v.word
+            UNION SELECT v.word, less.word, less.n FROM less JOIN v ON less.rest = v.word
+        ), best AS (SELECT word, count(*) AS n_near, max(n) AS most FROM near GROUP BY word),
+        one AS (SELECT b.word, b.n_near, b.most, min(near.near) AS near FROM best b JOIN near ON near.word = b.word AND near.n = b.most GROUP BY ALL),
+        f AS (
+            SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * v.n THEN near END AS form, CASE WHEN most >= 2 * v.n THEN most END AS form_n
+            FROM v LEFT JOIN one USING (word)
+        ), up AS (SELECT word, word AS root, 0 AS far FROM f UNION ALL SELECT up.word, f.form, far + 1 FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL)
+        SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(root, far) AS root FROM up GROUP BY word) USING (word)
+    """,
+    "op13_manifest": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce('=' || source, '') AS tree, {_LEAF.format("text")} AS leaf,
+                CASE WHEN {_crc32(_UTF8.format("CAST(doc_id AS VARCHAR)"))} % 5 = 0 THEN {_LEAF.format(_LOWER.format("text"))} ELSE {_LEAF.format("text")} END AS changed FROM documents
+        ), l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+        t AS (
+            SELECT tree, 0 AS level, list(leaf ORDER BY i) AS nodes FROM l GROUP BY tree
+            UNION ALL
+            SELECT tree, level + 1, list_transform(range(0, len(nodes), 16), lambda k: sha256(array_to_string(nodes[k + 1 : k + 16], ''))) FROM t WHERE len(nodes) > 1
+        ), s AS (SELECT tree, nodes[1] AS digest, row_number() OVER (ORDER BY tree) - 1 AS i FROM t WHERE len(nodes) = 1),
+        u AS (
+            SELECT 0 AS level, list(digest ORDER BY i) AS nodes FROM s
+            UNION ALL
+            SELECT level + 1, list_transform(range(0, len(nodes), 16), lambda k: sha256(array_to_string(nodes[k + 1 : k + 16], ''))) FROM u WHERE len(nodes) > 1
+        ), runs AS (
+            SELECT tree, level, unnest(range(0, len(nodes), 16)) // 16 AS run, nodes FROM t WHERE len(nodes) > 1
+        ), cut AS (SELECT tree, level, run, nodes[run * 16 + 1 : run * 16 + 16] AS ds FROM runs),
+        low AS (
+            SELECT l.tree, l.i, list({{'l': array_to_string(ds[1 : (l.i >> (4 * level)) & 15], ''), 'r': array_to_string(ds[((l.i >> (4 * level)) & 15) + 2 :], '')}} ORDER BY level) AS steps
+            FROM l JOIN cut ON cut.tree = l.tree AND cut.run = l.i >> (4 * level + 4) GROUP BY ALL
+        ), high AS (
+            SELECT s.tree, list({{'l': array_to_string(nodes[(s.i >> (4 * level + 4)) * 16 + 1 : s.i >> (4 * level)], ''),
+                'r': array_to_string(nodes[(s.i >> (4 * level)) + 2 : (s.i >> (4 * level + 4)) * 16 + 16], '')}} ORDER BY level) AS steps
+            FROM s JOIN u ON len(nodes) > 1 GROUP BY s.tree
+        ), p AS (
+            SELECT doc_id, leaf, changed, s.digest AS subroot, list_concat(coalesce(low.steps, []), coalesce(high.steps, [])) AS steps
+            FROM l JOIN s USING (tree) LEFT JOIN low ON low.tree = l.tree AND low.i = l.i LEFT JOIN high ON high.tree = l.tree
+        ), f AS (
+            SELECT doc_id, leaf, subroot, (SELECT nodes[1] FROM u WHERE len(nodes) = 1) AS root,
+                sha256(array_to_string(list_transform(steps, lambda x: x.l || x.r), '')) AS proof_sha256,
+                list_reduce(list_prepend({{'l': changed, 'r': ''}}, steps), lambda a, x: {{'l': sha256(x.l || a.l || x.r), 'r': ''}}).l AS folded_root
+            FROM p
+        )
+        SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f
+    """,
 }
