@@ -12,21 +12,26 @@ its letters. Only the number of near words and the most frequent one leave a tas
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mdlake.llm.words import slices
 from mdlake.session import stored
 
 LEAST_LETTERS, LEAST_TIMES = 5, 3
-CELL = 4096  # words of a cell or block, fewer if they are long
+CELL = 16_384  # words of a cell or block, fewer if they are long
 CELL_LETTERS = 1 << 22
-LEAF = 32
+LEAF = 64
 LETTERS = 26 + 64  # a to z, and U+00C0 to U+00FF
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+HELD = 200_000  # words that a task adds up before it sends them
+_RUNS = re.compile(f"[a-zÀ-ÿ]{{{LEAST_LETTERS},}}")
 _TIMES = 3  # planes lie above a count of 0, 1 or 2
 
 
@@ -34,14 +39,27 @@ def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n): the runs of letters, with A-Z in lower case, that have enough letters and occur often enough.
 
     A run whose checksum together with its document's id is a multiple of 97 loses one letter. A null id counts as an empty one.
+    Tasks add up before they send.
     """
-    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode_outer(F.regexp_extract_all(text, F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0))).alias("run"))
-    runs = runs.where(F.length("run") >= LEAST_LETTERS).select("id", F.translate("run", _UPPER, _LOWER).alias("run"))
-    runs = runs.withColumn("h", F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")))
-    at = (F.col("h") % F.length("run")).cast("int")
-    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
-    words = runs.select(F.when(F.col("h") % 97 == 0, cut).otherwise(F.col("run")).alias("word"))
-    return words.where(F.length("word") >= LEAST_LETTERS).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TIMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in slices(batches, "text"):
+            for id_, value in zip(batch.column("id").to_pylist(), batch.column("text")):
+                start = crc32(f"{id_}:".encode())
+                for word, n in Counter(_RUNS.findall((value.as_py() or "").encode().lower().decode())).items():  # bytes: A-Z only
+                    h = crc32(word.encode(), start)
+                    if h % 97 == 0:
+                        at = h % len(word)
+                        word = word[:at] + word[at + 1 :]
+                    seen[word] += n
+                if len(seen) > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+                    seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+    words = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col(text).alias("text")).mapInArrow(run, "word string, n bigint")
+    return words.where(F.length("word") >= LEAST_LETTERS).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TIMES)
 
 
 def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,29 +157,47 @@ def _rows(words: DataFrame, trees: dict[int, list[tuple[int, int]]]) -> DataFram
 
 
 def close(data: np.ndarray, asking: np.ndarray, more: int) -> tuple[np.ndarray, np.ndarray]:
-    """(data, asking) pairs of rows where the data have one count that is higher by one and, if not ``more``, one that is lower by one."""
+    """(data, asking) pairs of rows where the data have one count that is higher by one and, if not ``more``, one that is lower by one.
+
+    Sums of rows are taken to differ by ``more`` for all pairs, so the squared distance tells. Planes halve the data
+    down to LEAF rows; a row asks a half while the counts it lacks, and those it has too many of, do not exceed what one edit changes.
+    """
+    used = data.any(0) | asking.any(0)
+    data, asking = np.ascontiguousarray(data[:, used]), np.ascontiguousarray(asking[:, used])
+    of_data, of_asking = (np.einsum("ij,ij->i", x, x) for x in (data, asking))
+    kind = np.float32 if max(of_data.max(initial=0), of_asking.max(initial=0)) < 1 << 20 else np.float64  # exact
+    exact_data, exact_asking = data.astype(kind), asking.astype(kind)
+    by_letter = np.ascontiguousarray(asking.T).astype(np.int32)
+    none = np.zeros(len(asking), np.int32)
+    bounds = np.zeros(data.shape[1], np.int32)
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    todo = [(np.arange(len(data)), np.arange(len(asking)))]
+    todo = [(np.arange(len(data)), np.arange(len(asking)), none, none, bounds, bounds + np.int32(1 << 30))]
     while todo:
-        own, ask = todo.pop()
-        inside = data[own]
-        low, high = inside.min(0), inside.max(0)
-        q = asking[ask]
-        ask = ask[(np.maximum(low - q, 0).sum(1) <= 1) & (np.maximum(q - high, 0).sum(1) <= 1 - more)]
+        own, ask, lacks, extra, low, high = todo.pop()
         if not len(ask):
             continue
-        if len(own) <= LEAF or (low == high).all():
-            step = max(1, (1 << 22) // (LETTERS * len(own)))
+        inside = data[own]
+        spread = inside.var(0) if len(own) > LEAF else None
+        if spread is None or not spread.any():
+            step = max(1, (1 << 22) // len(own))
             for k in range(0, len(ask), step):
                 part = ask[k : k + step]
-                apart = np.abs(inside[None] - asking[part][:, None]).sum(2) == 2 - more
-                a, d = np.nonzero(apart)
+                apart = of_asking[part][:, None] + of_data[own] - 2 * (exact_asking[part] @ exact_data[own].T)
+                a, d = np.nonzero(apart == 2 - more)
                 found.append((own[d], part[a]))
             continue
-        axis = int(np.argmax(inside.var(0)))
-        middle = np.sort(inside[:, axis])[(len(own) - 1) // 2]
-        left = inside[:, axis] <= min(middle, high[axis] - 1)
-        todo += [(own[left], ask), (own[~left], ask)]
+        axis = int(np.argmax(spread))
+        values = inside[:, axis]
+        middle = min(int(np.partition(values, (len(own) - 1) // 2)[(len(own) - 1) // 2]), int(values.max()) - 1)
+        c = by_letter[axis][ask]
+        too_many = extra + np.maximum(c - middle, 0) - np.maximum(c - high[axis], 0)
+        too_few = lacks + np.maximum(middle + 1 - c, 0) - np.maximum(low[axis] - c, 0)
+        for half, reach, few, many, edge, at in (
+            (own[values <= middle], too_many <= 1 - more, lacks, too_many, (low, high.copy()), (1, middle)),
+            (own[values > middle], too_few <= 1, too_few, extra, (low.copy(), high), (0, middle + 1)),
+        ):
+            edge[at[0]][axis] = at[1]
+            todo.append((half, ask[reach], few[reach], many[reach], *edge))
     return np.concatenate([d for d, _ in found]), np.concatenate([a for _, a in found])
 
 
