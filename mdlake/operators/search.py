@@ -1,14 +1,18 @@
 """Full-text search over the four page fields, scored by BM25+ per field.
 
-An index is a postings table and a vocabulary. Query terms are matched against
-the vocabulary, never against postings; the postings of matching terms are then
-scored and summed per document.
+An index has four tables. Postings lie in blocks, one per term, field and part of the documents, with the largest contribution of
+any of them; parts are of about PART documents, by a hash. The vocabulary has a term's document count per field, and neighbours are keys
+that a term shares with all terms that few edits away.
+
+A query's words are matched against the vocabulary and the neighbours, never against postings. All matching documents are scored by
+:func:`search`. :func:`best` returns the best ones only: a part's bound is the weighted sum of its blocks' largest contributions;
+parts with the highest bounds are scored first, and then those whose bound reaches the lowest score that is found.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
-from functools import reduce
+from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +27,11 @@ TITLE_BOOST = 2.0
 PREFIX_WEIGHT, FUZZY_WEIGHT = 0.375, 0.45
 FUZZY_SHARE = 0.2
 TOP = 30
-BUCKETS = 64  # postings are laid out by a hash of their term, and by term within
+PART = 128  # documents of a part, on average
+GROUP = 1 << 20  # documents that one task of the build takes for the terms of a bucket
+BUCKET = 50_000  # postings of a bucket within such a group, or keys of a bucket of neighbours, on average
+LISTED = 1000  # terms or parts that are named in a scan's filter; more of them meet the table in a join
+EDITS = 2  # up to so many edits are found by deletions, more by pieces
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
@@ -46,11 +54,11 @@ def tokens(search_docs: DataFrame) -> DataFrame:
     return field_terms(search_docs).select("doc", "field", F.posexplode("terms").alias("pos", "term"))
 
 
-def inverted_index(search_docs: DataFrame) -> DataFrame:
-    """(term, field, doc, tf, field_len) without a shuffle.
+def counted_terms(search_docs: DataFrame) -> DataFrame:
+    """(doc, field, field_len, found): the terms of a field with their counts, without a shuffle.
 
-    All occurrences of a term in a field stand in one row, so they are counted
-    there: the terms are sorted, and every run of equal terms is a posting.
+    All occurrences of a term in a field stand in one row, so they are counted there: the terms are sorted, and every run of equal
+    terms is one.
     """
     rows = once(field_terms(search_docs), run=F.sort_array("terms"))
     here = F.sequence(F.lit(0), F.size("run") - 1)
@@ -60,55 +68,139 @@ def inverted_index(search_docs: DataFrame) -> DataFrame:
     found = F.zip_with(
         "start", ends, lambda a, b: F.struct(F.get("run", a).alias("term"), (b - a).alias("tf"))
     )
-    postings = once(rows, found=found).select("doc", "field", F.size("run").alias("field_len"), F.explode("found").alias("p"))
-    return postings.select("p.term", "field", "doc", "p.tf", "field_len")
+    return once(rows, found=found).select("doc", "field", F.size("run").alias("field_len"), "found")
 
 
-def bucket() -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+def _postings(counted: DataFrame) -> DataFrame:
+    return counted.select("doc", "field", "field_len", F.explode("found").alias("p")).select("p.term", "field", "doc", "p.tf", "field_len")
 
 
-def by_bucket(postings: DataFrame) -> DataFrame:
-    """Postings with their bucket, so ordered that a file holds a range of terms and a frequent term has several files."""
-    return postings.withColumn("bucket", bucket()).repartitionByRange("bucket", "term", "doc").sortWithinPartitions("bucket", "term")
+def inverted_index(search_docs: DataFrame) -> DataFrame:
+    """(term, field, doc, tf, field_len)."""
+    return _postings(counted_terms(search_docs))
 
 
 @dataclass
 class Index:
-    """Postings, (term, field, df) and (field, docs, avg_len) with one row per field."""
+    """The tables of an index, and per field the number of documents and their mean length."""
+
+    blocks: DataFrame  # (term, field, part, n, most, entries, bucket)
+    vocabulary: DataFrame  # (term, field, df)
+    neighbours: DataFrame  # (key, term, fields, bucket)
+    fields: DataFrame  # (field, docs, avg_len, buckets, key_buckets)
+
+    def __post_init__(self):
+        rows = self.fields.collect()  # one row per field
+        self.stats = {r.field: (r.docs, r.avg_len) for r in rows}
+        self.buckets, self.key_buckets = (rows[0].buckets, rows[0].key_buckets) if rows else (1, 1)
+
+
+def _of_field(stats: dict[str, tuple[int, float]], place: int) -> Column:
+    """One of a field's numbers."""
+    return F.coalesce(*(F.when(F.col("field") == f, F.lit(float(v[place]))) for f, v in stats.items()), F.lit(None).cast("double"))
+
+
+def _contribution(stats: dict[str, tuple[int, float]]) -> Column:
+    """What a posting adds to the score, before weights."""
+    tf, length = F.col("tf"), F.col("field_len") / _of_field(stats, 1)
+    return DELTA + tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
+
+
+def _bucket(of: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(of), F.lit(buckets)).cast("int")
+
+
+def _blocks(counted: DataFrame, stats: dict[str, tuple[int, float]], docs: int, buckets: int) -> DataFrame:
+    """Postings by bucket and group of documents, so that a frequent term is many tasks, and by term within."""
+    parts = max(1, ceil(docs / PART))
+    rows = _postings(counted).withColumn("contribution", _contribution(stats))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(parts))).withColumn("bucket", _bucket(F.col("term"), buckets))
+    rows = rows.withColumn("group", F.floor(F.col("part") / F.lit(max(1, GROUP // PART)))).repartition("bucket", "group")
+    blocks = rows.groupBy("bucket", "group", "term", "field", "part").agg(
+        F.count("*").alias("n"), F.max("contribution").alias("most"), F.collect_list(F.struct("doc", "tf", "field_len")).alias("entries")
+    )
+    return blocks.drop("group").sortWithinPartitions("bucket", "term", "field", "part")
+
+
+def _without(word: Column, at: Column) -> Column:
+    return F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.length(word)))
 
-    postings: DataFrame
-    vocabulary: DataFrame
-    fields: DataFrame
 
+def _deletions(words: Column) -> Column:
+    """What is left of words without one letter, for an array of words."""
+    return F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(0), F.length(w) - 1), lambda i: _without(w, i))))
 
-def vocabulary(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term", "field").agg(F.count("*").alias("df"))
 
+def _shortest(edits: int) -> int:
+    """The length of the shortest word for which that many edits are allowed."""
+    return next(n for n in range(1000) if _reach(n) >= edits)
 
-def field_stats(postings: DataFrame, search_docs: DataFrame) -> DataFrame:
-    """Documents and mean length per field; the lengths add up to the term counts."""
-    docs = search_docs.agg(F.count("*")).scalar()
-    total = postings.groupBy("field").agg(F.sum("tf").alias("n"))
-    return total.select("field", docs.alias("docs"), (F.col("n") / docs.cast("double")).alias("avg_len"))
+
+def _reach(n: int) -> int:
+    """How many edits are allowed for a word of ``n`` letters."""
+    return int(FUZZY_SHARE * n + 0.5)
+
+
+def neighbours(vocabulary: DataFrame) -> DataFrame:
+    """(key, term, fields): keys that a term shares with every word that it is a fuzzy match of; ``fields`` are its (field, df).
+
+    Words at most EDITS edits apart have a common rest after as many deletions from each. With more edits r, which longer words are
+    allowed, one of r + 1 pieces of the word stands unchanged in the term, at most r letters from its place: keys are all
+    three letters of a term with their place.
+    """
+    terms = vocabulary.groupBy("term").agg(F.collect_list(F.struct("field", "df")).alias("fields"))
+    n, itself = F.length("term"), F.array("term")
+    one = F.array_distinct(_deletions(itself))
+    least = [_shortest(r) - r for r in range(EDITS + 2)]  # a term may be so short and be within r edits of a word
+    last = _shortest(EDITS + 1) - 1 + EDITS  # and so long
+    short = F.when(n < least[1], F.array().cast("array<string>")).when(n < least[2], F.concat(itself, one)).when(n <= last, F.concat(itself, one, _deletions(one)))
+    places = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.concat(F.lit("\n"), i.cast("string"), F.lit("\n"), F.substring("term", i + 1, F.lit(3))))
+    long = F.when(n >= least[EDITS + 1], places)
+    none = F.array().cast("array<string>")
+    keys = F.array_distinct(F.transform(F.concat(F.coalesce(short, none), F.coalesce(long, none)), lambda k: F.xxhash64(k)))
+    return once(terms, keys=keys).select(F.explode("keys").alias("key"), "term", "fields")
+
+
+def _keys(word: str) -> list[str]:
+    """The keys that a query word shares with its fuzzy matches."""
+    r = _reach(len(word))
+    if r > EDITS:
+        cuts = [len(word) * k // (r + 1) for k in range(r + 1)]
+        return list(dict.fromkeys(f"\n{at}\n{word[c : c + 3]}" for c in cuts for at in range(max(0, c - r), c + r + 1)))
+    rests = {word}
+    for _ in range(r):
+        rests |= {w[:i] + w[i + 1 :] for w in rests for i in range(len(w))}
+    return sorted(rests)
 
 
 def build_index(search_docs: DataFrame) -> Index:
     """Write the index tables to the shared folder; the texts are read once."""
-    postings = stored(by_bucket(inverted_index(search_docs)), "postings", "bucket")
-    return Index(
-        postings, stored(vocabulary(postings), "vocabulary"), stored(field_stats(postings, search_docs), "fields")
-    )
+    counted = stored(counted_terms(search_docs), "counted-terms")
+    totals = counted.groupBy("field").agg(F.sum("field_len").alias("length"), F.sum(F.size("found")).alias("postings")).collect()  # one row per field
+    docs, postings = search_docs.count(), sum(r.postings for r in totals)
+    stats = {r.field: (docs, r.length / docs) for r in totals}
+    buckets = max(1, ceil(postings / BUCKET / max(1, ceil(docs / GROUP))))
+    blocks = stored(_blocks(counted, stats, docs, buckets), "postings", "bucket")
+    vocabulary = stored(blocks.groupBy("term", "field").agg(F.sum("n").alias("df")).repartitionByRange("term").sortWithinPartitions("term"), "vocabulary")
+    near = neighbours(vocabulary)
+    terms = vocabulary.count()
+    key_buckets = max(1, ceil(40 * terms / (20 * BUCKET)))  # about 40 keys a term
+    near = near.withColumn("bucket", F.pmod("key", F.lit(key_buckets)).cast("int")).repartition("bucket").sortWithinPartitions("bucket", "key")
+    near = stored(near, "neighbours", "bucket")
+    schema = "field string, docs bigint, avg_len double, buckets int, key_buckets int"
+    fields = search_docs.sparkSession.createDataFrame([(f, n, mean, buckets, key_buckets) for f, (n, mean) in stats.items()], schema)
+    return Index(blocks, vocabulary, near, stored(fields, "fields"))
 
 
 def save_index(index: Index, path: str) -> None:
-    by_bucket(index.postings).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    for name, table, order in (("blocks", index.blocks, ("term", "field", "part")), ("neighbours", index.neighbours, ("key",))):
+        table.sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
     index.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
     index.fields.write.mode("overwrite").parquet(f"{path}/fields")
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
-    return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "vocabulary", "fields")])
+    return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("blocks", "vocabulary", "neighbours", "fields")])
 
 
 def query_terms(query: str) -> list[str]:
@@ -117,8 +209,12 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(words))
 
 
-def expand(vocab: DataFrame, query: str, prefix: bool = False, fuzzy: bool = False) -> DataFrame:
-    """(term, field, df, weight): vocabulary terms that match, best weight per query term."""
+def expand(index: Index, query: str, prefix: bool = False, fuzzy: bool = False) -> DataFrame:
+    """(term, field, df, weight): vocabulary terms that match, best weight per query term.
+
+    Exact and prefix matches are a range of the sorted vocabulary. Fuzzy ones come from the keys they share with a query word; only
+    for terms with a common key is an edit distance computed.
+    """
     term, n = F.col("term"), F.length("term")
 
     def weight(word: str) -> Column:
@@ -127,7 +223,7 @@ def expand(vocab: DataFrame, query: str, prefix: bool = False, fuzzy: bool = Fal
         if prefix:
             far = (n - len(word)).cast("double")
             found.append(F.when(F.startswith(term, F.lit(word)), PREFIX_WEIGHT * n / (n + 0.3 * far)))
-        reach = int(FUZZY_SHARE * len(word) + 0.5)
+        reach = _reach(len(word))
         if fuzzy and reach:
             # the distance is only computed in the band of lengths it can be met in
             far = F.when(F.abs(n - len(word)) <= reach, F.levenshtein(term, F.lit(word), reach))
@@ -137,43 +233,53 @@ def expand(vocab: DataFrame, query: str, prefix: bool = False, fuzzy: bool = Fal
 
     words = query_terms(query)
     if not words:
-        return vocab.where("false").withColumn("weight", F.lit(0.0))
+        return index.vocabulary.where("false").withColumn("weight", F.lit(0.0))
+    plain = term.isin(*words)
+    for word in words if prefix else ():
+        plain = plain | F.startswith(term, F.lit(word))
+    matched = index.vocabulary.where(plain)
+    keys = [k for word in words if fuzzy and _reach(len(word)) for k in _keys(word)]
+    if keys:
+        hashes = [F.xxhash64(F.lit(k)) for k in dict.fromkeys(keys)]
+        near = index.neighbours.where(F.col("bucket").isin(*(F.pmod(h, F.lit(index.key_buckets)).cast("int") for h in hashes)) & F.col("key").isin(*hashes))
+        near = near.where(~plain).select("term", "fields").groupBy("term").agg(F.any_value("fields").alias("fields"))
+        matched = matched.union(near.select("term", F.inline("fields")))
     weights = F.array_compact(F.array(*[weight(w) for w in words]))
-    matched = vocab.where(reduce(lambda a, b: a | b, [weight(w).isNotNull() for w in words]))
-    return matched.withColumn("weight", F.aggregate(weights, F.lit(0.0), lambda a, w: a + w))
+    return matched.withColumn("weight", F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)).where("weight > 0")
 
 
-def _weighted_postings(index: Index, weighted: DataFrame) -> DataFrame:
-    """Postings of the weighted terms; only their buckets are read, and frequent terms are split at run time."""
-    if "bucket" not in index.postings.columns:
-        return index.postings.join(weighted, ["term", "field"])
-    return index.postings.join(weighted.withColumn("bucket", bucket()), ["bucket", "term", "field"])
+def _lists(index: Index, expansion: DataFrame) -> DataFrame:
+    """The blocks of the expanded terms with the terms' weights ``w``.
 
-
-def score(index: Index, expansion: DataFrame) -> DataFrame:
-    """(doc, score) of all documents that hold an expanded term."""
+    Up to LISTED terms are named in the scan, which then reads their buckets and row groups only. More of them are joined.
+    """
     boost = F.when(F.col("field") == "title", TITLE_BOOST).otherwise(1.0)
-    idf = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # one row per field, hence four rows
-    weighted = expansion.join(F.broadcast(index.fields), "field").select(
-        "term", "field", "df", "avg_len", (F.col("weight") * boost * idf).alias("w")
-    )
-    hits = _weighted_postings(index, weighted.where("w > 0"))
-    tf, length = F.col("tf"), F.col("field_len") / F.col("avg_len")
-    part = F.col("w") * (DELTA + tf * (K1 + 1) / (tf + K1 * (1 - B + B * length)))
-    return hits.groupBy("doc").agg(F.sum(part).alias("score"))
+    docs = _of_field(index.stats, 0)
+    idf = F.ln(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    spark = expansion.sparkSession
+    few = expansion.limit(LISTED + 1).collect()
+    if not few:
+        return index.blocks.where("false").withColumn("w", F.lit(0.0))
+    if len(few) <= LISTED:
+        expansion = spark.createDataFrame(few, expansion.schema)
+    weighted = expansion.select("term", "field", (F.col("weight") * boost * idf).alias("w")).where("w > 0")
+    if len(few) > LISTED:
+        weighted = stored(weighted.withColumn("bucket", _bucket(F.col("term"), index.buckets)), "expansion")
+        return index.blocks.join(weighted, ["bucket", "term", "field"])
+    terms = sorted({r.term for r in few})
+    own = index.blocks.where(F.col("bucket").isin(*(_bucket(F.lit(t), index.buckets) for t in terms)) & F.col("term").isin(*terms))
+    return own.join(F.broadcast(weighted), ["term", "field"])  # at most LISTED rows
+
+
+def _scored(index: Index, lists: DataFrame) -> DataFrame:
+    """(doc, score) of the documents in blocks."""
+    hits = lists.select("field", "w", F.inline("entries"))
+    return hits.groupBy("doc").agg(F.sum(F.col("w") * _contribution(index.stats)).alias("score"))
 
 
 def search(index: Index, query: str, prefix: bool = True, fuzzy: bool = True) -> DataFrame:
-    """All matching documents with scores."""
-    words = query_terms(query)
-    if words and not fuzzy:
-        # these conditions reach the scan, which skips row groups of other terms
-        match = F.col("term").isin(*words)
-        for word in words if prefix else ():
-            match = match | F.startswith("term", F.lit(word))
-        index = replace(index, postings=index.postings.where(match))
-    return score(index, expand(index.vocabulary, query, prefix, fuzzy))
+    """(doc, score) of all documents that hold a matching term."""
+    return _scored(index, _lists(index, expand(index, query, prefix, fuzzy)))
 
 
 def top(scored: DataFrame, n: int = TOP) -> DataFrame:
@@ -181,6 +287,42 @@ def top(scored: DataFrame, n: int = TOP) -> DataFrame:
     return scored.orderBy(F.desc(F.round("score", 6)), "doc").limit(n)
 
 
+@dataclass
+class Best:
+    """The best documents (doc, score), and how many of the postings of the query's terms were read for them."""
+
+    hits: DataFrame
+    postings: int
+    read: int
+
+
+def best(index: Index, query: str, n: int = TOP, prefix: bool = True, fuzzy: bool = True) -> Best:
+    """The same as the :func:`top` of :func:`search`, from the parts of the documents that can hold them."""
+    lists = _lists(index, expand(index, query, prefix, fuzzy))
+    bounds = lists.groupBy("part").agg(F.sum(F.col("w") * F.col("most")).alias("bound"), F.sum("n").alias("n"))
+    total = bounds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    first = bounds.orderBy(F.desc("bound"), "part").limit(n).collect()
+    scored = _scored(index, lists.where(F.col("part").isin(*(r.part for r in first))))
+    found = top(scored, n).collect()  # n rows
+    # scores that are equal to six places are ordered by path, so a bound may fall short by that much
+    least = found[-1].score - 2e-6 if len(found) == n else 0.0
+    seen = F.col("part").isin(*(r.part for r in first))
+    more = bounds.where((F.col("bound") >= least) & ~seen)
+    few = more.limit(LISTED + 1).collect()
+    read = sum(r.n for r in first)
+    if not few:
+        spark = lists.sparkSession
+        return Best(top(spark.createDataFrame(found, scored.schema), n), total, read)
+    if len(few) <= LISTED:
+        rest = lists.where(F.col("part").isin(*(r.part for r in few)))
+        read += sum(r.n for r in few)
+    else:
+        rest = lists.join(more.select("part"), "part", "left_semi")
+        read += more.agg(F.sum("n")).first()[0]
+    # a document's postings are all in one part, so its score is from one side
+    return Best(top(scored.union(_scored(index, rest)), n), total, read)
+
+
 def search_hits(scored: DataFrame, pages: DataFrame, n: int = TOP) -> DataFrame:
     """The best ``n`` with title, category and provenance."""
     best = top(scored, n)
