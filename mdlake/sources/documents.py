@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mdlake.conventions import EXCLUDED_DIRS, EXCLUDED_FILES
 from mdlake.functions.columns import once
 from mdlake.functions.text import basename, lf, lines
+from mdlake.sources.folder import is_known, read_folder
 
 
 def _relative(file_path: Column, root: str) -> Column:
@@ -20,11 +21,13 @@ def _relative(file_path: Column, root: str) -> Column:
 
 
 def scan_documents(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
-    """Every markdown file below ``root`` as (path, text), one row per file.
+    """Every markdown file below ``root`` as (path, text), one row per file, also those whose name starts with '_' or '.'.
 
-    Spark's readers skip names that start with '_' or '.'; corpora of many small
+    Where ``root`` is in a store that only Spark can open, its reader is used, which leaves such names out. Corpora of many small
     files should be compacted once with :func:`compact`.
     """
+    if is_known(root):
+        return read_folder(spark, root, glob).select("path", lf(F.col("text")).alias("text"))
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return files.select(
         _relative(F.col("_metadata.file_path"), root).alias("path"), lf(F.col("value")).alias("text")
@@ -50,7 +53,9 @@ def drop_excluded(docs: DataFrame, profile: str = "reader") -> DataFrame:
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, modified) of every file below ``root``; contents are not read."""
+    """(path, length, modified) of every file below ``root``; contents are not read. Hidden names are as in :func:`scan_documents`."""
+    if is_known(root):
+        return read_folder(spark, root, content=False).drop("text")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select(
         _relative(F.col("path"), root).alias("path"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mdlake import lake as lakes
 from mdlake.functions.text import title_from_path
-from mdlake.sources import documents, pages as P
+from mdlake.sources import documents, folder, pages as P
 
 
 def write(root, rel, text, encoding="utf-8"):
@@ -19,19 +19,39 @@ def write(root, rel, text, encoding="utf-8"):
 
 
 def test_scan_of_a_folder(spark, tmp_path):
-    write(tmp_path, "use-cases/foo.md", page("## What This Is\n\nA test page.", title="Foo"))
+    write(tmp_path, "cranes/north-gate.md", page("Lifts up to nine tons.", title="North gate"))
     write(tmp_path, "use cases/a+b é.md", page(title="Odd").replace("\n", "\r\n"))
     write(tmp_path, "notes.txt", "no")
     docs = documents.scan_documents(spark, str(tmp_path))
     rows = {r.path: r.text for r in docs.collect()}
-    assert set(rows) == {"use-cases/foo.md", "use cases/a+b é.md"}
+    assert set(rows) == {"cranes/north-gate.md", "use cases/a+b é.md"}
     assert "\r" not in rows["use cases/a+b é.md"]
     titles = {r.path: r.title for r in P.page_table(docs).collect()}
-    assert titles["use-cases/foo.md"] == "Foo"
+    assert titles["cranes/north-gate.md"] == "North gate"
     named = {r.path for r in documents.manifest(spark, str(tmp_path)).collect()}
     assert named == set(rows) | {"notes.txt"}
 
 
+def test_hidden_names_are_scanned(spark, tmp_path):
+    names = ["_a.md", ".c.md", "_notes/d.md", "_notes/.deep/er/e.md", "x/y/z/f.md", "sources/_s.md", "sources/.t.md", "sources/u.txt"]
+    for name in names:
+        write(tmp_path, name, page(title=name))
+    for splits in (1, 3, 256):
+        got = folder.read_folder(spark, str(tmp_path), "*.md", splits=splits)
+        assert {r.path for r in got.collect()} == {n for n in names if n.endswith(".md")}
+    reader = folder.FolderReader({"path": str(tmp_path), "splits": "3"})
+    parts = reader.partitions()
+    assert {type(p) for p in parts} == {folder.Files, folder.Below} and len(parts) == 4  # two files at the top, and three folders
+    lake = lakes.open_folder(spark, str(tmp_path))
+    assert {r.path for r in lake.docs.collect()} == {n for n in names if n.endswith(".md")}
+    assert {r.path for r in lake.manifest.where("length > 0 AND modified IS NOT NULL").collect()} == set(names)
+    assert {r.name for r in lake.source_files.collect()} == {"_s.md", "u.txt"}
+    assert {r.path for r in lake.pages.collect()} == {"_a.md", ".c.md", "_notes/d.md", "_notes/.deep/er/e.md", "x/y/z/f.md"}
+    assert folder.read_folder(spark, f"file://{tmp_path}/sources").count() == 3
+    assert folder.read_folder(spark, str(tmp_path / "none")).count() == 0
+    assert not folder.is_known("viewfs://store/x")
+
+
 @pytest.mark.parametrize("profile, kept", [("query", {"p/keep.md", "evals/e.md", "docs/d.md"}), ("lint", {"p/keep.md", "docs/d.md"}), ("reader", {"p/keep.md"})])
 def test_exclusions_by_profile(make_pages, profile, kept):
     texts = {n: page(title="T") for n in ("index.md", "sources/raw.md", "p/README.md", "_templates/t.md", "p/keep.md", "evals/e.md", "docs/d.md")}
