@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mdlake.conventions import ENTITY_TYPES, LINK
 from mdlake.functions import frontmatter as fm
+from mdlake.functions import nested
 from mdlake.functions.columns import once
 from mdlake.functions.dates import day
 from mdlake.functions.text import basename, or_empty, title_from_path
@@ -133,6 +134,51 @@ def frontmatter(docs: DataFrame, yaml: str = "auto") -> DataFrame:
     return read_frontmatter(docs, yaml).where("reason IS NULL").drop("reason")
 
 
+def _json_reader():
+    """Arrow-batched reader of blocks that the fold leaves; dates stay text, what is no mapping is NULL."""
+
+    @F.pandas_udf("string")
+    def read_json(blocks):
+        import json
+
+        import pandas as pd
+        import yaml
+
+        plain = type("Loader", (yaml.SafeLoader,), {
+            "yaml_implicit_resolvers": {
+                first: [(tag, rx) for tag, rx in found if not tag.endswith(":timestamp")] for first, found in yaml.SafeLoader.yaml_implicit_resolvers.items()
+            }
+        })
+
+        def read(block):
+            try:
+                data = yaml.load(block, plain) if block is not None else None
+                return json.dumps(data, ensure_ascii=False, default=str, allow_nan=False) if isinstance(data, dict) else None
+            except (yaml.YAMLError, ValueError, TypeError, RecursionError):
+                return None
+
+        return pd.Series([read(b) for b in blocks], dtype=object)
+
+    return read_json
+
+
+def frontmatter_values(docs: DataFrame) -> DataFrame:
+    """(path, value, by_yaml): the whole frontmatter as a VARIANT, with nested maps and lists, for documents with a mapping.
+
+    The fold of :mod:`mdlake.functions.nested` reads blocks in the JVM; only what it leaves goes to PyYAML, and ``by_yaml`` marks it.
+    """
+    fenced = docs.where(F.startswith("text", F.lit("---")) & (fm.fence_end(F.col("text")) > 0))
+    folded = once(once(fenced.select("path", fm.block(F.col("text")).alias("block")), value=nested.value(F.col("block"))), by_yaml=F.col("value").isNull())
+    read = folded.withColumn("json", _json_reader()(F.when(F.col("by_yaml"), F.col("block"))))
+    whole = read.select("path", F.coalesce("value", F.try_parse_json("json")).alias("value"), "by_yaml")
+    return whole.where("value IS NOT NULL")
+
+
+def yaml_share(values: DataFrame) -> DataFrame:
+    """(n_blocks, n_by_yaml) of :func:`frontmatter_values`: how many blocks were left to PyYAML."""
+    return values.agg(F.count("*").alias("n_blocks"), F.count_if("by_yaml").alias("n_by_yaml"))
+
+
 def link_targets(body: Column) -> Column:
     """Targets of all links to markdown files, relative to the root."""
     found = F.regexp_extract_all(body, F.lit(LINK), F.lit(1))
