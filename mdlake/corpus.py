@@ -226,6 +226,12 @@ def index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 100 == 3, _s("--> - [Shown](./parts/shown-", k, ".md)")),
         F.when(k % 100 == 4, _s("text <!--> - [Veiled](./parts/veiled-", k, ".md)")),
         F.when(k % 100 == 4, _s("- [Masked](./parts/masked-", k, ".md) -->")),
+        F.when(k % 100 == 5, _s("- [One](./parts/one-", k, ".md), [Wide](./parts/wide-", k)),
+        F.when(k % 100 == 5, F.lit("](./of several lines")),
+        F.when(k % 100 == 5, _s("page.md) and [Last](./parts/last-", k, ".md)")),
+        F.when(k % 100 == 6, _s("- [Sewn](./parts/sewn-", k, "<!-- noted")),
+        F.when(k % 100 == 6, F.lit("here -->.md) ](./no link")),
+        F.when(k % 100 == 6, F.lit("at all)")),
     )
     parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
     suppliers = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))

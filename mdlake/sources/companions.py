@@ -34,6 +34,7 @@ def without_comments(lines: DataFrame) -> DataFrame:
     ``<!-->`` that open outside and close inside, turns it over. The state is carried within chunks of CHUNK
     lines and, over one row per chunk, between them; so a file of any length
     is spread over many tasks. An opening mark that is never closed is text.
+    ``joined`` tells whether the line break before a line went with a comment.
     """
     line, end = F.col("line"), F.col("last_close")
     closes = F.contains(line, F.lit("-->"))
@@ -81,15 +82,51 @@ def without_comments(lines: DataFrame) -> DataFrame:
     visible = F.when(within & F.col("inside"), resumed).otherwise(line)
     closed = F.regexp_replace(visible, "<!--.*?-->", "")
     cut = F.when(F.col("line_no") < end, F.regexp_replace(closed, "<!--.*$", "")).otherwise(closed)
-    return placed.withColumn("inside", inside).select("path", "line_no", cut.alias("line"))
+    joined = within & F.col("inside")  # the line break before this line is part of a comment
+    return placed.withColumn("inside", inside).select("path", "line_no", cut.alias("line"), joined.alias("joined"))
 
 
 def index_entries(lines: DataFrame) -> DataFrame:
-    """Distinct root-relative targets of ``](./….md)`` links outside comments."""
-    linked = F.col("line").rlike(r"\]\(\./|<!--|-->")
-    text = without_comments(lines.where(linked))
-    found = once(text, found=F.regexp_extract_all("line", F.lit(INDEX_LINK), F.lit(1)))
-    return found.select(F.explode("found").alias("entry")).distinct()
+    """Distinct root-relative targets of ``](./….md)`` links outside comments, also of links that span lines.
+
+    A link ends at the next closing bracket, so only lines with one decide whether a link is open: what stands behind the last
+    one in a line is open or not, and a line without one opens a link or leaves things as they are. That is carried like the state of comments.
+    A link that spans lines is put together from its own lines alone, and a closing line is searched behind its end only.
+    """
+    text = without_comments(lines).withColumn("chunk", F.floor(F.col("line_no") / CHUNK))
+    line = F.col("line")
+    closes, opens = F.contains(line, F.lit(")")), F.contains(line, F.lit("](./"))
+    tail_opens = F.contains(F.substring_index(line, ")", -1), F.lit("](./"))
+    text = text.withColumn("sets", F.when(closes, tail_opens).when(opens, True)).withColumn("closed_at", F.when(closes, F.col("line_no")))
+    before = W.partitionBy("path", "chunk").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+    # one row per chunk
+    chunks = text.groupBy("path", "chunk").agg(
+        F.max_by("sets", F.when(F.col("sets").isNotNull(), F.col("line_no"))).alias("sets"), F.max("closed_at").alias("closed_at"),
+        F.min("line_no").alias("low"),
+    )
+    earlier = W.partitionBy("path").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    enters = chunks.select(
+        "path", "chunk", F.last("sets", ignorenulls=True).over(earlier).alias("enters_open"), F.coalesce(F.max("closed_at").over(earlier), F.min("low").over(W.partitionBy("path"))).alias("entered_at"),
+    )
+    open_ = F.coalesce(F.last("sets", ignorenulls=True).over(before), "enters_open", F.lit(False))
+    start = F.coalesce(F.max("closed_at").over(before), "entered_at")
+    state = text.join(enters, ["path", "chunk"]).withColumns({"open": open_, "start": start})
+
+    own = F.when(~F.col("open"), line).when(closes, F.substring(line, F.locate(")", line) + 1, F.length(line)))
+    within = once(state.where(opens & own.isNotNull()), found=F.regexp_extract_all(own, F.lit(INDEX_LINK), F.lit(1)))
+    within = within.select(F.explode("found").alias("entry"))
+
+    ends = state.where(F.col("open") & closes & F.endswith(F.substring_index(line, ")", 1), F.lit(".md")))
+    spans = ends.select("path", F.col("start").alias("first"), F.col("line_no").alias("last"))
+    pieces = text.select("path", "line_no", "line", "joined").join(spans.select("path", "first", "last", F.explode(F.sequence("first", "last")).alias("line_no")), ["path", "line_no"])
+    part = (
+        F.when(F.col("line_no") == F.col("last"), F.concat(F.substring_index(line, ")", 1), F.lit(")")))
+        .when((F.col("line_no") == F.col("first")) & closes, F.substring_index(line, ")", -1)).otherwise(line)
+    )
+    piece = F.concat(F.when(F.col("joined"), "").otherwise("\n"), part)
+    whole = pieces.groupBy("path", "last").agg(F.sort_array(F.collect_list(F.struct("line_no", piece.alias("piece")))).alias("pieces"))
+    across = F.regexp_extract_all(F.array_join(F.col("pieces.piece"), ""), F.lit(INDEX_LINK), F.lit(1))
+    return within.union(once(whole, found=across).select(F.explode("found").alias("entry"))).distinct()
 
 
 def log_fields(lines: DataFrame) -> DataFrame:

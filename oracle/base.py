@@ -101,6 +101,9 @@ ix AS (
   UNION ALL SELECT 'parts/group-' || k || '/README.md', NULL FROM part0 WHERE k % 50 = 0
   UNION ALL SELECT 'parts/gone-' || k || '.md', NULL FROM part0 WHERE k % 100 = 1
   UNION ALL SELECT 'parts/shown-' || k || '.md', NULL FROM part0 WHERE k % 100 = 3
+  UNION ALL SELECT unnest(['parts/one-' || k || '.md', 'parts/wide-' || k || E'\n](./of several lines\npage.md', 'parts/last-' || k || '.md']), NULL
+    FROM part0 WHERE k % 100 = 5
+  UNION ALL SELECT 'parts/sewn-' || k || '.md', NULL FROM part0 WHERE k % 100 = 6
   UNION ALL SELECT 'entities/supplier-' || s_suppkey || '.md', NULL FROM supplier
 ),
 refs AS (
@@ -142,7 +145,7 @@ found AS (
   UNION ALL SELECT 'sources/' || name, 'orphan_source', 'no wiki page has source pointing here' FROM files
   WHERE name NOT IN (SELECT 'doc-' || d || '.md' FROM parts WHERE is_page AND k % 4 = 0 AND k % 44 <> 0)
   UNION ALL SELECT 'index.md', 'index_dead_link', 'entry ''' || entry || ''' does not exist' FROM ix
-  WHERE entry LIKE 'parts/gone-%' OR entry LIKE 'parts/shown-%'
+  WHERE regexp_matches(entry, '^parts/(gone|shown|one|wide|last|sewn)-')
 ),
 ptext AS (
   SELECT path, k, concat(
