@@ -13,7 +13,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from mdlake import corpus
-from mdlake.operators import checks, edges, extract, graph, projections, search
+from mdlake.operators import checks, edges, extract, graph, maintenance, projections, search
+from mdlake.operators.joins import Hot
 from mdlake.session import stored
 from mdlake.sources import companions, documents, pages
 
@@ -43,10 +44,25 @@ class Lake:
         """The reader's pages."""
         return self.pages_of("reader")
 
+    @cached_property
+    def hot_pages(self) -> Hot:
+        """Pages that many links meet: every join on a page's path spreads these."""
+        return Hot(stored(edges.link_ends(self._all_pages), "hot-pages"))
+
+    @cached_property
+    def hot_sources(self) -> Hot:
+        """Sources that many pages name."""
+        return Hot(stored(maintenance.shared_sources(self._all_pages), "hot-sources"))
+
     @cached_property
     def risk_rows(self) -> DataFrame:
         return stored(extract.risk_rows(self.pages), "risk-rows")
 
+    @cached_property
+    def open_rows(self) -> DataFrame:
+        """Open rows of all tables with Risk and Likelihood columns."""
+        return stored(extract.open_rows(self._all_pages), "open-rows")
+
     @cached_property
     def links(self) -> DataFrame:
         """The edges in both directions."""
@@ -66,12 +82,12 @@ class Lake:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return stored(edges.edges(self.pages), "edges")
+        return stored(edges.edges(self.pages, self.hot_pages), "edges")
 
     @cached_property
     def findings(self) -> DataFrame:
         """All findings; reports, counts and exports read them from here."""
-        found = checks.findings(self.pages_of("lint"), self.source_files, self.index_entries, self.manifest)
+        found = checks.findings(self.pages_of("lint"), self.source_files, self.index_entries, self.manifest, self.hot_pages, self.hot_sources)
         return stored(found, "findings")
 
     @cached_property

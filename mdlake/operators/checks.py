@@ -12,8 +12,8 @@ from mdlake.conventions import (
 )
 from mdlake.functions.columns import once
 from mdlake.functions.text import or_empty
-from mdlake.operators.extract import heading_list, mentions, open_risk_notes, preview, source_ref_list
-from mdlake.operators.joins import skew_join
+from mdlake.operators.extract import heading_list, lint_risks, mentions, open_risk_notes, preview, source_ref_list
+from mdlake.operators.joins import Hot, skew_join
 
 
 def _texts(values: tuple[str, ...]) -> Column:
@@ -102,19 +102,26 @@ def local_findings(pages: DataFrame) -> DataFrame:
 
 # Checks against other tables: slim columns only, no text.
 
-def source_missing(pages: DataFrame, source_files: DataFrame) -> DataFrame:
+def open_risk(open_rows: DataFrame) -> DataFrame:
+    """One finding per row of :func:`extract.open_rows` that is not yet addressed."""
+    return lint_risks(open_rows).select(
+        F.col("path").alias("file"), F.lit("open_risk").alias("check"), _detail("open_risk", F.col("risk")).alias("detail")
+    )
+
+
+def source_missing(pages: DataFrame, source_files: DataFrame, hot: Hot | None = None) -> DataFrame:
     named = pages.where(_has_source()).select("path", "source", "source_name")
-    lost = skew_join(named, source_files.withColumnRenamed("name", "source_name"), "source_name", "left_anti", "path")
+    lost = skew_join(named, source_files.withColumnRenamed("name", "source_name"), "source_name", "left_anti", "path", hot=hot)
     return lost.select(
         F.col("path").alias("file"), F.lit("source_missing").alias("check"),
         _detail("source_missing", F.col("source")).alias("detail"),
     )
 
 
-def mentioned_in_missing(pages: DataFrame, strip_dot_slash: bool = False) -> DataFrame:
+def mentioned_in_missing(pages: DataFrame, strip_dot_slash: bool = False, hot: Hot | None = None) -> DataFrame:
     """Back-links to nowhere. A leading ``./`` is part of the name unless stripped."""
     refs = mentions(pages.where(is_entity()), strip_dot_slash)
-    lost = skew_join(refs, pages.select(F.col("path").alias("referrer")), "referrer", "left_anti", "path")
+    lost = skew_join(refs, pages.select(F.col("path").alias("referrer")), "referrer", "left_anti", "path", hot=hot)
     return lost.select(
         F.col("path").alias("file"), F.lit("mentioned_in_missing").alias("check"),
         _detail("mentioned_in_missing", F.col("referrer")).alias("detail"),
@@ -145,12 +152,14 @@ def index_dead_link(pages: DataFrame, index_entries: DataFrame, manifest: DataFr
     )
 
 
-def findings(pages: DataFrame, source_files: DataFrame, index_entries: DataFrame, manifest: DataFrame) -> DataFrame:
+def findings(
+    pages: DataFrame, source_files: DataFrame, index_entries: DataFrame, manifest: DataFrame, hot_pages: Hot | None = None, hot_sources: Hot | None = None
+) -> DataFrame:
     """All nine checks: one pass over the texts and five joins over slim columns."""
     parts = [
         local_findings(pages),
-        source_missing(pages, source_files),
-        mentioned_in_missing(pages),
+        source_missing(pages, source_files, hot_sources),
+        mentioned_in_missing(pages, hot=hot_pages),
         not_in_index(pages, index_entries),
         orphan_source(pages, source_files),
         index_dead_link(pages, index_entries, manifest),

@@ -42,15 +42,30 @@ def open_risks(rows: DataFrame) -> DataFrame:
     return rows.where(_is_open(status)).withColumn("status_symbol", symbol)
 
 
-def open_risks_query(pages: DataFrame) -> DataFrame:
-    """Open rows of any table with Risk and Likelihood columns, in or out of a register."""
+def open_rows(pages: DataFrame) -> DataFrame:
+    """(path, pos, risk, likelihood, impact, status): open rows of any table with Risk and Likelihood columns, in or out of a register.
+
+    Made once per corpus; query and lint read their rows from it.
+    """
     rows = open_table_rows(F.col("text"), ACTION_REQUIRED, NOT_ADDRESSED)
-    found = once(pages, rows=rows).select("path", F.posexplode("rows").alias("pos", "c"))
     c = F.col("c")
-    return found.select(
-        F.col("path").alias("file"), "pos", F.substring(cell(c, 0), 1, RISK_CELL).alias("risk"),
-        cell(c, 1).alias("likelihood"), cell(c, 2).alias("impact"), cell(c, 4).alias("status"),
-    )
+    found = once(pages, rows=rows).select("path", F.posexplode("rows").alias("pos", "c"))
+    return found.select("path", "pos", *[cell(c, i).alias(n) for n, i in (("risk", 0), ("likelihood", 1), ("impact", 2), ("status", 4))])
+
+
+def query_risks(rows: DataFrame) -> DataFrame:
+    """:func:`open_rows` as query shows them."""
+    return rows.select(F.col("path").alias("file"), "pos", F.substring("risk", 1, RISK_CELL).alias("risk"), "likelihood", "impact", "status")
+
+
+def lint_risks(rows: DataFrame) -> DataFrame:
+    """Those of :func:`open_rows` that lint reports: not yet addressed, cut to a note's length."""
+    return rows.where(has_marker(F.col("status"), NOT_ADDRESSED)).select("path", F.substring("risk", 1, RISK_NOTE).alias("risk"))
+
+
+def open_risks_query(pages: DataFrame) -> DataFrame:
+    """Open rows of any table with Risk and Likelihood columns."""
+    return query_risks(open_rows(pages))
 
 
 def open_risk_notes(text: Column) -> Column:
@@ -103,14 +118,13 @@ def page_tags(pages: DataFrame) -> DataFrame:
     return pages.select("path", F.explode("tags").alias("tag"))
 
 
-def risk_status_mix(pages: DataFrame) -> DataFrame:
-    """Per page: register rows by status marker, counted in place."""
-    states = once(pages, states=F.transform(register_rows(F.col("body")), lambda c: cell(c, 4))).where(F.size("states") > 0)
+def risk_status_mix(rows: DataFrame) -> DataFrame:
+    """Per page of :func:`risk_rows`: rows by status marker."""
 
     def n(marker: str) -> Column:
-        return F.size(F.filter("states", lambda s: has_marker(s, marker, leading=True))).cast("bigint")
+        return F.count_if(has_marker(F.col("status"), marker, leading=True))
 
     kinds = {"action_required": ACTION_REQUIRED, "not_addressed": NOT_ADDRESSED, "handled": HANDLED}
-    counted = states.select("path", F.size("states").alias("n"), *[n(marker).alias(name) for name, marker in kinds.items()])
+    counted = rows.groupBy("path").agg(F.count("*").alias("n"), *[n(marker).alias(name) for name, marker in kinds.items()])
     known = F.col("action_required") + F.col("not_addressed") + F.col("handled")
     return counted.select("path", *kinds, (F.col("n") - known).alias("other"))

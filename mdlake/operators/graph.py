@@ -9,7 +9,7 @@ from mdlake.conventions import DEGREE_WEIGHT, OTHER_WEIGHT, USE_CASE_WEIGHT
 from mdlake.operators.aggregates import inbound_degree, total_degree
 from mdlake.operators.edges import keep_between
 from mdlake.operators.filters import visible_nodes
-from mdlake.operators.joins import skew_join
+from mdlake.operators.joins import Hot, skew_join
 from mdlake.session import stored
 
 
@@ -38,7 +38,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(turned).alias("e")).select(F.col("e.src").alias("at"), F.col("e.dst").alias("to")).distinct()
 
 
-def k_hop(links: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+def k_hop(links: DataFrame, seeds: DataFrame, hops: int, hot: Hot | None = None) -> DataFrame:
     """(seed, path, hop): pages within ``hops`` steps along ``links(at, to)`` of each ``seeds(path)``.
 
     One equi-join per hop; hubs are joined by slices. ``links`` is read once per hop and should be a stored table.
@@ -47,18 +47,18 @@ def k_hop(links: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     frontier = reached
     for hop in range(1, hops + 1):
         at = frontier.select("seed", F.col("path").alias("at"))
-        found = skew_join(links, at, "at", "inner", "to").select("seed", F.col("to").alias("path")).distinct()
+        found = skew_join(links, at, "at", "inner", "to", hot=hot).select("seed", F.col("to").alias("path")).distinct()
         fresh = found.join(reached.select("seed", "path"), ["seed", "path"], "left_anti")
         frontier = stored(fresh.withColumn("hop", F.lit(hop)), f"hop{hop}")
         reached = reached.unionByName(frontier)
     return reached
 
 
-def edge_highlight(edges: DataFrame, ball: DataFrame, seed: str) -> DataFrame:
+def edge_highlight(edges: DataFrame, ball: DataFrame, seed: str, hot: Hot | None = None) -> DataFrame:
     """Edges by their place: at the seed, inside the ball, or outside."""
     inside = ball.select(F.col("path").alias("node"), F.lit(True).alias("in_ball")).distinct()
-    at_src = skew_join(edges, inside.select(F.col("node").alias("src"), F.col("in_ball").alias("src_in")), "src", "left", "dst")
-    both = skew_join(at_src, inside.select(F.col("node").alias("dst"), F.col("in_ball").alias("dst_in")), "dst", "left", "src")
+    at_src = skew_join(edges, inside.select(F.col("node").alias("src"), F.col("in_ball").alias("src_in")), "src", "left", "dst", hot=hot)
+    both = skew_join(at_src, inside.select(F.col("node").alias("dst"), F.col("in_ball").alias("dst_in")), "dst", "left", "src", hot=hot)
     place = (
         F.when((F.col("src") == seed) | (F.col("dst") == seed), "incident")
         .when(F.col("src_in") & F.col("dst_in"), "inside")
@@ -67,6 +67,6 @@ def edge_highlight(edges: DataFrame, ball: DataFrame, seed: str) -> DataFrame:
     return both.select("src", "dst", place.alias("place"))
 
 
-def visible_subgraph(edges: DataFrame, pages: DataFrame, **conditions) -> DataFrame:
+def visible_subgraph(edges: DataFrame, pages: DataFrame, hot: Hot | None = None, **conditions) -> DataFrame:
     """Edges between visible pages."""
-    return keep_between(edges, visible_nodes(pages, **conditions))
+    return keep_between(edges, visible_nodes(pages, **conditions), hot)

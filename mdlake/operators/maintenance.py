@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mdlake.functions.columns import once
 from mdlake.operators.extract import heading_list
-from mdlake.operators.joins import skew_join
+from mdlake.operators.joins import TARGET_ROWS, Hot, frequent, skew_join
 from mdlake.session import stored
 from mdlake.sources.companions import header_field, log_fields, source_body, source_headers
 
@@ -63,28 +63,34 @@ def source_drift(source_docs: DataFrame, refetched: DataFrame, below: float = 0.
     return measured.where(F.col("similarity") < below).select("name", F.round("similarity", 6).alias("similarity"))
 
 
-def _derived(pages: DataFrame, sources: DataFrame, *columns: Column) -> DataFrame:
+def shared_sources(pages: DataFrame, target: int = TARGET_ROWS) -> DataFrame:
+    """(key, slices) of sources that many pages name."""
+    often = frequent(pages.select(F.col("source_name").alias("key")), target)
+    return often.select("key", F.ceil(F.col("n") / target).cast("int").alias("slices"))
+
+
+def _derived(pages: DataFrame, sources: DataFrame, hot: Hot | None, *columns: Column) -> DataFrame:
     """Pages next to the source they name; one source may feed many pages."""
     named = pages.where("source_name IS NOT NULL").select("path", "source_name", *columns)
-    return skew_join(named, sources, "source_name", "inner", "path")
+    return skew_join(named, sources, "source_name", "inner", "path", hot=hot)
 
 
-def section_coverage(pages: DataFrame, source_docs: DataFrame) -> DataFrame:
+def section_coverage(pages: DataFrame, source_docs: DataFrame, hot: Hot | None = None) -> DataFrame:
     """(path, source_name, heading): headings of a source that its page lacks."""
 
     def keys(text: Column) -> Column:
         return F.transform(heading_list(text), lambda h: F.lower(F.trim(h)))
 
     there = source_docs.select(F.col("name").alias("source_name"), keys(F.col("text")).alias("wanted"))
-    both = _derived(pages, there, keys(F.col("body")).alias("present"))
+    both = _derived(pages, there, hot, keys(F.col("body")).alias("present"))
     lacking = once(both, lacking=F.array_except("wanted", "present"))
     return lacking.select("path", "source_name", F.explode("lacking").alias("heading"))
 
 
-def coverage_ratio(pages: DataFrame, source_docs: DataFrame, below: float | None = None) -> DataFrame:
+def coverage_ratio(pages: DataFrame, source_docs: DataFrame, below: float | None = None, hot: Hot | None = None) -> DataFrame:
     """(path, source_name, ratio): page length over source length."""
     there = source_docs.select(F.col("name").alias("source_name"), F.length(source_body(F.col("text"))).alias("n_source"))
-    both = _derived(pages, there, F.length("body").alias("n_page"))
+    both = _derived(pages, there, hot, F.length("body").alias("n_page"))
     ratio = F.try_divide(F.col("n_page").cast("double"), F.col("n_source").cast("double"))
     out = both.select("path", "source_name", ratio.alias("ratio"))
     return out if below is None else out.where(F.col("ratio") < below)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from mdlake.lake import Lake
 from mdlake.operators import extract, filters, projections
 from mdlake.operators.aggregates import page_count, risk_totals
+from mdlake.sources import documents
 
 
 def summary(lake: Lake, **conditions) -> DataFrame:
@@ -14,7 +15,11 @@ def summary(lake: Lake, **conditions) -> DataFrame:
 
 
 def risks(lake: Lake, **conditions) -> DataFrame:
-    return extract.open_risks_query(filters.matching(lake.pages_of("query"), **conditions)).drop("pos")
+    """Open risk rows of matching pages, from the stored ones; texts are not read."""
+    rows = documents.drop_excluded(lake.open_rows, "query")
+    if any(v not in (None, "") for v in conditions.values()):
+        rows = rows.join(filters.matching(lake.pages_of("query"), **conditions).select("path"), "path", "left_semi")
+    return extract.query_risks(rows).drop("pos")
 
 
 def summary_count(lake: Lake, **conditions) -> DataFrame:

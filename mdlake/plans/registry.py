@@ -281,7 +281,7 @@ def open_risks_query(lake):
 
 @query
 def open_risks_lint(lake):
-    return extract.open_risks_lint(lake.pages_of("lint"))
+    return extract.lint_risks(documents.drop_excluded(lake.open_rows, "lint"))
 
 
 @query
@@ -311,7 +311,7 @@ def page_tags(lake):
 
 @query
 def risk_status_mix(lake):
-    return extract.risk_status_mix(lake.pages)
+    return extract.risk_status_mix(lake.risk_rows)
 
 
 @query
@@ -325,15 +325,20 @@ def risks_sorted(lake):
 
 @query
 def resolved_links(lake):
-    return edges.resolved_links(lake.pages)
+    return edges.resolved_links(lake.pages, lake.hot_pages)
 
 
 @query
 def resolved_mentions(lake):
-    return edges.resolved_mentions(lake.pages)
+    return edges.resolved_mentions(lake.pages, lake.hot_pages)
 
 
-QUERIES["edges"] = lambda spark, sf_dir: edges.edges(derived(spark, sf_dir).pages)
+@query
+def edges_(lake):
+    return edges.edges(lake.pages, lake.hot_pages)
+
+
+QUERIES["edges"] = QUERIES.pop("edges_")
 
 
 @query
@@ -343,22 +348,22 @@ def edge_list(lake):
 
 @query
 def mention_titles(lake):
-    return edges.mention_titles(lake.edges, lake.pages)
+    return edges.mention_titles(lake.edges, lake.pages, lake.hot_pages)
 
 
 @query
 def visible_edges(lake):
-    return graph.visible_subgraph(lake.edges, lake.pages, **_VISIBLE)
+    return graph.visible_subgraph(lake.edges, lake.pages, lake.hot_pages, **_VISIBLE)
 
 
 @query
 def visible_subgraph(lake):
-    return graph.visible_subgraph(lake.edges, lake.pages, types=["use-case", "entity"], tags=["widget", "nation"])
+    return graph.visible_subgraph(lake.edges, lake.pages, lake.hot_pages, types=["use-case", "entity"], tags=["widget", "nation"])
 
 
 @query
 def shared_entity_groups(lake):
-    return edges.shared_entities(lake.edges, lake.pages)
+    return edges.shared_entities(lake.edges, lake.pages, lake.hot_pages)
 
 
 @query
@@ -397,7 +402,7 @@ def entity_mentions(lake):
 
 
 def _ball(lake: Lake) -> DataFrame:
-    return graph.k_hop(lake.links, lake.pages.where(F.col("path") == SEED).select("path"), hops=2)
+    return graph.k_hop(lake.links, lake.pages.where(F.col("path") == SEED).select("path"), hops=2, hot=lake.hot_pages)
 
 
 @query
@@ -407,7 +412,7 @@ def k_hop(lake):
 
 @query
 def edge_highlight(lake):
-    return graph.edge_highlight(lake.edges, _ball(lake), SEED)
+    return graph.edge_highlight(lake.edges, _ball(lake), SEED, lake.hot_pages)
 
 
 # Checks
@@ -417,19 +422,24 @@ for _name in checks.LOCAL:
     QUERIES[f"check_{_name}"] = lambda spark, sf_dir, name=_name: checks.local_check(derived(spark, sf_dir).pages_of("lint"), name)
 
 
+@query
+def check_open_risk(lake):
+    return checks.open_risk(documents.drop_excluded(lake.open_rows, "lint"))
+
+
 @query
 def check_source_missing(lake):
-    return checks.source_missing(lake.pages_of("lint"), lake.source_files)
+    return checks.source_missing(lake.pages_of("lint"), lake.source_files, lake.hot_sources)
 
 
 @query
 def check_mentioned_in_missing(lake):
-    return checks.mentioned_in_missing(lake.pages_of("lint"))
+    return checks.mentioned_in_missing(lake.pages_of("lint"), hot=lake.hot_pages)
 
 
 @query
 def check_mentioned_in_missing_stripped(lake):
-    return checks.mentioned_in_missing(lake.pages_of("lint"), strip_dot_slash=True)
+    return checks.mentioned_in_missing(lake.pages_of("lint"), strip_dot_slash=True, hot=lake.hot_pages)
 
 
 @query
@@ -564,17 +574,17 @@ def search_fuzzy(lake):
 
 @query
 def search_ranked(lake):
-    return _rounded(search.top(search.search(lake.search_index, "smal widgit brand")))
+    return _rounded(search.best(lake.search_index, "smal widgit brand").hits)
 
 
 @query
 def search_topk(lake):
-    return _rounded(search.top(search.search(lake.search_index, "red widget", prefix=False, fuzzy=False)))
+    return _rounded(search.best(lake.search_index, "red widget", prefix=False, fuzzy=False).hits)
 
 
 @query
 def search_hits(lake):
-    return _rounded(search.search_hits(search.search(lake.search_index, "blue bolt economy"), lake.pages))
+    return _rounded(search.search_hits(search.best(lake.search_index, "blue bolt economy").hits, lake.pages))
 
 
 # Upkeep
@@ -588,12 +598,12 @@ def source_drift(lake):
 
 @query
 def section_coverage(lake):
-    return maintenance.section_coverage(lake.pages, lake.sources)
+    return maintenance.section_coverage(lake.pages, lake.sources, lake.hot_sources)
 
 
 @query
 def coverage_ratio(lake):
-    return maintenance.coverage_ratio(lake.pages, lake.sources).withColumn("ratio", F.round("ratio", 6))
+    return maintenance.coverage_ratio(lake.pages, lake.sources, hot=lake.hot_sources).withColumn("ratio", F.round("ratio", 6))
 
 
 @query

@@ -27,7 +27,7 @@ def test_open_risks_leave_out_handled_ones(make_pages):
     )
     pages = make_pages({"p.md": page(body, title="P")})
     assert rows(X.open_risks(X.risk_rows(pages)), "risk", "status_symbol", "page_title") == [("Frost", "⚠️", "P"), ("Mice", "🔲", "P")]
-    assert rows(X.risk_status_mix(pages), "action_required", "not_addressed", "handled", "other") == [(1, 1, 1, 0)]
+    assert rows(X.risk_status_mix(X.risk_rows(pages)), "action_required", "not_addressed", "handled", "other") == [(1, 1, 1, 0)]
 
 
 def test_the_three_risk_readers_differ(make_pages):
@@ -148,12 +148,12 @@ def test_lines_like_splitlines(spark):
 
 
 def test_log(spark, make_docs):
-    text = "# Log\n\n## [2026-04-28] init | Created\n## [2026-04-30] update | B | more \n##[2026-04-30]  add|A\n## 2026-04-29 no\n## [2026-13-45] x | y\n## [2026-04-29] | z\n"
+    text = "# Log\n\n## [2025-07-02] open | Ledger begun\n## [2025-07-04] amend | B | more \n##[2025-07-04]  join|A\n## 2025-07-03 no\n## [2026-13-45] x | y\n## [2025-07-03] | z\n"
     lines = documents.numbered_lines(make_docs({"log.md": text}))
     found = [(r.date, r.action, r.detail, r.log_date) for r in C.recent_changes(C.change_log(lines)).collect()]
     assert [f[:3] for f in found] == [
-        ("2026-13-45", "x", "y"), ("2026-04-30", "update", "B | more"), ("2026-04-30", "add", "A"),
-        ("2026-04-29", " ", "z"), ("2026-04-28", "init", "Created"),
+        ("2026-13-45", "x", "y"), ("2025-07-04", "amend", "B | more"), ("2025-07-04", "join", "A"),
+        ("2025-07-03", " ", "z"), ("2025-07-02", "open", "Ledger begun"),
     ]
     assert found[0][3] is None
 
@@ -172,6 +172,21 @@ def test_index_comments_across_lines_and_chunks(spark, monkeypatch):
         assert {r.entry for r in C.index_entries(table).collect()} == want
 
 
+def test_index_links_across_lines_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(C, "CHUNK", 4)
+    rng = random.Random(6)
+    words = ["[a](./p{}.md)", "[b](./q{}", "{}.md)", "x)", "](./r", ".md) y", "text", "<!--", "-->", "[c](./s{}.md", "(z)"]
+    spanning = 0
+    for _ in range(8):
+        lines = ["".join(rng.choice(words).format(rng.randint(0, 99)) for _ in range(rng.randint(0, 3))) for _ in range(50)]
+        text = re.sub(r"<!--.*?-->", "", "\n".join(lines), flags=re.DOTALL)
+        want = set(re.findall(r"\]\(\./([^)]+\.md)\)", text))
+        spanning += sum("\n" in w for w in want)
+        table = spark.createDataFrame([("index.md", i, l) for i, l in enumerate(lines)], "path string, line_no bigint, line string")
+        assert {r.entry for r in C.index_entries(table.repartition(3)).collect()} == want
+    assert spanning > 5
+
+
 def test_source_header(spark):
     text = "> **Source type:** ticket\n> **URL:** \n> **Fetched:** 2026-04-30\n> ⚠️ Do not edit\n\nBody\n> **URL:** http://late\n"
     got = C.source_headers(spark.createDataFrame([("a.md", text), ("b.md", "Body")], "name string, text string")).collect()

@@ -126,6 +126,45 @@ def test_no_slice_exceeds_its_target(spark):
     assert max(r["count"] for r in sliced.collect()) <= 4000 * 1.2
 
 
+def test_known_hot_keys_are_not_counted_again(spark, capsys):
+    left = spark.createDataFrame([("hot", i) for i in range(300)] + [(f"k{i}", i) for i in range(20)] + [(None, 1)], "k string, v int")
+    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k3", 3)], "k string, w int")
+    table = spark.createDataFrame([("hot", 4)], "key string, slices int")
+    for listed in (1000, 0):
+        hot = joins.Hot(table)
+        if not listed:
+            hot.few = None  # as if there were too many for a map
+        for how in ("inner", "left", "left_semi", "left_anti"):
+            got = joins.skew_join(left, right, "k", how, "v", hot=hot)
+            assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+        got.explain("formatted")
+        assert "count(" not in capsys.readouterr().out
+    none = joins.Hot(table.limit(0))
+    assert joins.skew_join(left, right, "k", "left", "v", hot=none).count() == 321
+
+
+def test_the_sketch_misses_only_what_its_error_allows(spark):
+    """Keys with more than twice 3.5 / map size of all rows are found, and counted within that error."""
+    rng = random.Random(3)
+    sizes = {f"h{i}": int(40_000 / (i + 1)) for i in range(60)}
+    keys = [(k,) for k, n in sizes.items() for _ in range(n)] + [(f"once{i}",) for i in range(60_000)] + [(None,)] * 500
+    rng.shuffle(keys)
+    rows = spark.createDataFrame(keys, "key string").repartition(9)
+    tracked = 1000
+    error = 3.5 * len(keys) / 1024
+    found = {r.key: r.n for r in joins.frequent(rows, 0, tracked).collect()}
+    for key, n in sizes.items():
+        assert key in found or n <= 2 * error
+    assert all(abs(n - sizes.get(k, 1)) <= error for k, n in found.items())
+
+
+def test_hot_pages_count_both_ends(make_pages):
+    texts = {f"p{i}.md": page("[a](hub.md)", mentioned_in="[./hub.md, other.md]") for i in range(40)}
+    texts["hub.md"] = page("".join(f"[x](p{i}.md)" for i in range(30)))
+    hot = {r.key: r.slices for r in E.link_ends(make_pages(texts), target=50).collect()}
+    assert hot["hub.md"] == 3 and "p1.md" not in hot  # 40 links, 40 back-links under either name, 30 of its own
+
+
 def test_programs_see_their_own_folders(spark, tmp_path):
     write(tmp_path, {p: page(CLEAN, title="T") for p in ("a.md", "docs/b.md", "tests/c.md", "evals/d.md", "scripts/e.md", "x/docs/f.md")})
     lake = lakes.open_folder(spark, str(tmp_path))
