@@ -20,7 +20,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", "severity", "grade", "p_toxic", (F.col("p_toxic") >= toxicity.REJECT).alias("rejected"))
+    return scored.select("doc_id", "severity", "grade", "p_toxic", (F.col("p_toxic") >= model.limit).alias("rejected"))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

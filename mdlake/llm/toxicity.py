@@ -1,13 +1,13 @@
 """Severity of toxic language by cumulative-link ordinal regression on sparse word features.
 
-A text's features are its words, hashed into 2**18 slots, as log(1 + count). One
-weight vector serves all ordered thresholds: P(grade <= k) = sigmoid(b_k - w.x).
-The expected severity is the sum over k of P(grade > k).
-
-The model is fitted by accelerated proximal gradient steps with an L1 penalty, which
-leaves weights to the few words that matter, on a bounded sample of labelled rows
-(``sample`` of them, by a hash of their id). Scoring reads each text once, as vectors
-of word hashes, and moves nothing.
+A text's features are its words, and the first PREFIX bytes of longer ones (a stem that many forms share), hashed into 2**18 slots,
+as log(1 + count). One weight vector serves all ordered thresholds: P(grade <= k) = sigmoid(b_k - w.x). The expected severity is the
+sum over k of P(grade > k).
+
+The model is fitted by accelerated proximal gradient steps with an L1 penalty, which leaves weights to the few features that matter, on
+a sample of labelled rows that is bounded in rows and in words (``sample``, ``words``), by a hash of their id. Features of hardly any
+text are left out before anything comes to the driver. A part of the sample is held out to choose the limit from which a document is
+rejected. Scoring reads each text once, as vectors of word hashes, and moves nothing.
 """
 
 from __future__ import annotations
@@ -22,15 +22,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mdlake.llm.tables import free_name
-from mdlake.llm.words import BY_LETTER, flat, hash_words, lists, slices
+from mdlake.llm.words import BY_LETTER, flat, hash_prefixes, hash_words, lists, mixed, slices
+from mdlake.session import stored
 
 SLOTS = 1 << 18
 SAMPLE = 12_000  # labelled rows a model is fitted on, at most
+WORDS = 4_000_000  # distinct words of these rows, added up, at most
+PREFIX = 5  # bytes
+HELD = 4  # one in so many rows of the sample is held out
+CLEAN = 0.97  # of held-out clean rows stay below the limit, at least
 PENALTY = 0.1  # L1, over the square root of the number of labelled rows
 STEPS = 300
 COPY = 0.7  # of the union of two texts' words that they share, from which they are near copies
 _BANDS, _BAND = 32, 3  # min-hashes that propose near copies: one at COPY is missed with a chance of about 1.4 in a million
-REJECT = 0.5  # of the probability of a grade above 0, from which a document is rejected
 _TELLING = 20.0  # times more frequent in toxic texts: words whose density grades a toxic text
 
 
@@ -38,6 +42,13 @@ _TELLING = 20.0  # times more frequent in toxic texts: words whose density grade
 class OrdinalModel:
     weights: np.ndarray  # float32, one per slot
     cuts: np.ndarray  # ascending thresholds b_0 .. b_(K-2)
+    limit: float = 0.5  # of the probability of a grade above 0, from which a document is rejected
+    held_recall: float | None = None  # of held-out toxic rows that the limit rejects
+    held_clean: float | None = None  # of held-out clean rows that it keeps
+
+    def above(self, z: np.ndarray) -> np.ndarray:
+        """P(grade > k) by k, for values of w.x."""
+        return 1 - _sigmoid(self.cuts[:, None] - z)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -103,9 +114,12 @@ def fit_ordinal(rows: np.ndarray, slots: np.ndarray, values: np.ndarray, grades:
 
 def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, slot, count) of the slots in use, by row."""
-    hashes, counts = hash_words(texts, BY_LETTER)
-    key = (np.repeat(np.arange(len(counts), dtype=np.int64), counts) << 18) | (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
-    key, n = np.unique(key, return_counts=True)
+    keys = []
+    for hashes, counts in (hash_words(texts, BY_LETTER), hash_prefixes(texts, BY_LETTER, PREFIX)):
+        # a stem has another slot than the word that is spelled like it
+        hashes = mixed(hashes) if keys else hashes
+        keys.append((np.repeat(np.arange(len(counts), dtype=np.int64), counts) << 18) | (hashes & np.uint64(SLOTS - 1)).astype(np.int64))
+    key, n = np.unique(np.concatenate(keys), return_counts=True)
     return key >> 18, key & (SLOTS - 1), n
 
 
@@ -129,53 +143,101 @@ def graded(rows: np.ndarray, slots: np.ndarray, counts: np.ndarray, toxic: np.nd
     return grades
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE) -> OrdinalModel:
-    """Fits to the texts of at most ``sample`` labelled documents (doc_id, toxic).
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE, words: int = WORDS) -> OrdinalModel:
+    """Fits to the texts of at most ``sample`` labelled documents (doc_id, toxic) that have ``words`` distinct words in all, at most.
 
-    Rows with a null id or label are left out; of repeated labels the largest counts. Without toxic labels every
-    text gets a severity near 0.
+    Rows with a null id or label are left out; of repeated labels the largest counts, of the texts of one id that with the smallest
+    hash. Without toxic labels every text gets a severity near 0. A text of any length is one row of at most 2**18 features.
     """
-    chosen = (
-        labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    )
-    rows = docs.select("doc_id", text, F.xxhash64(text).alias("_digest")).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
+    chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", F.xxhash64(text).alias("_digest"), F.col(text).alias("_text")).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
+    rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("_text", "_toxic"), "_digest").alias("r")).select(F.xxhash64("doc_id").alias("at"), "doc_id", "r.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            row, slots, counts = _features(batch.column(text))
+        for batch in slices(batches, "_text"):
+            row, slots, counts = _features(batch.column("_text"))
             per_row = np.bincount(row, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("_digest"), batch.column("_toxic").cast(pa.int32()), lists(slots.astype(np.int32), per_row, pa.int32()), lists(np.minimum(counts, 65535).astype(np.int32), per_row, pa.int32())],
-                ["doc_id", "digest", "toxic", "slots", "counts"],
-            )
-
-    schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("digest bigint, toxic int, slots array<int>, counts array<int>")])
-    sampled = rows.mapInArrow(run, schema).toArrow().sort_by([("doc_id", "ascending"), ("digest", "ascending")])  # not the order of arrival
-    toxic = sampled.column("toxic").to_numpy().astype(np.int64)
-    slots, per_row = flat(sampled.column("slots"))
-    slots, counts = slots.astype(np.int64), flat(sampled.column("counts"))[0].astype(np.float64)
-    return fit_sample(np.repeat(np.arange(len(toxic)), per_row), slots, counts, toxic)
+                [batch.column("at"), batch.column("doc_id"), batch.column("_toxic").cast(pa.int32()), pa.array(per_row),
+                 lists(slots.astype(np.int32), per_row, pa.int32()), lists(np.minimum(counts, 65535).astype(np.int32), per_row, pa.int32())],
+                ["at", "doc_id", "toxic", "n", "slots", "counts"],
+            )
+
+    schema = T.StructType([T.StructField("at", T.LongType()), rows.schema["doc_id"], *T.StructType.fromDDL("toxic int, n bigint, slots array<int>, counts array<int>")])
+    sampled = stored(rows.mapInArrow(run, schema), "toxicity-sample")
+
+    sizes = sampled.select("at", "n").toArrow().sort_by("at")  # two numbers a row
+    fits = np.cumsum(sizes.column("n").to_numpy()) <= words
+    if not fits.all():
+        sampled = sampled.where(F.col("at") < int(sizes.column("at")[int(np.argmin(fits))].as_py()))
+    # features of hardly any text say nothing
+    least = max(5, 0.005 * int(fits.sum()))
+    used = sampled.select(F.explode("slots").alias("slot")).groupBy("slot").count().where(F.col("count") >= least).select("slot").toArrow().column("slot")
+    common = np.zeros(SLOTS, bool)
+    common[used.to_numpy()] = True  # of at most SLOTS numbers
+
+    def only_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots, per_row = flat(batch.column("slots"))
+            keep = common[slots]
+            left = np.bincount(np.repeat(np.arange(len(per_row)), per_row)[keep], minlength=len(per_row))
+            parts = [lists(x[keep], left, pa.int32()) for x in (slots, flat(batch.column("counts"))[0])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *parts], ["at", "doc_id", "toxic", "slots", "counts"])
+
+    order = [("at", "ascending"), ("doc_id", "ascending")]  # not that of arrival
+    whole = sampled.select("at", "doc_id", "toxic", "slots").toArrow().sort_by(order)
+    toxic = whole.column("toxic").to_numpy().astype(np.int64)
+    slots, per_row = flat(whole.column("slots"))
+    first = _one_per_family(np.repeat(np.arange(len(toxic), dtype=np.int32), per_row), slots, toxic)
+    del whole, slots
+    schema = T.StructType([sampled.schema[c] for c in ("at", "doc_id", "toxic", "slots", "counts")])
+    cells = sampled.mapInArrow(only_common, schema).toArrow().sort_by(order).filter(pa.array(first))
+    slots, per_row = flat(cells.column("slots"))
+    counts = flat(cells.column("counts"))[0].astype(np.float32)
+    model = fit_sample(np.repeat(np.arange(len(per_row), dtype=np.int32), per_row), slots, counts, toxic[first])
+    del cells, slots, counts
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def fit_sample(rows: np.ndarray, slots: np.ndarray, counts: np.ndarray, toxic: np.ndarray) -> OrdinalModel:
-    """Selects words with an L1 penalty and fits the chosen ones again with a twentieth of it, on one text of each family of near copies.
+    """Selects features with an L1 penalty and fits the chosen ones again with a twentieth of it; ``rows`` ascend.
 
-    ``rows`` ascend. The first row of a family stays.
+    Every HELD-th row has no part in that: on these rows the limit is chosen.
     """
-    first = _one_per_family(rows, slots, toxic)
-    number = np.cumsum(first) - 1
-    keep = first[rows]
-    rows, slots, counts, toxic = number[rows[keep]], slots[keep], counts[keep], toxic[first]
-    grades, n = graded(rows, slots, counts, toxic), max(1, len(toxic))
-    common = np.bincount(slots, minlength=SLOTS) >= max(5, 0.005 * n)  # words of hardly any text say nothing
+    held = np.arange(len(toxic)) % HELD == HELD - 1
+    own, number = ~held[rows], np.cumsum(~held) - 1
+    of, at, times = number[rows[own]].astype(np.int32), slots[own], counts[own]
+    grades = graded(of, at, times, toxic[~held])
+    n = max(1, int((~held).sum()))
+    keep = np.ones(len(at), bool)
     for penalty in (PENALTY / n**0.5, PENALTY / 20 / n**0.5):
-        keep = common[slots]
-        model = fit_ordinal(rows[keep], slots[keep], np.log1p(counts[keep]), grades, penalty)
-        common = model.weights != 0
+        model = fit_ordinal(of[keep], at[keep], np.log1p(times[keep]), grades, penalty)
+        keep = (model.weights != 0)[at]
+    on = held[rows]
+    z = np.bincount(rows[on], np.log1p(counts[on]) * model.weights[slots[on]], minlength=len(toxic))[held]
+    model.limit, model.held_recall, model.held_clean = best_limit(model.above(z)[0], toxic[held])
     return model
 
 
+def best_limit(p: np.ndarray, toxic: np.ndarray) -> tuple[float, float | None, float | None]:
+    """The probability with the largest sum of toxic rows at or above it and clean rows below it, both as shares, and these shares.
+
+    CLEAN of the clean rows must be below; ties go to the larger limit. Without a toxic or without a clean row it is one half.
+    """
+    bad, good = np.sort(p[toxic > 0]), np.sort(p[toxic <= 0])
+    if not len(bad) or not len(good):
+        return 0.5, None, None
+    recall = 1 - np.searchsorted(bad, bad, "left") / len(bad)
+    kept = np.searchsorted(good, bad, "left") / len(good)
+    kept[kept < CLEAN] = -np.inf
+    best = len(bad) - 1 - int(np.argmax((recall + kept)[::-1]))
+    if not np.isfinite(kept[best]):
+        return 0.5, float((bad >= 0.5).mean()), float((good < 0.5).mean())
+    return float(bad[best]), float(recall[best]), float(kept[best])
+
+
 def _one_per_family(rows: np.ndarray, slots: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Marks the rows that are no near copies of an earlier marked row with the same label; ``rows`` ascend.
 
@@ -217,7 +279,7 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame
             weight = model.weights[slots]
             on = weight != 0
             z = np.bincount(row[on], np.log1p(counts[on]) * weight[on], minlength=batch.num_rows)
-            above = 1 - _sigmoid(model.cuts[:, None] - z)  # P(grade > k)
+            above = model.above(z)
             grades = -np.diff(np.vstack([np.ones(len(z)), above, np.zeros(len(z))]), axis=0)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(above.sum(0)), pa.array(grades.argmax(0).astype(np.int32)), pa.array(above[0])], [*batch.schema.names, *names]

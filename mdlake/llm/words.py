@@ -120,6 +120,17 @@ def hash_words(texts: pa.Array, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(parts), np.concatenate(counts)
 
 
+def hash_prefixes(texts: pa.Array, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first ``size`` bytes of all words that are longer, in order, and the number of these words in each text."""
+    parts, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for _, _, data, offsets in chunks(texts):
+        _, starts, ends, n = hash_chunk(data, offsets, values)
+        long = ends - starts > size
+        parts.append(hash_runs(values[data], starts[long], starts[long] + size))
+        counts.append(np.bincount(np.repeat(np.arange(len(n)), n)[long], minlength=len(n)))
+    return np.concatenate(parts), np.concatenate(counts)
+
+
 def hash_runs(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """One value for each run [start, end) of words, given the hashes of all words: equal runs have equal ones wherever they stand."""
     sums = np.zeros(len(hashes) + 1, np.uint64)
