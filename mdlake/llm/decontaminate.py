@@ -47,17 +47,19 @@ class Phrases:
         flags = np.zeros(1 << _FLAG_BITS, bool)
         flags[(words & np.uint64((1 << _FLAG_BITS) - 1)).astype(np.int64)] = True
         bounds = np.concatenate([[0], np.cumsum(counts)])
+        numbers: dict = {}
+        number = np.array([numbers.setdefault(i, len(numbers)) for i in items], np.int64)  # texts of one id are one item
         by_length = []
         for length in range(1, WINDOW + 1):
             of_items = np.flatnonzero(counts >= WINDOW if length == WINDOW else counts == length)
             starts = [np.arange(bounds[i], bounds[i + 1] - length + 1) for i in of_items]
             if starts:
-                item = np.repeat(of_items, [len(s) for s in starts])
+                item = number[np.repeat(of_items, [len(s) for s in starts])]
                 windows = symbols[np.concatenate(starts)[:, None] + np.arange(length)]
                 distinct, window = np.unique(windows, axis=0, return_inverse=True)
                 order = np.argsort(window.ravel(), kind="stable")
                 by_length.append((distinct, item[order], np.searchsorted(window.ravel()[order], np.arange(len(distinct) + 1))))
-        return cls(words, flags, by_length, np.array(items, object))
+        return cls(words, flags, by_length, np.array(list(numbers), object))
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """0 for words of no item."""
@@ -142,7 +144,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes:
     """``docs`` with ``n_words``, ``hits`` (word index, first byte, end byte of every word in an occurrence) and ``items``.
 
     A window is WINDOW consecutive words of an item; an item of fewer words, but not none, is one window. A null text has no words.
-    An item without an id is searched for but not listed. Repeated items count once, repeated documents each.
+    An item without an id is searched for but not listed. Rows of one item id are one item, whatever their texts; repeated documents count each.
     """
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
@@ -184,8 +186,9 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
 
 def report(marked: DataFrame) -> DataFrame:
     """Counts and the digest of the items per row of ``mark``."""
-    n_hit = F.size("hits").cast("bigint")
+    words, hits, items = marked.columns[-3:]
+    n_hit = F.size(hits).cast("bigint")
     return marked.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        "doc_id", F.col(words).alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
