@@ -50,7 +50,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def rule_columns(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits; null without one. Of equally long ones, the first listed."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for word, of_host, of_path in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for word, of_host, of_path in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):  # the last that fits stays
         fits = ((host == of_host) | host.endswith("." + of_host)) & path.startswith(of_path)
         name = F.when(fits, F.lit(of_host + of_path)).otherwise(name)
         verdict = F.when(fits, F.lit(word)).otherwise(verdict)
@@ -115,11 +115,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, url
     """
     host, path = host_and_path(F.col(url))
     names = [free_name(pages, n) for n in ("host", "path", "rule", "verdict", "score")]
+    ruled_as, tenth = free_name(pages, "_ruled"), free_name(pages, "_tenth")
     split = pages.select("*", host.alias(names[0]), path.alias(names[1]))
     rule, verdict = rule_columns(F.col(names[0]), F.col(names[1]), RULES if rules is None else rules)
-    ruled = split.select("*", rule.alias(names[2]), verdict.alias("_ruled"), F.pmod(F.xxhash64(key, url), F.lit(10)).alias("_tenth"))
-    labelled = ruled.where("_ruled IS NOT NULL")
-    table = ratio_table(labelled.where("_tenth > 0").select(cells(symbols(F.col(url))).alias("cells"), F.col("_ruled").alias("verdict")))
+    ruled = split.select("*", rule.alias(names[2]), verdict.alias(ruled_as), F.pmod(F.xxhash64(key, url), F.lit(10)).alias(tenth))
+    labelled = ruled.where(F.col(ruled_as).isNotNull())
+    table = ratio_table(labelled.where(F.col(tenth) > 0).select(cells(symbols(F.col(url))).alias("cells"), F.col(ruled_as).alias("verdict")))
     steps = np.rint(np.array(table.first()["table"]) * STEPS) + 32768
     ratios = F.lit(steps.clip(0, 65535).astype(">u2").tobytes())  # one constant of two bytes per cell
 
@@ -130,9 +131,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, url
         mean = _let(cells(symbols(F.col(url))), lambda own: F.aggregate(own, F.lit(0.0), lambda sum_, cell: sum_ + ratio_of(cell)) / F.size(own))
         return df.select("*", F.explode(F.array(mean)).alias(names[4]))  # a one-row generator: not computed again for the verdict
 
-    held_out = scored(labelled.where("_tenth = 0 AND _ruled = 'allow'")).agg(F.percentile_approx(names[4], BLOCK_SHARE, 10_000)).first()[0]
+    held_out = scored(labelled.where((F.col(tenth) == 0) & (F.col(ruled_as) == "allow"))).agg(F.percentile_approx(names[4], BLOCK_SHARE, 10_000)).first()[0]
     least = min(0.0, held_out) if held_out is not None else 0.0
     blocked = F.col(url).isNotNull() & (F.col(names[4]) < least)
     return scored(ruled).select(
-        *pages.columns, *names[:3], F.coalesce("_ruled", F.when(blocked, "block").otherwise("allow")).alias(names[3]), names[4]
+        *pages.columns, *names[:3], F.coalesce(ruled_as, F.when(blocked, "block").otherwise("allow")).alias(names[3]), names[4]
     )
