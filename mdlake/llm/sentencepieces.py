@@ -143,8 +143,9 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", model: str = MO
     out, whole = (free_name(docs.select(*keep), n) for n in ("ids", "round_trip"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, back = Encoder(vocabulary), decoder(vocabulary)
+        encoder, back, pool = Encoder(vocabulary), decoder(vocabulary), pa.default_memory_pool()
         for batch in slices(batches, text):
+            pool.release_unused()  # a worker keeps what earlier batches, also of other queries, have left
             texts = batch.column(text).to_pylist()
             ids = encoder.batch(texts)
             column = lists(np.frombuffer(b"".join(ids), np.int32), np.array([len(i) // 4 for i in ids], np.int64), pa.int32())
