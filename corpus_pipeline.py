@@ -22,10 +22,11 @@ def _bounded(spark: SparkSession) -> None:
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose grade is above 0 with a probability below the operator's limit, all their columns kept."""
+    """Documents whose grade is above 0 with a probability below the model's limit, all their columns kept."""
     _bounded(spark)
-    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.where(F.col(scored.columns[-1]) < toxicity.REJECT).select(*docs.columns)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.where(F.col(scored.columns[-1]) < model.limit).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
