@@ -70,7 +70,13 @@ class Lake:
 
     @cached_property
     def sources(self) -> DataFrame:
-        return companions.sources(self.docs)
+        """The source files on their own, so that no later query looks for them among the pages."""
+        return stored(companions.sources(self.docs), "sources")
+
+    @cached_property
+    def source_digests(self) -> DataFrame:
+        """The digests of saved sources that have a URL."""
+        return stored(maintenance.source_digests(self.sources), "source-digests")
 
     @cached_property
     def source_files(self) -> DataFrame:

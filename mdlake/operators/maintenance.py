@@ -36,19 +36,22 @@ def _slot() -> Column:
     return F.pmod(F.xxhash64("name"), F.lit(SLOTS)).cast("int")
 
 
-def source_drift(source_docs: DataFrame, refetched: DataFrame, below: float = 0.8, size: int = 5) -> DataFrame:
+def source_digests(source_docs: DataFrame) -> DataFrame:
+    """(name, was): the digest of the text below the header block, of sources that have a URL. Made once per corpus."""
+    has_url = header_field(F.col("text"), "url").isNotNull()
+    return source_docs.where(has_url).select("name", F.sha2(source_body(F.col("text")), 256).alias("was"))
+
+
+def source_drift(source_docs: DataFrame, refetched: DataFrame, below: float = 0.8, size: int = 5, digests: DataFrame | None = None) -> DataFrame:
     """(name, similarity) of sources with a URL whose text today differs substantially.
 
-    ``refetched(name, text)`` is what the URLs return now. Unchanged texts are
-    told by their digest; only the others are compared by word shingles.
+    ``refetched(name, text)`` is what the URLs return now. Unchanged texts are told by their digest, which for saved ones may be known
+    already (``digests``, as of :func:`source_digests`); only the others are compared, by hashes of their word shingles, so no text travels.
     """
-    has_url = header_field(F.col("text"), "url").isNotNull()
-    saved = source_docs.where(has_url).select("name", source_body(F.col("text")).alias("saved"))
+    saved = source_docs.select("name", source_body(F.col("text")).alias("saved"))
     fresh = refetched.select("name", F.col("text").alias("fresh"))
     # names and digests meet first
-    digests = saved.select("name", F.sha2("saved", 256).alias("was")).join(
-        fresh.select("name", F.sha2("fresh", 256).alias("now")), "name"
-    )
+    digests = (source_digests(source_docs) if digests is None else digests).join(fresh.select("name", F.sha2("fresh", 256).alias("now")), "name")
     names = stored(digests.where("was <> now").select("name"), "changed-names")
     # at most SLOTS numbers: texts that cannot have changed are left where they are, the rest meet by name
     slots = F.broadcast(names.select(_slot().alias("slot")).distinct())
@@ -56,8 +59,10 @@ def source_drift(source_docs: DataFrame, refetched: DataFrame, below: float = 0.
     def travelling(texts: DataFrame) -> DataFrame:
         return texts.withColumn("slot", _slot()).join(slots, "slot", "left_semi").drop("slot")
 
-    changed = travelling(saved).join(names, "name", "left_semi").join(travelling(fresh), "name")
-    sets = once(changed, a=_shingles(F.col("saved"), size), b=_shingles(F.col("fresh"), size))
+    def hashed(texts: DataFrame, text: str, name: str) -> DataFrame:
+        return once(travelling(texts), set=_shingles(F.col(text), size)).select("name", F.col("set").alias(name))
+
+    sets = hashed(saved, "saved", "a").join(names, "name", "left_semi").join(hashed(fresh, "fresh", "b"), "name")
     sets = once(sets, common=F.size(F.array_intersect("a", "b")))
     measured = sets.withColumn("similarity", F.col("common") / (F.size("a") + F.size("b") - F.col("common")))
     return measured.where(F.col("similarity") < below).select("name", F.round("similarity", 6).alias("similarity"))

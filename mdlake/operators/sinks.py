@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mdlake.operators.checks import label
@@ -23,6 +23,13 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_counted(rows: DataFrame, path: str, **counts: Column) -> dict[str, int]:
+    """Writes the rows and returns aggregates over them that are collected while they are written, so that one job gives both."""
+    seen = Observation()
+    rows.observe(seen, *(c.alias(n) for n, c in counts.items())).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
 def write_lines(rows: DataFrame, path: str) -> None:
     """A one-column text result, e.g. of padded_rows."""
     rows.write.mode("overwrite").text(path)

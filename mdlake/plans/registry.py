@@ -410,6 +410,12 @@ def k_hop(lake):
     return _ball(lake)
 
 
+@query
+def k_hop_many(lake):
+    seeds = filters.entity_pages(lake.pages)
+    return graph.reach_counts(graph.k_hop_many(lake.links, seeds, 2, lake.hot_pages)[1])
+
+
 @query
 def edge_highlight(lake):
     return graph.edge_highlight(lake.edges, _ball(lake), SEED, lake.hot_pages)
@@ -593,7 +599,7 @@ def search_hits(lake):
 @query
 def source_drift(lake):
     fresh = corpus.refetched(lake.docs.sparkSession, lake.origin)
-    return maintenance.source_drift(lake.sources, fresh)
+    return maintenance.source_drift(lake.sources, fresh, digests=lake.source_digests)
 
 
 @query

@@ -191,6 +191,11 @@ _add(
     visible_edges=_between(_NODES),
     visible_subgraph=_between(_visible("'widget', 'nation'")),
     k_hop=f"{_UND} SELECT 'parts/part-1.md' AS seed, path, hop FROM ({_BALL})",
+    k_hop_many=f"""{_UND}, near AS (
+        SELECT path AS seed, path, 0 AS hop FROM pg WHERE page_type IN ('entity', 'concept')
+        UNION ALL SELECT p.path, u.b, 1 FROM pg p JOIN und u ON u.a = p.path WHERE page_type IN ('entity', 'concept')
+        UNION ALL SELECT p.path, v.b, 2 FROM pg p JOIN und u ON u.a = p.path JOIN und v ON v.a = u.b WHERE page_type IN ('entity', 'concept')
+      ) SELECT path, hop, count(*) AS n_seeds FROM (SELECT seed, path, min(hop) AS hop FROM near GROUP BY ALL) GROUP BY ALL""",
     edge_highlight=f"""{_UND}, ball AS ({_BALL})
       SELECT src, dst, CASE WHEN src = 'parts/part-1.md' OR dst = 'parts/part-1.md' THEN 'incident'
         WHEN src IN (SELECT path FROM ball) AND dst IN (SELECT path FROM ball) THEN 'inside' ELSE 'outside' END AS place FROM edges""",

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+from collections import Counter
 
 import pytest
 from conftest import page
@@ -194,6 +195,39 @@ def test_k_hop_against_breadth_first(spark):
     assert pairs(ball, "seed", "path", "hop") == sorted(want)
 
 
+def test_many_seeds_at_once(spark):
+    rng = random.Random(9)
+    edges = {(f"n{rng.randrange(1500):04}", f"n{rng.randrange(1500):04}") for _ in range(2500)}
+    links = graph.both_ways(spark.createDataFrame([e for e in edges if e[0] != e[1]], "src string, dst string"))
+    seeds = spark.createDataFrame([(f"n{i:04}",) for i in range(0, 1200)] + [("n0003",), ("lonely",)], "path string")
+    numbers, found = graph.k_hop_many(links, seeds, 3)
+    assert sorted(r.number for r in numbers.collect()) == list(range(1201))  # two blocks of seeds
+    want = pairs(graph.k_hop(links, seeds, 3), "seed", "path", "hop")
+    assert pairs(graph.reached_pairs(numbers, found), "seed", "path", "hop") == want
+    per_hop = {r.hop: r["count"] for r in found.groupBy("hop").count().collect()}
+    assert max(per_hop.values()) <= 2 * 1501  # a row per page and block, for far more pairs
+    counts = Counter((p, h) for _, p, h in want)
+    assert {(r.path, r.hop): r.n_seeds for r in graph.reach_counts(found).collect()} == counts
+    few = graph.k_hop_many(links, seeds.limit(0), 2)
+    assert graph.reached_pairs(*few).count() == 0
+
+
+def test_rows_and_their_counts_in_one_job(spark, tmp_path):
+    write(tmp_path, {f"p{i}.md": page(RISKS if i % 2 else "x", title=f"T{i}", status="Draft" if i < 4 else "Live") for i in range(6)})
+    lake = lakes.open_folder(spark, str(tmp_path))
+    out = str(tmp_path.parent / "listing")
+    for conditions in ({}, {"status": "Draft"}):
+        got = page_query.write_summary(lake, out, **conditions)
+        assert got == page_query.summary_count(lake, **conditions).first().asDict()
+        assert spark.read.parquet(out).count() == got["n_pages"]
+        got = page_query.write_risks(lake, out, **conditions)
+        assert got == page_query.risks_count(lake, **conditions).first().asDict()
+        assert spark.read.parquet(out).count() == got["n_rows"] > 0
+
+
+RISKS = "## Notes\n\n| Risk | Likelihood | Impact | Mitigation | Status |\n| --- | --- | --- | --- | --- |\n| a | l | i | m | 🔲 |\n| b | l | i | m | ✅ |\n| c | l | i | m | ⚠️ now |\n"
+
+
 def test_search_against_direct_scoring(make_pages):
     rng = random.Random(4)
     words = ["alpha", "alphas", "alpine", "beta", "betta", "gamma", "delta", "über"]
