@@ -99,6 +99,13 @@ def _crc32(codes: str) -> str:
 _UTF8 = "flatten(list_transform(string_split({}, ''), lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [195, CAST(ord(c) - 64 AS BIGINT)] END))"
 _LEAF = "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"[^\x20\x09-\x0D]+"
+_LETTERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _words(pattern: str) -> str:
+    """SQL for the words of ``text`` in lower case."""
+    return f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{pattern}')"
 
 ORACLE: dict[str, str] = {
     "op5_topk": """
@@ -111,6 +118,45 @@ ORACLE: dict[str, str] = {
         ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        x AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS s, max(page_id) OVER (PARTITION BY sha1(h)) AS top FROM p)
+        SELECT page_id, payload_bytes,
+            array_to_string(list_transform(range(0, 32), lambda k:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(s, (k // 4) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+            CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+        FROM x
+    """,
+    "op7_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_words(_LETTERED)} AS w FROM documents),
+        b AS (SELECT item_id, {_words(_LETTERED)} AS w FROM benchmark),
+        bw AS (SELECT item_id, least(10, len(w)) AS n, unnest(range(0, greatest(len(w) - 9, 1))) AS i, w FROM b WHERE len(w) > 0),
+        bk AS (SELECT DISTINCT item_id, n, array_to_string(w[i + 1 : i + n], ' ') AS k FROM bw),
+        dw AS (SELECT doc_id, n, unnest(range(0, len(w) - n + 1)) AS i, w FROM d JOIN (SELECT DISTINCT n FROM bk) ON len(w) >= n),
+        dk AS (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS k FROM dw),
+        m AS (SELECT doc_id, n, i, item_id FROM dk JOIN bk USING (n, k)),
+        hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+        it AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m WHERE item_id IS NOT NULL) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+    """,
+    "op9_neardup": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_words(_SPACED)} AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, sha256(array_to_string(w[i + 1 : i + 5], ' ')) AS k
+            FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * met.n >= 75 * (x.n + y.n - met.n)),
+        reach AS (SELECT doc_id AS id, doc_id AS far FROM d UNION SELECT id, b FROM reach JOIN link ON a = far),
+        c AS (SELECT id, min(far) AS component_id FROM reach GROUP BY id)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM d JOIN c ON c.id = doc_id LEFT JOIN n USING (doc_id)
+    """,
     "op11_substrings": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
