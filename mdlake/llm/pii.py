@@ -45,6 +45,7 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]{3,}")
 WINDOW = 60  # characters on each side of a mention; words that stand there once are terms of the entity
 GENERALISE, REMOVE = 0.6, 0.9  # shares of an entity's information content
 _FLAGS, _BLOCK = 1 << 25, 1 << 16  # bits of a table, and of the pieces in which it is made
+HELD = 1_000_000  # words of slices of texts that a task adds up
 _PAIRS = 1 << 20  # pairs of a text that are looked up at a time
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -163,21 +164,33 @@ def _set(flags: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (flags[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _documents_of(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
-    """(term, n_term): in how many texts each word whose flag is set occurs."""
+def _documents_of(docs: DataFrame, text: str) -> DataFrame:
+    """(term, n_term): in how many texts each word occurs. A task adds up to HELD words before it sends them, so rows grow with the texts."""
+
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        term, at = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+        return term, np.bincount(at, np.concatenate([n for _, n in parts]), minlength=len(term)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        parts, size = [none], 0
         for batch in slices(batches, text):
             hashes, counts = hash_words(batch.column(text), BY_LETTER)
-            mark = _set(wanted, hashes)
-            row = np.repeat(np.arange(len(counts)), counts)[mark]
-            seen = hashes[mark]
-            order = np.lexsort((row, seen))
-            seen, row = seen[order], row[order]
-            once = np.ones(len(seen), bool)
-            once[1:] = (seen[1:] != seen[:-1]) | (row[1:] != row[:-1])
-            term, n = np.unique(seen[once], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
+            row = np.repeat(np.arange(len(counts)), counts)
+            order = np.lexsort((row, hashes))
+            hashes, row = hashes[order], row[order]
+            once = np.ones(len(hashes), bool)
+            once[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+            parts.append(np.unique(hashes[once], return_counts=True))
+            size += len(parts[-1][0])
+            if size > HELD:
+                parts = [summed(parts)]
+                size = len(parts[0][0])
+                if size > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(parts[0][0].view(np.int64)), pa.array(parts[0][1])], ["term", "n"])
+                    parts, size = [none], 0
+        term, n = summed(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["term", "n"])
 
     return docs.select(text).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
 
@@ -223,7 +236,7 @@ def disclosing(touched: DataFrame, docs: DataFrame, text: str) -> tuple[DataFram
     info, usual = F.log2(total / F.col("n_entity")), F.col("n_term") / total
     pmi = F.log2((F.col("n_both") + usual) / (F.col("n_entity") + 1) / usual)
     shares = (
-        counted.join(_documents_of(docs, text, _flags(pairs.select("term"))), "term")
+        counted.join(_documents_of(docs, text), "term")
         .select("entity", "term", F.when(info > 0, pmi / info).otherwise(F.lit(0.0)).alias("share"))
     )
     return shares, mention.unionByName(held)
