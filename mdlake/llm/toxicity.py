@@ -224,7 +224,8 @@ def fit_sample(rows: np.ndarray, slots: np.ndarray, counts: np.ndarray, toxic: n
 def best_limit(p: np.ndarray, toxic: np.ndarray) -> tuple[float, float | None, float | None]:
     """The probability with the largest sum of toxic rows at or above it and clean rows below it, both as shares, and these shares.
 
-    CLEAN of the clean rows must be below; ties go to the larger limit. Without a toxic or without a clean row it is one half.
+    CLEAN of the clean rows must be below; ties go to the larger limit. It lies halfway, in log odds, between the last toxic row
+    that it rejects and the first clean one that it keeps, as rows that were not seen scatter around both. Without a toxic or without a clean row it is one half.
     """
     bad, good = np.sort(p[toxic > 0]), np.sort(p[toxic <= 0])
     if not len(bad) or not len(good):
@@ -235,7 +236,9 @@ def best_limit(p: np.ndarray, toxic: np.ndarray) -> tuple[float, float | None, f
     best = len(bad) - 1 - int(np.argmax((recall + kept)[::-1]))
     if not np.isfinite(kept[best]):
         return 0.5, float((bad >= 0.5).mean()), float((good < 0.5).mean())
-    return float(bad[best]), float(recall[best]), float(kept[best])
+    last = np.searchsorted(good, bad[best], "left")
+    ends = np.clip([bad[best], good[last - 1] if last else 0.0], 1e-6, 1 - 1e-6)
+    return float(_sigmoid(np.log(ends / (1 - ends)).mean())), float(recall[best]), float(kept[best])
 
 
 def _one_per_family(rows: np.ndarray, slots: np.ndarray, toxic: np.ndarray) -> np.ndarray:
