@@ -10,7 +10,7 @@ from mdlake.operators import checks, sinks
 
 def findings(lake: Lake) -> DataFrame:
     """All nine checks, computed anew."""
-    return checks.findings(lake.pages_of("lint"), lake.source_files, lake.index_entries, lake.manifest, lake.hot_pages, lake.hot_sources)
+    return lake.checked()
 
 
 def by_check(lake: Lake) -> DataFrame:

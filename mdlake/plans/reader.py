@@ -10,7 +10,7 @@ from mdlake.operators import extract, projections
 
 
 def collections(lake: Lake) -> dict[str, DataFrame]:
-    pages = lake.pages
+    pages = lake.texts
     risks = extract.open_risks(lake.risk_rows)
     return {
         "pages": projections.page_record(pages),

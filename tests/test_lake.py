@@ -349,3 +349,22 @@ def test_shared_folder():
         session.shared_dir(_Session("spark://x", None))
     local = _Session("local[2]", None)
     assert session.shared_dir(local) == session.shared_dir(local)
+
+
+def test_texts_are_not_written_again(spark, tmp_path, monkeypatch):
+    written = {}
+
+    def kept(df, name, partition=None):
+        written[name] = df.columns
+        return session.stored(df, name, partition)
+
+    monkeypatch.setattr(lakes, "stored", kept)
+    monkeypatch.setattr(lakes, "_DERIVED", {})
+    lake = lakes.derived(spark, "/root/testdata/sf0.001")
+    lake.change_log.count(), lake.sources.count(), lake.texts.count()
+    assert written == {}
+    assert lake.pages.count() == lake.texts.count() > 0
+    assert set(lake.texts.columns) - set(lake.pages.columns) == {"text", "body"}
+    lake.edges, lake.findings, lake.source_digests
+    assert {"pages", "edges", "findings"} <= set(written)
+    assert not any({"text", "body"} & set(columns) for columns in written.values())
