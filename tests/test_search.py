@@ -98,3 +98,36 @@ def test_fuzzy_expansion_equals_a_scan(spark, seed):
         reach = int(search.FUZZY_SHARE * len(word) + 0.5)
         far = vocabulary.where((F.levenshtein("term", F.lit(word)) <= reach) | (F.col("term") == word))
         assert got == {r.term for r in far.collect()}, word
+
+
+def test_an_index_of_known_queries_scores_alike(index, corpus):
+    words = corpus[0]
+    queries = (f"{words[1]} {words[250]} {words[42]}", words[5][:2], f"{words[9]}x {words[30][1:]}", "prerequisit", "")
+    own = search.build_index(corpus[1], queries)
+    assert own.stats == index.stats
+    assert own.vocabulary.count() < index.vocabulary.count()
+    for query in queries:
+        for prefix, fuzzy in ((False, False), (True, False), (False, True), (True, True)):
+            assert plain(search.top(search.search(own, query, prefix, fuzzy), 3000).collect()) == plain(search.top(search.search(index, query, prefix, fuzzy), 3000).collect())
+    assert plain(search.best(own, queries[0], 10).hits.collect()) == plain(search.best(index, queries[0], 10).hits.collect())
+    with pytest.raises(ValueError):
+        search.search(own, "another")
+    with pytest.raises(ValueError):
+        search.save_index(own, "/nowhere")
+
+
+def test_terms_for_known_words_are_all_kept(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abc", k=k)) for k in range(1, 16)]
+    terms = {"".join(rng.choices("abc", k=rng.randint(1, 14))) for _ in range(500)}
+    for word in words:
+        for _ in range(20):
+            w = list(word)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(w) + 1)
+                w[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "a"])
+            terms.add("".join(w) or "z")
+    table = spark.createDataFrame([(t,) for t in sorted(terms)], "term string")
+    for word in words:
+        got = {r.term for r in table.where(search._can_match(F.col("term"), frozenset([word]))).collect()}
+        assert got == {r.term for r in table.where(search._weight(F.col("term"), word, True, True) > 0).collect()}, word
