@@ -368,3 +368,22 @@ def test_texts_are_not_written_again(spark, tmp_path, monkeypatch):
     lake.edges, lake.findings, lake.source_digests
     assert {"pages", "edges", "findings"} <= set(written)
     assert not any({"text", "body"} & set(columns) for columns in written.values())
+
+
+def test_findings_parse_texts_once(spark, tmp_path, monkeypatch):
+    written = []
+
+    def kept(df, name, partition=None):
+        written.append((name, df.columns))
+        return session.stored(df, name, partition)
+
+    monkeypatch.setattr(lakes, "stored", kept)
+    write(tmp_path, {"p/a.md": page("## What This Is", title="A", owner=""), "evals/b.md": page("", title="B"), "tests/c.md": page(CLEAN, title="C")})
+    first, later = (lakes.open_folder(spark, str(tmp_path)) for _ in range(2))
+    found = pairs(lint.findings(first), "file", "check", "detail")
+    assert [name for name, columns in written if "details" in columns] == ["pages"] and len([1 for name, _ in written if name == "pages"]) == 1
+    assert "details" not in first.pages.columns and pairs(first.pages, "path") == [("p/a.md",)]
+    written.clear()
+    later.pages.count()
+    assert pairs(lint.findings(later), "file", "check", "detail") == found and {f for f, *_ in found} == {"p/a.md", "tests/c.md"}
+    assert ("page-checks", ["path", "details"]) in written
