@@ -131,3 +131,36 @@ def test_terms_for_known_words_are_all_kept(spark):
     for word in words:
         got = {r.term for r in table.where(search._can_match(F.col("term"), frozenset([word]))).collect()}
         assert got == {r.term for r in table.where(search._weight(F.col("term"), word, True, True) > 0).collect()}, word
+
+
+ODD = [
+    "", " ", "...", "widget", "a widget, widgets; WIDGET-widget_widgetry", "\U0001d400\U0001d41bwidget \U0001d400widgit \U0001d7d9", "İwidget İstanbul widgİt",
+    "⚠️ widgt \U0001f532 idget\n\nwidgget\r\n\twidge", "x" * 5000 + "widget" + "y" * 5000 + " wi dg", "²widget① ١widget éwidget", "prerequisite prerequisit prrequist prefix",
+    "\u212aelvin kelvin KELVIN ΟΔΟΣ οδος ΟΔΟΣ'Α Ⓐwidget ⅧWIDGT WiDgEt \u2126mega",
+]
+
+
+@pytest.mark.parametrize("prefix, fuzzy", [(False, False), (True, False), (False, True), (True, True)])
+def test_terms_of_known_words_are_cut_out_and_the_rest_is_counted(spark, prefix, fuzzy):
+    rng = random.Random(3)
+    texts = ODD + ["".join(rng.choices("widgetWI İéΣσΑ'.\U0001d400", k=300)) for _ in range(40)]
+    rows = [(f"{i}.md", t, t, [t, "t"], t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "id string, title string, category string, tags array<string>, body string")
+    words = frozenset(["widget", "prerequisit", "wi", "١widget", "kelvin", "οδος", "οδοσ", "ωmega"])
+    got = {(r.doc, r.field): (r.field_len, {(p.term, p.tf) for p in r.found}) for r in search.counted_terms(docs, words, prefix, fuzzy).collect()}
+    weight = F.coalesce(*[search._weight(F.col("p.term"), w, prefix, fuzzy) for w in sorted(words)])
+    whole = search.counted_terms(docs)
+    want = {(r.doc, r.field): (r.field_len, set()) for r in whole.collect()}
+    for r in whole.select("doc", "field", F.explode("found").alias("p")).where(weight > 0).collect():
+        want[r.doc, r.field][1].add((r.p.term, r.p.tf))
+    assert got == want and sum(len(found) for _, found in want.values()) > 20
+
+
+def test_an_index_holds_the_kinds_of_match_it_serves(index, corpus):
+    word = corpus[0][3]
+    for prefix, fuzzy in ((False, False), (True, False), (False, True)):
+        own = search.build_index(corpus[1], (word,), prefix, fuzzy)
+        got, want = (search.search(i, word, prefix, fuzzy) for i in (own, index))
+        assert plain(search.top(got, 3000).collect()) == plain(search.top(want, 3000).collect())
+        with pytest.raises(ValueError):
+            search.search(own, word)
